@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["text", "rules"]
+GROUPS = ["text", "rules", "evaluation", "drift", "timelog"]
 
 
 def load() -> None:
