@@ -15,6 +15,10 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Pattern of a run of blanks.
+BLANKS_TO_ONE = f"{K.BLANK}+"
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, even inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

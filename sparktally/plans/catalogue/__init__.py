@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["text", "rules", "evaluation", "drift", "timelog"]
+GROUPS = ["text", "rules", "gazetteer", "routing", "evaluation", "drift", "timelog"]
 
 
 def load() -> None:

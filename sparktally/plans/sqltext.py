@@ -82,3 +82,48 @@ def ngrams(x: str, low: int = 1, high: int = 5) -> str:
         for n in range(low, high + 1)
     ]
     return f"flatten([{', '.join(lists)}])"
+
+
+# ------------------------------------------------------------- similarity
+
+def bit_masks(text: str, pattern: str) -> str:
+    """Per character of ``text``, the positions it has in ``pattern`` (up to 62 characters)."""
+    return (
+        f"list_transform(string_split({text}, ''), lambda ch: coalesce(list_sum(list_transform("
+        f"range(1, length({pattern}) + 1), lambda i: CASE WHEN substr({pattern}, i, 1) = ch "
+        f"THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END)), 0)::BIGINT)"
+    )
+
+
+def lcs_of_masks(masks: str, pattern: str) -> str:
+    """Bit-parallel longest common subsequence from the masks of ``bit_masks``."""
+    full = f"((1::BIGINT << length({pattern})::INT) - 1)"
+    return (
+        f"(length({pattern}) - bit_count(list_reduce({masks}, "
+        f"lambda acc, hit: ((acc + (acc & hit)) | (acc - (acc & hit))) & {full}, {full})))"
+    )
+
+
+def indel(a: str, b: str) -> str:
+    """Insertions plus deletions between two plain columns, ``b`` up to 62 characters."""
+    return f"CAST(length({a}) + length({b}) - 2 * {lcs_of_masks(bit_masks(a, b), b)} AS DOUBLE)"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"((1 - {indel(a, b)} / (length({a}) + length({b}))) * 100)"
+
+
+def token_set_steps(source: str, a: str, b: str, keep: str, name: str = "token_set") -> str:
+    """CTEs ending in ``name``: columns ``keep`` and the score of ``a`` against ``b``."""
+    return f"""{name}_t AS (SELECT {keep}, list_distinct(string_split({a}, ' ')) AS ta, list_distinct(string_split({b}, ' ')) AS tb
+  FROM {source} WHERE {a} <> '' AND {b} <> ''),
+{name}_d AS (SELECT {keep}, array_to_string(list_sort(list_filter(ta, lambda t: NOT list_contains(tb, t))), ' ') AS da,
+  array_to_string(list_sort(list_filter(tb, lambda t: NOT list_contains(ta, t))), ' ') AS db,
+  array_to_string(list_sort(list_filter(ta, lambda t: list_contains(tb, t))), ' ') AS ii FROM {name}_t),
+{name}_l AS (SELECT *, length(da) AS la, length(db) AS lb, length(ii) AS li, CASE WHEN ii <> '' THEN 1 ELSE 0 END AS sep FROM {name}_d),
+{name} AS (SELECT {keep}, CASE
+  WHEN li > 0 AND (la = 0 OR lb = 0) THEN 100::DOUBLE
+  ELSE greatest(100::DOUBLE - 100::DOUBLE * {indel("da", "db")} / (2 * (li + sep) + la + lb),
+    CASE WHEN li > 0 THEN greatest(100::DOUBLE - 100::DOUBLE * (sep + la) / (2 * li + sep + la),
+                                   100::DOUBLE - 100::DOUBLE * (sep + lb) / (2 * li + sep + lb)) ELSE 0::DOUBLE END) END AS score
+  FROM {name}_l)"""
