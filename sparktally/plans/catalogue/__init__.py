@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-GROUPS = ["text", "rules", "gazetteer", "routing", "evaluation", "drift", "timelog"]
+GROUPS = [
+    "text", "rules", "gazetteer", "routing", "evaluation", "drift", "features", "models", "timelog", "images",
+    "sources", "streaming",
+]
 
 
 def load() -> None:
