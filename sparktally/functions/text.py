@@ -76,7 +76,7 @@ def strip(c: Column | str) -> Column:
 def normalize_label(c: Column | str) -> Column:
     """Null to empty, strip, lower, fold to ASCII, then one space per blank run."""
     lowered = F.lower(strip(F.coalesce(_column(c), F.lit(""))))
-    return F.regexp_replace(ascii_fold(lowered), f"{K.BLANK}+", " ")
+    return F.regexp_replace(ascii_fold(lowered), BLANKS_TO_ONE, " ")
 
 
 def normalize_merchant_text(c: Column | str) -> Column:
@@ -88,10 +88,9 @@ def normalize_merchant_text(c: Column | str) -> Column:
     for ch, expansion in _COMPATIBILITY_PAIRS:
         bare = F.replace(bare, F.lit(ch), F.lit(expansion))
     s = F.regexp_replace(F.lower(_when_not_ascii(text, bare)), "[^a-z0-9]+", " ")
-    stop = F.array(*[F.lit(w) for w in K.PAYMENT_WORDS])
 
     def without_payment_words(s: Column) -> Column:
-        kept = F.array_join(F.filter(F.split(s, " "), lambda t: ~F.array_contains(stop, t)), " ")
+        kept = F.array_join(F.filter(F.split(s, " "), lambda t: ~t.isin(K.PAYMENT_WORDS)), " ")
         return F.coalesce(F.nullif(kept, F.lit("")), s)
 
     return bind(F.trim(s), without_payment_words)
@@ -195,7 +194,7 @@ def char_ngrams(c: Column | str, low: int = 1, high: int = 5) -> Column:
         ).otherwise(F.array().cast("array<string>"))
 
     return bind(
-        F.regexp_replace(_column(c), f"{K.BLANK}+", " "),
+        F.regexp_replace(_column(c), BLANKS_TO_ONE, " "),
         lambda text: F.concat(*[of_length(text, n) for n in range(low, high + 1)]),
     )
 
@@ -208,22 +207,18 @@ _PUNCTUATION = r"[!-/:-@\[-`{-~]"
 def clean_tokens(c: Column | str, stop_words: list[str] | None = None) -> Column:
     """Lower-case words with ASCII punctuation and digits deleted, without stop
     words and one-letter words."""
-    stop = F.array(*[F.lit(w) for w in (stop_words or K.STOP_WORDS)])
+    stop = stop_words or K.STOP_WORDS
     text = F.regexp_replace(F.lower(_column(c)), _PUNCTUATION + "|[0-9]", "")
-    return F.filter(
-        F.split(text, f"{K.BLANK}+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t)
-    )
+    return F.filter(F.split(text, BLANKS_TO_ONE), lambda t: (F.length(t) > 1) & ~t.isin(stop))
 
 
 def minimal_prep(c: Column | str) -> Column:
     """Lower-case, anything but word characters and blanks to a space, collapsed."""
     text = F.regexp_replace(F.lower(_column(c)), r"[^\p{L}\p{N}_\s]", " ")
-    return strip(F.regexp_replace(text, f"{K.BLANK}+", " "))
+    return strip(F.regexp_replace(text, BLANKS_TO_ONE, " "))
 
 
 def word_tokens(c: Column | str, stop_words: list[str] | None = None) -> Column:
     """Words of two or more characters of the prepared text, without stop words."""
-    stop = F.array(*[F.lit(w) for w in (stop_words or K.STOP_WORDS)])
-    return F.filter(
-        F.split(minimal_prep(c), " "), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t)
-    )
+    stop = stop_words or K.STOP_WORDS
+    return F.filter(F.split(minimal_prep(c), " "), lambda t: (F.length(t) > 1) & ~t.isin(stop))

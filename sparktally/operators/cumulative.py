@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktally.session import cut_lineage
+
 #: Number of slices the value axis is cut into; also the size of the one small
 #: frame that a single task orders.
 SLICES = 512
@@ -19,8 +21,10 @@ def running_totals(df: DataFrame, value: str, counts: list[str], slices: int = S
     ``df`` holds one row per distinct value. The axis is cut at approximate
     quantiles; a task orders one slice only, and slice totals (at most
     ``slices`` rows) give each slice its starting point. The cuts affect the
-    balance alone: totals are exact wherever they fall.
+    balance alone: totals are exact wherever they fall. The values are written
+    once, so that finding the cuts does not run the plan behind them again.
     """
+    df = cut_lineage(df, "values")
     cuts = sorted(set(df.approxQuantile(value, [i / slices for i in range(1, slices)], 0.5 / slices)))
     splits = [-math.inf, *cuts, math.inf]
     sliced = Bucketizer(splits=splits, inputCol="_value", outputCol="_slice").transform(

@@ -62,12 +62,15 @@ def _psi_term(p: Column, q: Column, p_total: Column, q_total: Column) -> Column:
 
 
 def psi(df: DataFrame, p: str = "n_train", q: str = "n_prod") -> DataFrame:
-    """Population stability index of two aligned count columns."""
-    p_total = df.agg(F.sum(F.col(p).cast("double"))).scalar()
-    q_total = df.agg(F.sum(F.col(q).cast("double"))).scalar()
-    return df.agg(
-        F.coalesce(F.sum(_psi_term(F.col(p), F.col(q), p_total, q_total)), F.lit(0.0)).alias("psi")
-    )
+    """Population stability index of two aligned count columns.
+
+    Both totals come from one subquery that reads the same columns as the sum
+    of the terms, so the shuffle below is made once and used by both.
+    """
+    counts = df.select(F.col(p).cast("double").alias("_p"), F.col(q).cast("double").alias("_q"))
+    totals = counts.agg(F.struct(F.sum("_p").alias("p"), F.sum("_q").alias("q"))).scalar()
+    term = _psi_term(F.col("_p"), F.col("_q"), totals["p"], totals["q"])
+    return counts.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("psi"))
 
 
 def oov_rate(counts: DataFrame, vocab: DataFrame, n: str = "n_prod") -> DataFrame:
@@ -144,25 +147,18 @@ def largest_shift(train_mix: DataFrame, prod_mix: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- summary
 
-def _gram_total(text: str, low: int = 1, high: int = 5) -> Column:
-    """Number of n-grams of a text, from its length alone."""
-    total = F.lit(0).cast("bigint")
-    for n in range(low, high + 1):
-        total = total + F.greatest(F.lit(0), F.length(text) - (n - 1))
-    return total
-
-
 def drift_summary(df: DataFrame, is_train: Column, text: str = "model_text", label: str | None = "category_label",
                   conf: str | None = None, k: int = TOP_K, max_features: int = MAX_FEATURES,
                   psi_alert: float = 0.20, shift_alert: float = 0.15, digits: int | None = 4) -> DataFrame:
     """One row: psi_topk, oov_rate, KS of the confidence, largest shift, alerts, thresholds.
 
-    The n-gram profile is built once. All that follows reads the vocabulary,
-    which never exceeds ``max_features`` rows; out-of-vocabulary occurrences are
-    the rest of the production total, which text lengths give without a split.
+    The n-gram profile is shuffled once: the vocabulary, which never exceeds
+    ``max_features`` rows, and the totals read the same exchange. Occurrences
+    out of the vocabulary are what it leaves of the production total.
     """
     train = F.coalesce(is_train, F.lit(False))
-    vocab = vocabulary(ngram_profile(df, text, train), max_features)
+    profile = ngram_profile(df, text, train)
+    vocab = vocabulary(profile, max_features)
     ranked = vocab.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("n_train"), "gram")))
     top = F.col("_rank") <= k
     every = Window.partitionBy()
@@ -171,7 +167,7 @@ def drift_summary(df: DataFrame, is_train: Column, text: str = "model_text", lab
         F.sum(F.when(top, F.col("n_train"))).over(every).cast("double").alias("_p"),
         F.sum(F.when(top, F.col("n_prod"))).over(every).cast("double").alias("_q"),
     )
-    prod_total = df.agg(F.sum(F.when(~train, _gram_total(text)))).scalar()
+    totals = profile.agg(F.struct(F.sum("n_train").alias("train"), F.sum("n_prod").alias("prod"))).scalar()
     out = ranked.agg(
         F.coalesce(F.sum(F.when(
             F.col("_top"), _psi_term(F.col("n_train"), F.col("n_prod"), F.col("_p"), F.col("_q"))
@@ -179,7 +175,7 @@ def drift_summary(df: DataFrame, is_train: Column, text: str = "model_text", lab
         F.sum("n_prod").alias("_known"),
     ).select(
         "psi_topk",
-        F.coalesce(1.0 - F.col("_known") / F.nullif(prod_total, F.lit(0)), F.lit(0.0)).alias("oov_rate"),
+        F.coalesce(1.0 - F.col("_known") / F.nullif(totals["prod"], F.lit(0)), F.lit(0.0)).alias("oov_rate"),
     )
 
     if conf is not None:

@@ -28,18 +28,23 @@ def pair_counts(df: DataFrame, truth: str, pred: str, *more: Column) -> DataFram
     )
 
 
-def class_scores(pairs: DataFrame) -> DataFrame:
-    """tp, fp, fn, support and F1 of every class in truth or prediction."""
+def class_scores(pairs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """tp, fp, fn and F1 of every class in truth or prediction.
+
+    Further counts of ``pairs`` named in ``carry`` are summed over the rows that
+    truly belong to the class.
+    """
     n = F.col("n")
     none = F.lit(0).cast("bigint")
 
-    def part(cls: str, tp: Column, fp: Column, fn: Column) -> Column:
-        return F.struct(F.col(cls).alias("class"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    def part(cls: str, tp: Column, fp: Column, fn: Column, own: bool) -> Column:
+        kept = [(F.col(c) if own else none).alias(c) for c in carry]
+        return F.struct(F.col(cls).alias("class"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), *kept)
 
-    hit = F.array(part("truth", n, none, none))
-    miss = F.array(part("truth", none, none, n), part("pred", none, n, none))
+    hit = F.array(part("truth", n, none, none, True))
+    miss = F.array(part("truth", none, none, n, True), part("pred", none, n, none, False))
     parts = pairs.select(F.inline(F.when(F.col("truth").eqNullSafe(F.col("pred")), hit).otherwise(miss)))
-    sums = parts.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    sums = parts.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", *carry)])
     f1 = 2.0 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0))
     return sums.withColumn("f1", F.coalesce(f1, F.lit(0.0)))
 
@@ -72,34 +77,33 @@ def coverage_at(df: DataFrame, conf: str = "conf", tau: float = 0.6) -> DataFram
 
 
 def eval_summary(df: DataFrame, truth: str, pred: str, conf: str, tau: float = 0.6) -> DataFrame:
-    """One row: macro_f1, accuracy, coverage, fallback_rate, tau, classes."""
+    """One row: macro_f1, accuracy, coverage, fallback_rate, tau, classes; one pass over the rows."""
     pairs = pair_counts(df, truth, pred, weighted_count(F.col(conf) >= tau).alias("covered"))
-    overall = pairs.agg(
-        (F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy_top1"),
-        (F.sum("covered") / F.sum("n")).alias("coverage_at_tau"),
-        F.array_sort(F.collect_set("truth")).alias("classes"),
-    )
-    return overall.select(
-        class_scores(pairs).agg(F.avg("f1")).scalar().alias("macro_f1"),
-        "accuracy_top1", "coverage_at_tau",
-        (1.0 - F.col("coverage_at_tau")).alias("fallback_rate"),
-        F.lit(tau).alias("tau"), "classes",
+    rows = F.sum(F.col("tp") + F.col("fn"))
+    return class_scores(pairs, ("covered",)).agg(
+        F.avg("f1").alias("macro_f1"),
+        (F.sum("tp") / rows).alias("accuracy_top1"),
+        (F.sum("covered") / rows).alias("coverage_at_tau"),
+        (1.0 - F.sum("covered") / rows).alias("fallback_rate"),
+        F.lit(tau).alias("tau"),
+        F.array_sort(F.collect_set(F.when(F.col("tp") + F.col("fn") > 0, F.col("class")))).alias("classes"),
     )
 
 
 def tau_sweep(df: DataFrame, truth: str, pred: str, conf: str, grid: list[float] | None = None) -> DataFrame:
     """Coverage and macro-F1 for every threshold, from one pass over the rows."""
     grid = grid or TAU_GRID
-    covered = [weighted_count(F.col(conf) >= tau).alias(f"_c{i}") for i, tau in enumerate(grid)]
-    pairs = pair_counts(df, truth, pred, *covered)
-    total = pairs.agg(F.sum("n").alias("n"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(grid))])
+    names = [f"_c{i}" for i in range(len(grid))]
+    covered = [weighted_count(F.col(conf) >= tau).alias(name) for name, tau in zip(names, grid)]
+    total = class_scores(pair_counts(df, truth, pred, *covered), tuple(names)).agg(
+        F.avg("f1").alias("macro_f1"), F.sum(F.col("tp") + F.col("fn")).alias("_n"),
+        *[F.sum(name).alias(name) for name in names],
+    )
     points = F.array(*[
-        F.struct(F.lit(tau).alias("tau"), (F.col(f"_c{i}") / F.col("n")).alias("coverage"))
-        for i, tau in enumerate(grid)
+        F.struct(F.lit(tau).alias("tau"), (F.col(name) / F.col("_n")).alias("coverage"), "macro_f1")
+        for name, tau in zip(names, grid)
     ])
-    return total.select(
-        F.inline(points)
-    ).withColumn("macro_f1", class_scores(pairs).agg(F.avg("f1")).scalar())
+    return total.select(F.inline(points))
 
 
 def recommend_tau(sweep: DataFrame, target: float = 0.9, pick: str = "highest") -> DataFrame:

@@ -23,23 +23,15 @@ CONTAINED_NAME = 0.05
 
 def _label_similarity(labels: list[str]):
     """Arrow function: text -> per label the best partial ratio of name and hints, 0..1."""
-    terms = {label: [label.lower(), *K.CATEGORY_HINTS.get(label, [])] for label in labels}
-    flat = [(i, term) for i, label in enumerate(labels) for term in terms[label]]
+    terms = [[label.lower(), *K.CATEGORY_HINTS.get(label, [])] for label in labels]
 
     @F.pandas_udf("array<struct<value:double,shown:string>>")
     def fuzzy(texts: pd.Series) -> pd.Series:
-        found = {}
         distinct = list(texts.dropna().unique())
-        for start in range(0, len(distinct), 2_000):
-            block = distinct[start : start + 2_000]
-            scores = similarity.partial_ratio(
-                [text for text in block for _ in flat], [term for _, term in flat] * len(block)
-            ).reshape(len(block), len(flat))
-            for text, line in zip(block, scores):
-                best = [0.0] * len(labels)
-                for (i, _), score in zip(flat, line):
-                    best[i] = max(best[i], float(score))
-                found[text] = [(0.01 * s, f"{0.01 * s:.3f}") for s in best]
+        best = 0.01 * similarity.best_partial_ratio(distinct, terms)
+        found = {
+            text: [(float(v), f"{v:.3f}") for v in line] for text, line in zip(distinct, best)
+        }
         return texts.map(lambda t: found.get(t))
 
     return fuzzy

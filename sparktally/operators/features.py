@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +54,15 @@ def char_tfidf(df: DataFrame, text: str, low: int = 1, high: int = 5, max_featur
 
 
 def encode_labels(df: DataFrame, label: str, code: str = "label_index") -> DataFrame:
-    """Add the position of the label among the sorted distinct labels."""
-    classes = df.select(label).where(F.col(label).isNotNull()).distinct()
-    # one row per class
-    codes = classes.withColumn(code, (F.row_number().over(Window.orderBy(label)) - 1).cast("bigint"))
-    return df.join(codes, label, "left")
+    """Add the position of the label among the sorted distinct labels.
+
+    The fitted class list travels with the transform: rows stay where they are.
+    """
+    named = df.withColumn("_label", F.coalesce(F.col(label).cast("string"), F.lit("")))
+    indexer = StringIndexer(inputCol="_label", outputCol="_code", stringOrderType="alphabetAsc")
+    fitted = indexer.fit(named.where(F.col(label).isNotNull())).setHandleInvalid("keep")
+    coded = F.when(F.col(label).isNotNull(), F.col("_code").cast("bigint"))
+    return fitted.transform(named).withColumn(code, coded).drop("_label", "_code")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, val: float = 0.2, seed: int = 42) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparktally.sources.tables import read_table
+
 LABEL_SEED_SQL = """
 SELECT * FROM (VALUES
 (0,'CB CARREFOUR 75 PARIS','Groceries','carrefour',5411),
@@ -67,7 +69,7 @@ WITH_TX = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,20 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table, with at least one partition per core.
+
+    A table with fewer splits than cores (a single small file, say) would leave
+    cores idle under row-heavy text work, so only then its rows are spread by
+    the first column. Tables of many splits are read as they are.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, df.columns[0])
+    return df
+
+
 def _named_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV columns by header name, as text: only the header line is read up front."""
     return spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
