@@ -199,6 +199,32 @@ def char_ngrams(c: Column | str, low: int = 1, high: int = 5) -> Column:
     )
 
 
+def one_per_row(df: DataFrame, keep: list[str], items: Column | str, name: str) -> DataFrame:
+    """The kept columns and one row per non-null item.
+
+    A plain explode makes Spark test the array for emptiness in a filter of its
+    own, which computes costly arrays a second time. The outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
+def ngram_rows(df: DataFrame, keep: list[str], text: str, low: int = 1, high: int = 5,
+               name: str = "gram") -> DataFrame:
+    """One row per character n-gram occurrence, as ``char_ngrams`` lists them.
+
+    Positions are exploded before the pieces are cut, so that generation, cutting
+    and a following partial aggregation compile into one loop.
+    """
+    collapsed = df.select(*keep, F.regexp_replace(text, BLANKS_TO_ONE, " ").alias("_t"))
+    size = F.length("_t")
+    starts = F.when(size >= low, F.sequence(F.lit(1), size - (low - 1)))
+    placed = collapsed.select(*keep, "_t", F.explode_outer(starts).alias("_i"))
+    pieces = F.array(*[
+        F.when(F.col("_i") + (n - 1) <= size, F.substring("_t", F.col("_i"), F.lit(n))) for n in range(low, high + 1)
+    ])
+    return one_per_row(placed, keep, pieces, name)
+
+
 # ------------------------------------------------------------ document words
 
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktally.functions.text import char_ngrams
+from sparktally.functions.text import ngram_rows
 from sparktally.operators.cumulative import running_totals, weighted_count
 
 MAX_FEATURES = 200_000
@@ -27,7 +27,7 @@ def ngram_counts(df: DataFrame, text: str, weights: dict[str, Column] | None = N
     texts = df.groupBy(F.col(text).alias("_text")).agg(
         *[F.sum(w.cast("bigint")).alias(name) for name, w in weights.items()]
     )
-    grams = texts.select(F.explode(char_ngrams("_text", low, high)).alias("gram"), *weights)
+    grams = ngram_rows(texts, list(weights), "_text", low, high)
     counts = grams.groupBy("gram").agg(*[F.sum(name).alias(name) for name in weights])
     if vocabulary is None:
         return counts

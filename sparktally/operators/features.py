@@ -6,19 +6,20 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktally.functions.text import char_ngrams
+from sparktally.functions.text import char_ngrams, ngram_rows, one_per_row
+from sparktally.session import cut_lineage
 
 MAX_FEATURES = 200_000
 
 
 def bag_of_words(df: DataFrame, doc: str, terms: str) -> DataFrame:
     """doc, term, n: one row per distinct term of a document."""
-    return df.select(doc, F.explode(terms).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("n"))
+    return one_per_row(df, [doc], terms, "term").groupBy(doc, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vocabulary(df: DataFrame, terms: str, preview: int = 30) -> DataFrame:
     """Number of distinct terms and the first ones in order."""
-    distinct = df.select(F.explode(terms).alias("term")).distinct()
+    distinct = one_per_row(df, [], terms, "term").distinct()
     first = distinct.orderBy("term").limit(preview)
     return first.agg(F.array_sort(F.collect_list("term")).alias("preview")).select(
         distinct.agg(F.count(F.lit(1))).scalar().alias("vocabulary_size"), "preview")
@@ -29,19 +30,26 @@ def tfidf(df: DataFrame, doc: str, terms: str, weight: str | None = None,
     """doc, term, tf, tfidf with smoothed idf and unit length per document.
 
     idf = ln((1 + n) / (1 + df)) + 1. ``weight`` is the number of copies a
-    document stands for, so equal texts need to be split only once.
+    document stands for, so equal texts need to be split only once; rows with a
+    weight are expected to come from a grouping by ``doc``.
+
+    Documents are placed by key before their terms are listed. Term counts and
+    lengths then need no further shuffle, and the term table, written once, is
+    broadcast if its file is small enough for Spark to do so.
     """
     copies = F.col(weight) if weight else F.lit(1)
     docs = df.select(doc, copies.cast("bigint").alias("_w"), terms)
-    counts = docs.select(doc, "_w", F.explode(terms).alias("term")).groupBy(doc, "_w", "term").agg(
+    placed = docs if weight else docs.repartition(doc)
+    counts = one_per_row(placed, [doc, "_w"], terms, "term").groupBy(doc, "_w", "term").agg(
         F.count(F.lit(1)).alias("tf"))
     known = counts.groupBy("term").agg(
         F.sum("_w").alias("_df"), F.sum(F.col("_w") * F.col("tf")).alias("_corpus"))
     if max_features is not None:
         known = known.orderBy(F.desc("_corpus"), "term").limit(max_features)
+    known = cut_lineage(known.select("term", "_df"), "terms")
     n = docs.agg(F.sum("_w")).scalar()
     idf = F.ln((1.0 + n) / (1.0 + F.col("_df"))) + 1.0
-    weighted = counts.join(known.select("term", "_df"), "term").withColumn("_x", F.col("tf") * idf)
+    weighted = counts.join(known, "term").withColumn("_x", F.col("tf") * idf)
     length = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(doc)))
     return weighted.select(doc, "term", "tf", (F.col("_x") / length).alias("tfidf"))
 
@@ -104,7 +112,7 @@ def oov_rate_row(df: DataFrame, key: str, text: str, vocab: DataFrame, low: int
     Distinct texts are split and looked up once, then joined back.
     """
     texts = df.select(F.col(text).alias("_text")).distinct()
-    grams = texts.select("_text", F.explode(char_ngrams("_text", low, high)).alias("gram"))
+    grams = ngram_rows(texts, ["_text"], "_text", low, high)
     known = vocab.select("gram").distinct().withColumn("_known", F.lit(True))
     rates = grams.join(known, "gram", "left").groupBy("_text").agg(
         F.avg(F.when(F.col("_known"), 0.0).otherwise(1.0)).alias("oov"))
