@@ -32,17 +32,18 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster a
-    machine-local path would lose data with its executor, so that is an error.
+    Only a local master may fall back to a temporary folder, set once per
+    application: on a cluster a machine-local path would lose data with its
+    executor, so that is an error.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    fallback = tempfile.mkdtemp(prefix="sparktally-")
-    spark.conf.set(CHECKPOINT_KEY, fallback)
-    return fallback
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="sparktally-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
