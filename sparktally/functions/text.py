@@ -140,16 +140,18 @@ def mask_pii(c: Column | str, iban_mask: str = "always") -> Column:
 # --------------------------------------------------------- types and tokens
 
 def operation_type(label: Column | str, channel: Column | str) -> Column:
-    """From the channel if it is a known one, else from the label's prefix."""
+    """From the channel if it is a known one, else from the label's prefix.
+
+    The prefix is a code and a space in front of more text, in any case.
+    """
+    codes = list(K.OPERATION_TYPES)
     channel = F.upper(strip(F.coalesce(_column(channel), F.lit(""))))
-    label = F.upper(strip(F.coalesce(_column(label), F.lit(""))))
-    by_channel = [(channel == code, kind) for code, kind in K.OPERATION_TYPES.items()]
-    by_prefix = [(label.startswith(code + " "), kind) for code, kind in K.OPERATION_TYPES.items()]
-    (first, kind), *rest = by_channel + by_prefix
-    out = F.when(first, kind)
-    for condition, kind in rest:
-        out = out.when(condition, kind)
-    return out.otherwise(K.UNKNOWN_OPERATION)
+    more_text = "(?=.*[^" + K.BLANK[1:] + ")"
+    prefix = F.regexp_extract(
+        F.coalesce(_column(label), F.lit("")), f"(?is)^{K.BLANK}*({'|'.join(codes)}) {more_text}", 1)
+    code = F.when(channel.isin(codes), channel).otherwise(F.upper(prefix))
+    kinds = F.create_map(*[F.lit(x) for pair in K.OPERATION_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(kinds, code), F.lit(K.UNKNOWN_OPERATION))
 
 
 def tokenize(c: Column | str) -> Column:

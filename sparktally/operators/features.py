@@ -79,7 +79,8 @@ def stratified_split(df: DataFrame, key: str, label: str, val: float = 0.2, seed
     Rows rank by md5 of the key within their class. Counts of 4096 hash slices
     locate the slice that holds the last val row of a class, and only that slice
     is ranked; every row then compares itself with that one cut. A class of
-    any size is never gathered in one task.
+    any size is never gathered in one task. The tables of edges and cuts have
+    one row per class; they are written, so their real size decides the joins.
     """
     def draw() -> Column:
         return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
@@ -93,14 +94,13 @@ def stratified_split(df: DataFrame, key: str, label: str, val: float = 0.2, seed
         F.floor(F.sum("_n").over(Window.partitionBy(label)) * F.lit(val) + 0.5).alias("_wanted"))
     edge = counted.where("_cum >= _wanted AND _cum - _n < _wanted AND _wanted > 0").select(
         F.col(label).alias("_label"), "_slice", (F.col("_wanted") - (F.col("_cum") - F.col("_n"))).alias("_take"))
+    edge = cut_lineage(edge.withColumnRenamed("_slice", "_edge"), "edges")
     same_class = F.col(label).eqNullSafe(F.col("_label"))
-    # one row per class on the small side
-    inside = drawn.join(F.broadcast(edge.withColumnRenamed("_slice", "_edge")),
-                        same_class & (F.col("_slice") == F.col("_edge")))
+    inside = drawn.join(edge, same_class & (F.col("_slice") == F.col("_edge")))
     rank = F.row_number().over(Window.partitionBy("_label").orderBy("_h", "_key"))
     cuts = inside.withColumn("_r", rank).where("_r = _take").select(
         "_label", F.col("_h").alias("_cut_h"), F.col("_key").alias("_cut_key"))
-    hashed = df.withColumn("_h", draw()).join(F.broadcast(cuts), same_class, "left")
+    hashed = df.withColumn("_h", draw()).join(cut_lineage(cuts, "cuts"), same_class, "left")
     chosen = (F.col("_h") < F.col("_cut_h")) | (
         (F.col("_h") == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_key")))
     return hashed.select(*df.columns, F.when(chosen, "val").otherwise("train").alias("part"))

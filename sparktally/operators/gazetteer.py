@@ -11,8 +11,10 @@ Two exact ways, chosen by a count that stops at the bound:
   and padded trigrams. For scores of at least 80 that join loses no pair: an
   Indel score s leaves at most (1 - s/100) of both lengths to edits, an edit
   touches at most three of the length + 2 padded trigrams, so one stays shared.
-  Inside the join a bound in the JVM drops pairs that cannot reach the cut, and
-  labels are salted, so a token held by a third of them is spread out.
+  Inside the join a bound in the JVM drops pairs that cannot reach the cut. A
+  counted key table within its own bound is broadcast, so labels stay in place;
+  a larger one meets them in a shuffle, in which labels are salted, so a token
+  held by a third of them is spread out.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktally.functions import similarity
-from sparktally.functions.text import bind, char_ngrams, normalize_merchant_text, strip
+from sparktally.functions.text import bind, char_ngrams, normalize_merchant_text, one_per_row, strip
+from sparktally.session import cut_lineage
 
 MAX_SHIPPED = 2_000
+#: Rows of the alias key table, of about a hundred bytes each, that may be broadcast.
+MAX_BROADCAST_KEYS = 300_000
 SALTS = 16
 #: Label-alias pairs scored at once within a task.
 PAIR_BLOCK = 200_000
@@ -156,27 +161,31 @@ def _weighted_may_reach(label: str, alias: str, label_tokens: str, alias_tokens:
     return (shorter > 0) & (contained | near)
 
 
-def blocked_scores(labels: DataFrame, aliases: DataFrame, scorer: str, floor: float, salts: int = SALTS) -> DataFrame:
+def blocked_scores(labels: DataFrame, aliases: DataFrame, scorer: str, floor: float,
+                   max_broadcast: int = MAX_BROADCAST_KEYS, salts: int = SALTS) -> DataFrame:
     """label, alias columns and score for every pair that scores at least ``floor``.
 
     ``labels`` holds distinct texts in the column ``label``.
     """
-    if scorer == "token_set" and floor < 80 or scorer == "weighted_ratio" and floor < 90:
-        raise ValueError(f"the blocked join is exact for {scorer} from {80 if scorer == 'token_set' else 90} on")
-    left = labels.select(
-        "label", _sorted_tokens(F.col("label")).alias("label_tokens"),
-        F.pmod(F.xxhash64("label"), F.lit(salts)).cast("int").alias("salt"),
-        F.explode(_blocking_keys(F.col("label"))).alias("key"),
-    )
-    right = aliases.select(
-        *_COLUMNS, _sorted_tokens(F.col("alias")).alias("alias_tokens"),
-        F.explode(_blocking_keys(F.col("alias"))).alias("key"),
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    lowest = {"token_set": 80, "weighted_ratio": 90}[scorer]
+    if floor < lowest:
+        raise ValueError(f"the blocked join is exact for {scorer} from {lowest} on")
+    tokens = labels.select("label", _sorted_tokens(F.col("label")).alias("label_tokens"))
+    left = one_per_row(tokens, ["label", "label_tokens"], _blocking_keys(F.col("label")), "key")
+    named = aliases.select(*_COLUMNS, _sorted_tokens(F.col("alias")).alias("alias_tokens"))
+    right = cut_lineage(
+        one_per_row(named, [*_COLUMNS, "alias_tokens"], _blocking_keys(F.col("alias")), "key"), "alias-keys")
+    if right.limit(max_broadcast + 1).count() <= max_broadcast:
+        joined = left.join(F.broadcast(right), "key")
+    else:
+        salted = left.withColumn("salt", F.pmod(F.xxhash64("label"), F.lit(salts)).cast("int"))
+        copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = salted.join(copies, ["key", "salt"])
     may_reach = (
         _token_set_may_reach("label_tokens", "alias_tokens", floor) if scorer == "token_set"
         else _weighted_may_reach("label", "alias", "label_tokens", "alias_tokens", floor)
     )
-    pairs = left.join(right, ["key", "salt"]).where(may_reach).select("label", *_COLUMNS).distinct()
+    pairs = joined.where(may_reach).select("label", *_COLUMNS).distinct()
     scored = similarity.score_pairs(pairs, "label", "alias", [scorer])
     return scored.withColumnRenamed(scorer, "score").where(F.col("score") >= floor)
 

@@ -222,8 +222,14 @@ def _calibrated(df: DataFrame, calibrators: list) -> DataFrame:
 # --------------------------------------------------------------- embeddings
 
 def word2vec(df: DataFrame, tokens: str, size: int = 100, window: int = 5, min_count: int = 1,
-             epochs: int = 200, seed: int = 42, partitions: int = 1):
-    """Skip-gram word vectors; the model's ``getVectors()`` holds one row per word."""
+             epochs: int = 200, seed: int = 42, partitions: int | None = None):
+    """Skip-gram word vectors; the model's ``getVectors()`` holds one row per word.
+
+    Training runs in ``partitions`` parts (all cores if not given), whose vectors
+    are merged after every epoch; Spark's own default of one part would
+    pass the whole corpus through one task.
+    """
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
     return Word2Vec(
         inputCol=tokens, outputCol="document_vector", vectorSize=size, windowSize=window, minCount=min_count,
         maxIter=epochs, seed=seed, numPartitions=partitions).fit(df)

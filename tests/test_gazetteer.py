@@ -63,12 +63,13 @@ def _random_texts(seed, n):
     return sorted({" ".join(word() for _ in range(r.randint(1, 4))) for _ in range(n)} - {""})
 
 
-@pytest.mark.parametrize("threshold", [80, 86, 95])
-def test_blocked_token_set_loses_nothing(spark, threshold):
+@pytest.mark.parametrize("threshold,max_broadcast", [(80, 0), (86, 0), (86, 10**6), (95, 0)])
+def test_blocked_token_set_loses_nothing(spark, threshold, max_broadcast):
     labels, aliases = _random_texts(1, 250), _random_texts(2, 120)
     rows = spark.createDataFrame([(x,) for x in labels], "label string")
     names = G.merchant_aliases(gaz(spark, aliases))
-    got = {(r.label, r.alias_idx): r.score for r in G.blocked_scores(rows, names, "token_set", float(threshold)).collect()}
+    got = {(r.label, r.alias_idx): r.score for r in G.blocked_scores(
+        rows, names, "token_set", float(threshold), max_broadcast).collect()}
     want = {}
     for r in names.collect():
         for label, score in zip(labels, S.token_set_ratio(labels, [r.alias] * len(labels))):
@@ -77,11 +78,13 @@ def test_blocked_token_set_loses_nothing(spark, threshold):
     assert got == pytest.approx(want) and want
 
 
-def test_blocked_weighted_ratio_loses_nothing(spark):
+@pytest.mark.parametrize("max_broadcast", [0, 10**6])
+def test_blocked_weighted_ratio_loses_nothing(spark, max_broadcast):
     labels, aliases = _random_texts(3, 250), _random_texts(4, 120) + ["x", "bk", "a"]
     rows = spark.createDataFrame([(x,) for x in labels + ["b", "xy"]], "label string")
     names = G.plain_aliases(gaz(spark, aliases))
-    got = {(r.label, r.alias_idx): r.score for r in G.blocked_scores(rows, names, "weighted_ratio", 90.0).collect()}
+    got = {(r.label, r.alias_idx): r.score for r in G.blocked_scores(
+        rows, names, "weighted_ratio", 90.0, max_broadcast).collect()}
     want = {}
     for i, alias in enumerate(aliases):
         texts = labels + ["b", "xy"]
