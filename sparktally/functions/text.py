@@ -24,6 +24,25 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fixed_point(c: Column, digits: int) -> Column:
+    """Non-negative number as text with ``digits`` decimals, rounded by its exact value.
+
+    Spark rounds the shortest decimal form: 0.855 would give 0.86 although the
+    double lies below the tie. Here the number is split into two halves whose
+    products are exact, which tells the side of the tie; true ties go to even.
+    """
+    scale = 10 ** digits
+
+    def decide(x: Column) -> Column:
+        whole = F.floor(x * scale).cast("double")
+        upper = x * 134217729.0 - (x * 134217729.0 - x)
+        past_tie = (upper * (2.0 * scale) - (whole * 2.0 + 1.0)) + (x - upper) * (2.0 * scale)
+        up = (past_tie > 0) | ((past_tie == 0) & (whole % 2 == 1))
+        return F.format_string(f"%.{digits}f", (whole + F.when(up, 1.0).otherwise(0.0)) / scale)
+
+    return F.when(c.isNotNull(), bind(c.cast("double"), decide))
+
+
 # ----------------------------------------------------------------- folding
 
 @lru_cache

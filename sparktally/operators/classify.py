@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktally.functions.text import model_text, preprocess
+from sparktally.functions.text import fixed_point, model_text, preprocess
 from sparktally.operators import fallback as fb
 from sparktally.operators.cumulative import weighted_count
 from sparktally.operators.gazetteer import resolve_merchant
@@ -88,8 +88,8 @@ def classify(df: DataFrame, gaz: DataFrame | None = None, model: Model | None =
     judged = fb.fallback(opened, labels or [], scorer, "_open", fuzzy)
     ok = F.col("_ok")
     model_part = F.concat(
-        F.lit("model:pmax="), F.format_string("%.3f", F.bround("model_pmax", 3)),
-        F.lit(" | oov="), F.format_string("%.2f", F.bround("model_oov", 2)))
+        F.lit("model:pmax="), fixed_point(F.col("model_pmax"), 3),
+        F.lit(" | oov="), fixed_point(F.col("model_oov"), 2))
     route = F.when(merchant.isNotNull(), "gazetteer>model").otherwise("model")
     best = F.greatest(F.col("model_pmax"), F.col(fb.CONFIDENCE))
     misses = output(judged, {

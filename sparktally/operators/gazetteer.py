@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktally.functions import similarity
-from sparktally.functions.text import bind, char_ngrams, normalize_merchant_text, one_per_row, strip
+from sparktally.functions.text import bind, char_ngrams, fixed_point, normalize_merchant_text, one_per_row, strip
 from sparktally.session import cut_lineage
 
 MAX_SHIPPED = 2_000
@@ -299,7 +299,7 @@ def resolve_merchant(df: DataFrame, gaz: DataFrame, cut: float = 0.90, text: str
         found = _attach(query, _best_per_label(scored), "_query")
     score = F.col("_best.score") / 100.0
     accepted = score >= cut
-    shown = F.concat(F.col("_best.alias"), F.lit("|score:"), F.format_string("%.2f", F.bround(score, 2)))
+    shown = F.concat(F.col("_best.alias"), F.lit("|score:"), fixed_point(score, 2))
     return found.select(
         *df.columns,
         F.when(accepted, F.col("_best.merchant_id")).alias("gaz_merchant_id"),

@@ -95,9 +95,41 @@ def resolve_merchant_blocked(spark, sf):
     return G.resolve_merchant(_normalized(spark, sf), gazetteer(spark), max_shipped=0).select(*_RESOLVE_COLUMNS)
 
 
-@query("resolve_merchant_explained")
+#: Weighted ratio of every distinct normalized label and alias, best first, as SQL.
+EXPLAINED = f"""ex_texts AS (SELECT DISTINCT normalized AS t FROM prepared),
+ex_pairs AS (SELECT t, alias_idx, trim(lower(alias)) AS a, list_sort(string_split(t, ' ')) AS tt,
+  list_sort(string_split(trim(lower(alias)), ' ')) AS ta FROM ex_texts, gaz),
+ex_all AS (SELECT *, CAST(greatest(length(t), length(a)) AS DOUBLE) / nullif(least(length(t), length(a)), 0) AS q,
+  array_to_string(tt, ' ') AS ts, array_to_string(ta, ' ') AS as_,
+  array_to_string(list_sort(list_distinct(tt)), ' ') AS dt, array_to_string(list_sort(list_distinct(ta)), ' ') AS da,
+  len(list_intersect(tt, ta)) > 0 AS sharing FROM ex_pairs WHERE t <> '' AND a <> ''),
+ex_near AS (SELECT * FROM ex_all WHERE q < 1.5),
+ex_far AS (SELECT * FROM ex_all WHERE q >= 1.5),
+{S.token_set_steps("ex_near", "t", "a", "t, alias_idx", "ex_set")},
+{S.partial_steps("ex_far", "t, alias_idx", "t", "a", "ex_plain")},
+{S.partial_steps("ex_far", "t, alias_idx", "ts", "as_", "ex_sorted")},
+{S.partial_steps("ex_far", "t, alias_idx", "dt", "da", "ex_distinct")},
+ex_scores AS (
+  SELECT t, alias_idx, 0::DOUBLE AS score FROM ex_pairs WHERE t = '' OR a = ''
+  UNION ALL SELECT n.t, n.alias_idx, greatest({S.ratio("n.t", "n.a")}, 0.95::DOUBLE * greatest({S.ratio("n.ts", "n.as_")}, s.score))
+  FROM ex_near n JOIN ex_set s ON n.t = s.t AND n.alias_idx = s.alias_idx
+  UNION ALL SELECT f.t, f.alias_idx, greatest({S.ratio("f.t", "f.a")}, p.score * CASE WHEN q <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END,
+    CASE WHEN sharing THEN 100::DOUBLE ELSE greatest(o.score, d.score) END * 0.95::DOUBLE * CASE WHEN q <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END)
+  FROM ex_far f JOIN ex_plain p ON f.t = p.t AND f.alias_idx = p.alias_idx JOIN ex_sorted o ON f.t = o.t AND f.alias_idx = o.alias_idx
+  JOIN ex_distinct d ON f.t = d.t AND f.alias_idx = d.alias_idx),
+ex_ranked AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, alias_idx) AS r FROM ex_scores),
+explained AS (SELECT e.t, score / 100 AS gaz_score, trim(lower(alias)) AS alias, merchant_id, display_name
+  FROM ex_ranked e JOIN gaz ON e.alias_idx = gaz.alias_idx WHERE r = 1)"""
+
+
+@query("resolve_merchant_explained", f"""{PREPARED}, {EXPLAINED}
+SELECT tx_id, CASE WHEN gaz_score >= 0.9::DOUBLE THEN merchant_id END AS gaz_merchant_id,
+  CASE WHEN gaz_score >= 0.9::DOUBLE THEN display_name END AS gaz_display, ROUND(gaz_score, 9) AS gaz_score,
+  concat(CASE WHEN gaz_score >= 0.9::DOUBLE THEN 'alias:' ELSE 'weak-alias:' END, alias, '|score:', printf('%.2f', gaz_score)) AS gaz_reason
+FROM prepared JOIN explained ON normalized = t""")
 def resolve_merchant_explained(spark, sf):
-    return G.resolve_merchant(_normalized(spark, sf), gazetteer(spark), explain_weak=True).select(*_RESOLVE_COLUMNS)
+    resolved = G.resolve_merchant(_normalized(spark, sf), gazetteer(spark), explain_weak=True)
+    return resolved.withColumn("gaz_score", F.round("gaz_score", 9)).select(*_RESOLVE_COLUMNS)
 
 
 @query("score_pairs", f"""{PREPARED},

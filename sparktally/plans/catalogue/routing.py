@@ -37,16 +37,9 @@ verdicts AS (SELECT t, label AS fb_category, p AS fb_confidence,
 _CONTAINS = "fb_fuzzy AS (SELECT t, pos, CASE WHEN contains(t, lower(label)) THEN 0.05::DOUBLE ELSE 0::DOUBLE END AS fuzzy FROM fb_texts, fb_labels)"
 
 #: Best partial ratio of the label name and its hints.
-_WINDOW = "greatest(p, 1) : least(p + length(s) - 1, length(l))"
 _SIMILARITY = f"""fb_terms AS (SELECT DISTINCT term FROM (VALUES {_TERM_ROWS}) AS x(pos, term)),
-fb_pairs AS (
-  SELECT t, term, term AS s, t AS l FROM fb_texts, fb_terms WHERE length(term) <= length(t)
-  UNION ALL SELECT t, term, t, term FROM fb_texts, fb_terms WHERE length(term) >= length(t)),
-fb_masks AS (SELECT t, term, s, l, {S.bit_masks("l", "s")} AS m FROM fb_pairs WHERE s <> ''),
-fb_windows AS (SELECT t, term, list_max(list_transform(range(2 - length(s), length(l) + 1), lambda p: (1::DOUBLE -
-  (length(s) + len(m[{_WINDOW}]) - 2 * {S.lcs_of_masks(f"m[{_WINDOW}]", "s")})::DOUBLE / (length(s) + len(m[{_WINDOW}]))) * 100)) AS score
-  FROM fb_masks),
-fb_partial AS (SELECT t, term, max(score) AS score FROM fb_windows GROUP BY 1, 2),
+fb_pairs AS (SELECT t, term FROM fb_texts, fb_terms),
+{S.partial_steps("fb_pairs", "t, term", "t", "term", "fb_partial")},
 fb_fuzzy AS (SELECT a.t, x.pos, 0.01::DOUBLE * coalesce(max(score), 0) AS fuzzy
   FROM fb_texts a CROSS JOIN (VALUES {_TERM_ROWS}) AS x(pos, term)
   LEFT JOIN fb_partial f ON f.t = a.t AND f.term = x.term GROUP BY 1, 2)"""

@@ -127,3 +127,14 @@ def token_set_steps(source: str, a: str, b: str, keep: str, name: str = "token_s
     CASE WHEN li > 0 THEN greatest(100::DOUBLE - 100::DOUBLE * (sep + la) / (2 * li + sep + la),
                                    100::DOUBLE - 100::DOUBLE * (sep + lb) / (2 * li + sep + lb)) ELSE 0::DOUBLE END) END AS score
   FROM {name}_l)"""
+
+
+def partial_steps(source: str, keep: str, x: str, y: str, name: str) -> str:
+    """CTEs ending in ``name``: columns ``keep`` and the best window ratio of ``x`` and ``y``."""
+    window = "greatest(p, 1) : least(p + length(s) - 1, length(l))"
+    return f"""{name}_p AS (SELECT {keep}, {x} AS s, {y} AS l FROM {source} WHERE length({x}) <= length({y})
+  UNION ALL SELECT {keep}, {y}, {x} FROM {source} WHERE length({y}) <= length({x})),
+{name}_m AS (SELECT {keep}, s, l, {bit_masks("l", "s")} AS m FROM {name}_p WHERE s <> ''),
+{name} AS (SELECT {keep}, max(list_max(list_transform(range(2 - length(s), length(l) + 1), lambda p: (1::DOUBLE -
+  (length(s) + len(m[{window}]) - 2 * {lcs_of_masks(f"m[{window}]", "s")})::DOUBLE / (length(s) + len(m[{window}]))) * 100))) AS score
+  FROM {name}_m GROUP BY ALL)"""

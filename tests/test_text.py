@@ -85,3 +85,15 @@ def test_document_words(spark):
     text = "The quick-brown foxes, 2 of them: jumped OVER it! Été à Paris_1"
     assert one(spark, text, T.clean_tokens) == ["quickbrown", "foxes", "jumped", "été", "paris"]
     assert one(spark, text, T.word_tokens) == ["quick", "brown", "foxes", "jumped", "été", "paris_1"]
+
+
+@pytest.mark.parametrize("digits", [2, 3])
+def test_fixed_point_equals_exact_rounding(spark, digits):
+    import random
+
+    r = random.Random(digits)
+    values = [i / 10 ** (digits + 1) for i in range(10 ** (digits + 1) + 1)] + [r.random() for _ in range(500)]
+    values += [0.125, 0.375, 0.0625, 0.3125, 1 / 3, 0.1 + 0.2, 1.0, 0.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.fixed_point(F.col("v"), digits).alias("s"))
+    assert all(row.s == f"{row.v:.{digits}f}" for row in rows.collect())
+    assert spark.range(1).select(T.fixed_point(F.lit(None).cast("double"), 2)).first()[0] is None
