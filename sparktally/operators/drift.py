@@ -129,8 +129,7 @@ def category_mix(df: DataFrame, label: str) -> DataFrame:
     """Share of every label; a missing label is a class of its own."""
     counts = df.groupBy(F.coalesce(F.col(label).cast("string"), F.lit("nan")).alias("class")).agg(
         F.count(F.lit(1)).alias("n"))
-    total = Window.partitionBy()  # over one row per class
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(total))
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def largest_shift(train_mix: DataFrame, prod_mix: DataFrame) -> DataFrame:
@@ -219,9 +218,9 @@ def _shift_between(df: DataFrame, label: str, train: Column) -> DataFrame:
     counts = df.groupBy(F.coalesce(F.col(label).cast("string"), F.lit("nan")).alias("class")).agg(
         weighted_count(train).alias("a"), weighted_count(~train).alias("b")
     )
-    every = Window.partitionBy()  # over one row per class
+    totals = counts.agg(F.struct(F.sum("a").alias("a"), F.sum("b").alias("b"))).scalar()
     share = {
-        name: F.coalesce(F.col(n) / F.nullif(F.sum(n).over(every), F.lit(0)), F.lit(0.0)).alias(name)
+        name: F.coalesce(F.col(n) / F.nullif(totals[n], F.lit(0)), F.lit(0.0)).alias(name)
         for name, n in (("train", "a"), ("prod", "b"))
     }
     return (

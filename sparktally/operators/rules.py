@@ -30,22 +30,18 @@ def category_from_mcc(mcc: Column | str) -> Column:
 def keyword_category(text: Column | str, rules: list[tuple[str, str]] | None = None) -> Column:
     """First rule whose keyword is contained in the text, as a verdict or null.
 
-    The ordered rules are one literal array, so the expression stays small when
-    a filter on the outcome is pushed below the projection that made ``text``.
+    The text is bound to a variable first: a filter on the outcome that is pushed
+    below the projection that made ``text`` then repeats it once, not per rule.
     """
-    ordered = F.array(*[
-        F.struct(F.lit(w).alias("word"), F.lit(c).alias("category"))
-        for w, c in rules or K.KEYWORD_CATEGORIES
-    ])
-    first = bind(
-        _column(text), lambda t: F.get(F.filter(ordered, lambda r: F.contains(t, r["word"])), F.lit(0))
-    )
-    return bind(
-        first,
-        lambda r: F.when(
-            r.isNotNull(), _verdict(r["category"], F.concat(F.lit("keyword:"), r["word"]))
-        ),
-    )
+    (word, category), *rest = rules or K.KEYWORD_CATEGORIES
+
+    def first_hit(t: Column) -> Column:
+        out = F.when(F.contains(t, F.lit(word)), _verdict(category, f"keyword:{word}"))
+        for w, c in rest:
+            out = out.when(F.contains(t, F.lit(w)), _verdict(c, f"keyword:{w}"))
+        return out
+
+    return bind(_column(text), first_hit)
 
 
 def pattern_category(text: Column | str) -> Column:

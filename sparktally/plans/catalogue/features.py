@@ -6,7 +6,7 @@ from sparktally.functions import text as T
 from sparktally.functions import vectors as V
 from sparktally.operators import features as X
 from sparktally.plans import sqltext as S
-from sparktally.plans.catalogue.drift import PROFILE, prepared, profile, train
+from sparktally.plans.catalogue.drift import PROFILE, prepared, profile
 from sparktally.plans.catalogue.text import DOCUMENT_WORDS, PREPARED
 from sparktally.plans.fixtures import WITH_TX, table, transactions
 from sparktally.plans.registry import query

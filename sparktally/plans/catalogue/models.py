@@ -7,7 +7,10 @@ from sparktally.operators import classify as C
 from sparktally.operators import drift as D
 from sparktally.operators import evaluate as E
 from sparktally.operators import models as M
+from sparktally.plans import sqltext as S
 from sparktally.plans.catalogue.drift import prepared, train
+from sparktally.plans.catalogue.features import _tfidf_sql
+from sparktally.plans.catalogue.text import PREPARED
 from sparktally.plans.fixtures import gazetteer, table, transactions
 from sparktally.plans.registry import query
 from sparktally.session import scratch_path
@@ -29,14 +32,18 @@ def _trained(spark, sf, **options):
     return M.train(rows.where(train()), _forest(), **_SMALL, **options), rows
 
 
-@query("char_tfidf_vectors")
+@query("char_tfidf_vectors", f"""{PREPARED}, {_tfidf_sql(
+    f'docs AS (SELECT model_text AS doc, COUNT(*) AS copies, {S.ngrams("model_text", 1, 3)} AS terms FROM prepared GROUP BY 1)')},
+sums AS (SELECT doc, COUNT(*) AS terms, SUM(w) AS total, MAX(w) AS largest FROM weights GROUP BY doc)
+SELECT tx_id, terms, ROUND(total, 6) AS sum_weight, ROUND(largest, 6) AS max_weight FROM prepared JOIN sums ON doc = model_text""")
 def char_tfidf_vectors(spark, sf):
     rows = prepared(spark, sf)
-    features = M.fit_text_features(rows.where(train()), max_features=2000, high=3)
+    features = M.fit_text_features(rows, high=3)
     values = F.unwrap_udt("features")["values"]
     return features.transform(rows).select(
-        "tx_id", F.size(values).alias("terms"),
-        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+        "tx_id", F.size(values).cast("bigint").alias("terms"),
+        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 6).alias("sum_weight"),
+        F.round(F.array_max(values), 6).alias("max_weight"))
 
 
 @query("train_forest")

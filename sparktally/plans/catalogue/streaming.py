@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from sparktally import constants as K
-from sparktally.functions import text as T
 from sparktally.operators import drift as D
 from sparktally.plans.catalogue.drift import PROFILE, prepared, train
 from sparktally.plans.catalogue.routing import _CLASSIFY, _CLASSIFY_LABELS
