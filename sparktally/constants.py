@@ -106,6 +106,12 @@ ASCII_SPELLINGS = {
     "–": "-", "—": "--", "…": "...", "•": "*",
 }
 
+# --- compatibility forms that spell several ASCII characters or a digit -----------
+COMPATIBILITY_SPELLINGS = {
+    "²": "2", "³": "3", "¹": "1", "ª": "a", "º": "o", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi",
+    "ﬄ": "ffl", "ĳ": "ij", "Ĳ": "IJ", "™": "TM", "½": "1 2", "¼": "1 4", "¾": "3 4",
+}
+
 # --- English stop words dropped by the document tokenisers -----------------------
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself "

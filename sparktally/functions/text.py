@@ -104,7 +104,7 @@ def normalize_merchant_text(c: Column | str) -> Column:
     text = F.coalesce(_column(c), F.lit(""))
     letters, bases = accent_table()
     bare = F.regexp_replace(F.translate(text, letters, bases), r"[\x{300}-\x{36f}]", "")
-    for ch, expansion in _COMPATIBILITY_PAIRS:
+    for ch, expansion in K.COMPATIBILITY_SPELLINGS.items():
         bare = F.replace(bare, F.lit(ch), F.lit(expansion))
     s = F.regexp_replace(F.lower(_when_not_ascii(text, bare)), "[^a-z0-9]+", " ")
 
@@ -115,14 +115,6 @@ def normalize_merchant_text(c: Column | str) -> Column:
     return bind(F.trim(s), without_payment_words)
 
 
-# Compatibility forms that spell several ASCII characters or a digit.
-_COMPATIBILITY_PAIRS = [
-    ("²", "2"), ("³", "3"), ("¹", "1"), ("ª", "a"), ("º", "o"),
-    ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"),
-    ("ĳ", "ij"), ("Ĳ", "IJ"), ("™", "TM"), ("½", "1 2"), ("¼", "1 4"), ("¾", "3 4"),
-]
-
-
 # ----------------------------------------------------------------- masking
 
 def pii_matches(c: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparktally.functions.text import fixed_point, model_text, preprocess
 from sparktally.operators import fallback as fb
 from sparktally.operators.cumulative import weighted_count
-from sparktally.operators.gazetteer import resolve_merchant
+from sparktally.operators.gazetteer import MAX_SHIPPED, resolve_merchant
 from sparktally.operators.rules import apply_rules
 
 #: Confidence of a rule hit.
@@ -25,19 +25,21 @@ def _joined(*parts: Column) -> Column:
     return F.concat_ws(" | ", *parts)
 
 
-def prepare(df: DataFrame, gaz: DataFrame | None = None, gaz_cut: float = 0.90) -> DataFrame:
+def prepare(df: DataFrame, gaz: DataFrame | None = None, gaz_cut: float = 0.90,
+            max_shipped: int = MAX_SHIPPED) -> DataFrame:
     """Preprocessed rows with the rule outcome and the accepted merchant."""
     ruled = apply_rules(preprocess(df))
     if gaz is None:
         return ruled.withColumns({
             "gaz_display": F.lit(None).cast("string"), "gaz_reason": F.lit(None).cast("string")})
-    found = resolve_merchant(ruled, gaz, gaz_cut)
+    found = resolve_merchant(ruled, gaz, gaz_cut, max_shipped=max_shipped)
     return found.withColumn("gaz_reason", F.when(F.col("gaz_display").isNotNull(), F.col("gaz_reason")))
 
 
 def classify(df: DataFrame, gaz: DataFrame | None = None, model: Model | None = None, labels: list[str] | None = None,
              tau: float = 0.6, gaz_cut: float = 0.90, oov_tau: float = 0.55, fuzzy: str = "similarity",
-             scorer: Callable[[DataFrame], DataFrame] | None = None, keys: tuple[str, ...] = ("tx_id",)) -> DataFrame:
+             scorer: Callable[[DataFrame], DataFrame] | None = None, keys: tuple[str, ...] = ("tx_id",),
+             max_shipped: int = MAX_SHIPPED) -> DataFrame:
     """Route every transaction and explain the outcome.
 
     ``model`` adds model_category, model_pmax and model_oov to rows that have
@@ -48,7 +50,7 @@ def classify(df: DataFrame, gaz: DataFrame | None = None, model: Model | None =
     a null text for rule hits and skips them. With one, hits and misses part
     into two branches, since a model transform cannot skip rows.
     """
-    rows = prepare(df, gaz, gaz_cut)
+    rows = prepare(df, gaz, gaz_cut, max_shipped)
     merchant = F.col("gaz_display")
     gaz_part = F.concat(F.lit("gazetteer:"), F.col("gaz_reason"))
     hit = F.col("rule_hit")

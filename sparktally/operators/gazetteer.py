@@ -278,6 +278,8 @@ def resolve_merchant(df: DataFrame, gaz: DataFrame, cut: float = 0.90, text: str
     """
     aliases = plain_aliases(gaz)
     listed = _shipped(aliases, max_shipped)
+    if listed is None and df.isStreaming:
+        raise ValueError("a streamed query needs a gazetteer within the shipping bound; resolve per micro-batch instead")
     query = df.withColumn("_query", F.lower(text))
     if listed is not None and listed.empty:
         return df.withColumns({

@@ -27,6 +27,16 @@ def classify_stream(spark, sf):
     return spark.read.schema(routed.schema).parquet(path)
 
 
+@query("classify_batches", f"{_CLASSIFY} SELECT * FROM routed")
+def classify_batches(spark, sf):
+    """Per micro-batch, with the blocked join in place of the shipped gazetteer."""
+    path = scratch_path(spark, "classified")
+    ST.classify_batches(
+        transaction_stream(spark, sf), path, scratch_path(spark, "checkpoint"), gazetteer(spark), max_shipped=0,
+    ).awaitTermination()
+    return spark.read.parquet(path).drop("batch")
+
+
 @query("metrics_stream", f"""{_CLASSIFY_LABELS.replace("SELECT tx_id, operation_type, gaz_display", "SELECT tx_id, tx_date, operation_type, gaz_display")}
 SELECT CAST(CAST(tx_date AS TIMESTAMP) AS VARCHAR) AS window_start, COUNT(*) AS predict_requests_total,
   COUNT(*) FILTER (WHERE contains(router, 'llm')) AS fallback_total,

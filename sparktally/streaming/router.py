@@ -17,11 +17,27 @@ def classify_stream(stream: DataFrame, gaz: DataFrame | None = None, **options)
     """The router on a stream: stateless projections, so rows leave as they come.
 
     The gazetteer must stay within the shipping bound; the blocked join would
-    need a distinct over the stream.
+    need a distinct over the stream. ``classify_batches`` takes any size.
     """
     return classify(stream, gaz, **options)
 
 
+def classify_batches(stream: DataFrame, path: str, checkpoint: str, gaz: DataFrame | None = None,
+                     **options) -> StreamingQuery:
+    """The router per micro-batch, for gazetteers of any size.
+
+    Every batch has its own folder, overwritten if the batch is replayed.
+    """
+
+    def route(batch: DataFrame, batch_id: int) -> None:
+        classify(batch, gaz, **options).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(route).start()
+    )
+
+
 def metrics_stream(preds: DataFrame, ts: str, width: str = "1 day", delay: str = "1 hour", slide: str | None = None,
                    tau: float = 0.6) -> DataFrame:
     """Requests, fallbacks and coverage per event-time window; late rows go with the watermark."""

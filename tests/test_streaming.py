@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sparktally.operators import drift as D
@@ -30,3 +31,14 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{reports}/batch=1").first() == once
     assert once.n_grams == 12 and once.oov_rate == 0.5
     assert spark.read.parquet(f"{reports}/batch=0").first().oov_rate == 0.0
+
+
+def test_streamed_router_names_its_bound(spark, tmp_path):
+    from sparktally.plans.fixtures import gazetteer
+
+    schema = "tx_id string, raw_label string, channel string, mcc int"
+    spark.createDataFrame([("t", "CB EDF", "CB", None)], schema).write.parquet(str(tmp_path / "in"))
+    stream = ST.event_stream(spark, str(tmp_path / "in"), schema)
+    assert ST.classify_stream(stream, gazetteer(spark)).isStreaming
+    with pytest.raises(ValueError, match="bound"):
+        ST.classify_stream(stream, gazetteer(spark), max_shipped=3)
