@@ -83,6 +83,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool = True):
         n = len(data)
+        self.data = data = LOWER[data] if lower else data
         inside = ~separators[data]
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
@@ -94,7 +95,6 @@ class Words:
         after[row_ends[row_ends > 0] - 1] = False
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
-        self.data = LOWER[data] if lower else data
         self.first = np.searchsorted(self.starts, offsets)
         self.hashes = hash_spans(self.data, self.starts, self.ends)
 
