@@ -87,8 +87,8 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
                    text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (array of start, end in code points), items (sorted distinct strings) per row.
+                   block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``carry``, n_words, n_hit, spans (array of start, end in code points), items (sorted distinct strings) per row.
 
     A word is hit when it lies in an occurrence of ``window`` consecutive words of an
     item, or of a whole item that has fewer. Spans are maximal runs of hit words. Null
@@ -97,13 +97,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     doc_id stays null. Empty tables give no rows, or no hits. Extra columns are ignored.
     Reads the benchmark while it is being planned.
     """
-    src = plain(docs, doc_id, text)
+    src = plain(docs, doc_id, text, *carry)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema, arrow = schema_of(
-        src, doc_id, text, n_words=T.LongType(), n_hit=T.LongType(), spans=T.ArrayType(span),
+        src, doc_id, text, *carry, n_words=T.LongType(), n_hit=T.LongType(), spans=T.ArrayType(span),
         items=T.ArrayType(T.StringType()))
     out = src.select(
-        doc_id, text, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+        doc_id, text, *carry, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
         F.array().cast(T.ArrayType(span)).alias("spans"), F.array().cast("array<string>").alias("items"))
     spark = docs.sparkSession
     for items in [*_blocks(benchmark, item_id, item_text, block_bytes)] or [[]]:
@@ -131,7 +131,7 @@ def _mark(part: pa.RecordBatch, block: Block, arrow: pa.Schema) -> pa.RecordBatc
     np.add.at(cover, begin + block.lengths[window], -1)
     hit = np.cumsum(cover[:-1]) > 0
 
-    spans, items = part.column(4).to_pylist(), part.column(5).to_pylist()
+    spans, items = part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()
     n_hit = np.zeros(part.num_rows, np.int64)
     touched = set(row.tolist()) | {r for r, s in enumerate(spans) if s}
     for r, w in set(zip(row.tolist(), window.tolist())):
@@ -151,7 +151,7 @@ def _mark(part: pa.RecordBatch, block: Block, arrow: pa.Schema) -> pa.RecordBatc
         spans[r] = [{"start": int(starts[x]), "end": int(ends[y - 1])} for x, y in zip(edge[::2], edge[1::2])]
         n_hit[r] = mine.sum()
     return pa.RecordBatch.from_arrays([
-        part.column(0), part.column(1), pa.array(n_words.astype(np.int64)), pa.array(n_hit),
+        *part.columns[:-4], pa.array(n_words.astype(np.int64)), pa.array(n_hit),
         pa.array(spans, arrow.field("spans").type), pa.array(items, arrow.field("items").type)], schema=arrow)
 
 

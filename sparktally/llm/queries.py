@@ -134,3 +134,75 @@ def contamination(hits: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; documents with crc32 remainder 0 are held out."""
+    from sparktally.llm import langid
+    from sparktally.llm.arrow import fold
+
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs, folds=5, held_out=0))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; documents with crc32 remainder 1 are held out."""
+    from sparktally.llm import toxicity
+    from sparktally.llm.arrow import fold
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.toxicity(docs, model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "sentences")
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; documents with crc32 remainder 1 are held out."""
+    from sparktally.llm import quality
+    from sparktally.llm.arrow import fold
+
+    docs = table(spark, sf_dir, "documents")
+    found = quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op5_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text.
+
+    n_near: documents within the Hamming radius, for the query set of ids divisible by 100.
+    """
+    from sparktally.llm import simhash
+    from sparktally.llm.arrow import stored
+
+    found = simhash.edited_fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    found = stored(found, "fingerprints")
+    asked = found.where("doc_id % 100 = 0").select("doc_id", "fingerprint").distinct()
+    near = stored(simhash.count_within(asked, found.select("doc_id", "fingerprint")), "near")
+    near = near.select(F.col("query_id").alias("doc_id"), "n_near").groupBy("doc_id").agg(F.max("n_near").alias("n_near"))
+    return found.join(near, "doc_id", "left")
+
+
+@query("op8_lm_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document; documents with crc32 remainder 1 are held out."""
+    from sparktally.llm import lm
+    from sparktally.llm.arrow import fold
+
+    found = lm.score_texts(table(spark, sf_dir, "documents"), folds=5, held_out=1)
+    return found.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                        "base_score", "score")
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of all documents."""
+    from sparktally.llm import license_scan
+
+    return license_scan.scan(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"))
