@@ -170,8 +170,13 @@ def scan(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: st
     lines = paragraphs_of(src, doc_id, text)
     weights, least = train(lines.select("paragraph"), sample)
     # a paragraph is scored where it stands: no exchange is needed to bring its features together
-    found = _with_features(lines, _literals(f for f in weights if f)).where(F.size("features") > 0)
-    scored = _scored(found, weights).where(F.col("probability") >= least)
+    # rows are dropped by generators: a filter would be pushed below and repeat the work of all it reads
+    found = _with_features(lines, _literals(f for f in weights if f)).select(
+        "doc_id", "number", "paragraph", "words", F.explode(F.expr("IF(size(features) > 0, array(features), array())")).alias("features"))
+    scored = _scored(found, weights)
+    scored = scored.select(*found.columns, F.explode(F.filter(F.array(F.struct("family", "probability")),
+                                                              lambda b: b["probability"] >= least)).alias("best"))
+    scored = scored.select(*found.columns, "best.family", "best.probability")
     compared = templates(docs.sparkSession).withColumn("words", F.expr(_WORDS)).select(
         F.col("family").alias("of"), _triples("words").alias("triples"))
     lists = compared.groupBy("of").agg(F.collect_list("triples").alias("templates"))
@@ -187,6 +192,10 @@ def _literals(values) -> Column:
     return F.array(*[F.lit(v) for v in sorted(values)]).cast("array<string>")
 
 
+def _adder(weights: Column):
+    return lambda total, place: total + F.element_at(weights, place.cast("int"))
+
+
 def _scored(found: DataFrame, weights: dict[str, list[float]]) -> DataFrame:
     """``found`` with the likeliest licence family and its probability; the weights are literals of the plan."""
     classes = [*TEMPLATES, OTHER]
@@ -195,7 +204,7 @@ def _scored(found: DataFrame, weights: dict[str, list[float]]) -> DataFrame:
     z = []
     for i in range(len(classes)):
         column = F.array(*[F.lit(weights[n][i]) for n in names]).cast("array<double>")
-        z.append(F.aggregate("at", F.lit(weights[""][i]), lambda acc, p, c=column: acc + F.element_at(c, p.cast("int"))))
+        z.append(F.aggregate("at", F.lit(weights[""][i]), _adder(column)))
     out = found.withColumn("at", places).withColumn("z", F.array(*z)).withColumn("top", F.array_max("z"))
     out = out.withColumn("e", F.transform("z", lambda x: F.exp(x - F.col("top"))))
     total = F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x)

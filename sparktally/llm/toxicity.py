@@ -124,8 +124,12 @@ def noisy_or(log_clear: np.ndarray) -> np.ndarray:
 
 
 def fit_sentences(label: np.ndarray, sentences: np.ndarray, pairs: list[np.ndarray], n_features: int,
-                  rounds: int = 250, rate: float = 0.1, ridge: float = 2e-6) -> tuple[np.ndarray, float]:
-    """Weights and bias that maximise the likelihood of the document labels (Adam on the whole sample)."""
+                  rounds: int = 250, rate: float = 0.1, lasso: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights, none negative, and bias that maximise the likelihood of the document labels less ``lasso`` times the weights.
+
+    Adam on the whole sample with a proximal step in its metric: a feature gets a weight only if
+    its slope exceeds ``lasso``, which words that merely stand in a few toxic documents do not.
+    """
     sizes = np.array([len(p) for p in pairs])
     first = np.concatenate([[0], np.cumsum(sentences)])
     flat = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
@@ -143,9 +147,11 @@ def fit_sentences(label: np.ndarray, sentences: np.ndarray, pairs: list[np.ndarr
         toxic = np.maximum(noisy_or(clear), 1e-9)
         scale = np.where(label == 1, (1 - toxic) / toxic, -1.0) * balance
         slope = scale[doc] * p
-        g = np.append(np.bincount(feature, slope[sentence], minlength=n_features), slope.sum()) - ridge * w
+        g = np.append(np.bincount(feature, slope[sentence], minlength=n_features), slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
+        pace = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
+        w += pace * m / (1 - 0.9**step)
+        w[:-1] = np.maximum(w[:-1] - pace[:-1] * lasso, 0)
     return w[:-1], float(w[-1])
 
 
@@ -173,11 +179,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: in
     if not len(chosen):
         return Model(none, np.zeros(0, np.float32), 0.0, n1 / (n0 + n1))
     bags = _bags(texts, chosen).toArrow()
-    weights, bias = fit_sentences(
-        bags["label"].to_numpy().astype(np.int64), bags["sentences"].to_numpy().astype(np.int64),
-        [np.asarray(p.values) for p in bags["pairs"]], len(chosen))
-    strong = np.abs(weights) > 0.05
-    return Model(chosen[strong], weights[strong].astype(np.float32), bias)
+    label, sentences = bags["label"].to_numpy().astype(np.int64), bags["sentences"].to_numpy().astype(np.int64)
+    pairs = [np.asarray(p.values) for p in bags["pairs"]]
+    kept, weights, bias = fit_selected(label, sentences, pairs, len(chosen))
+    return Model(chosen[kept], weights.astype(np.float32), bias)
+
+
+def fit_selected(label: np.ndarray, sentences: np.ndarray, pairs: list[np.ndarray], n_features: int,
+                 lasso: float = 5e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features with a weight, weights, bias): chosen with the penalty, then fitted without, so that they are not shrunk."""
+    weights, _ = fit_sentences(label, sentences, pairs, n_features, lasso=lasso)
+    kept = np.flatnonzero(weights > 0.05)
+    number = np.full(n_features, -1)
+    number[kept] = np.arange(len(kept))
+    pairs = [p[number[p & 0xFFFFFFFF] >= 0] for p in pairs]
+    pairs = [p >> 32 << 32 | number[p & 0xFFFFFFFF] for p in pairs]
+    weights, bias = fit_sentences(label, sentences, pairs, len(kept), lasso=1e-6)
+    return kept, weights, bias
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id: str = "doc_id",
