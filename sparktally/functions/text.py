@@ -171,9 +171,13 @@ def tokenize(c: Column | str) -> Column:
 
 def preprocess(df: DataFrame, label: str = "raw_label", channel: str = "channel",
                iban_mask: str = "always") -> DataFrame:
-    """Add normalized, masked, tokens, has_iban, has_rum and operation_type."""
+    """Add normalized, masked, tokens, has_iban, has_rum and operation_type.
+
+    Channel and merchant code are optional: an absent column is added without values.
+    """
+    absent = {name: F.lit(None).cast(kind) for name, kind in ((channel, "string"), ("mcc", "int")) if name not in df.columns}
     return (
-        df.withColumn("normalized", normalize_label(label))
+        df.withColumns(absent).withColumn("normalized", normalize_label(label))
         .withColumns({
             "masked": mask_pii("normalized", iban_mask),
             "has_iban": F.upper("normalized").rlike(K.IBAN_PATTERN),
@@ -187,7 +191,7 @@ def preprocess(df: DataFrame, label: str = "raw_label", channel: str = "channel"
 def model_text(masked: Column | str = "masked", operation: Column | str = "operation_type",
                mcc: Column | str = "mcc") -> Column:
     """Masked text with operation and merchant-code words appended."""
-    mcc = _column(mcc).cast("int")
+    mcc = _column(mcc).try_cast("int")
     return F.concat(
         _column(masked), F.lit(" op:"), F.coalesce(_column(operation), F.lit(K.UNKNOWN_OPERATION)),
         F.lit(" mcc:"), F.when(mcc >= 0, mcc.cast("string")).otherwise("none"),

@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 
 from sparktally.session import cut_lineage
 
-#: Number of slices the value axis is cut into; also the size of the one small
-#: frame that a single task orders.
-SLICES = 512
+#: Distinct values per slice of the value axis, and the least number of slices.
+SLICE_VALUES = 200_000
+LEAST_SLICES = 64
 
 
-def running_totals(df: DataFrame, value: str, counts: list[str], slices: int = SLICES) -> DataFrame:
+def running_totals(df: DataFrame, value: str, counts: list[str], slices: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` and ``all_<c>`` for every count column, ordered by ``value``.
 
-    ``df`` holds one row per distinct value. The axis is cut at approximate
-    quantiles; a task orders one slice only, and slice totals (at most
-    ``slices`` rows) give each slice its starting point. The cuts affect the
+    ``df`` holds one row per distinct value, none of them null or NaN. The axis is cut at
+    approximate quantiles; a task orders one slice only, and slice totals give each slice
+    its starting point. The number of slices follows the number of values, so a slice
+    stays as small however many there are. The cuts affect the
     balance alone: totals are exact wherever they fall. The values are written
     once, so that finding the cuts does not run the plan behind them again.
     """
     df = cut_lineage(df, "values")
+    slices = slices or max(LEAST_SLICES, df.count() // SLICE_VALUES)
     cuts = sorted(set(df.approxQuantile(value, [i / slices for i in range(1, slices)], 0.5 / slices)))
     splits = [-math.inf, *cuts, math.inf]
     sliced = Bucketizer(splits=splits, inputCol="_value", outputCol="_slice").transform(
@@ -41,12 +43,17 @@ def running_totals(df: DataFrame, value: str, counts: list[str], slices: int = S
     )
     within = Window.partitionBy("_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        sliced.join(F.broadcast(offsets), "_slice")
+        sliced.join(offsets, "_slice")
         .withColumns({f"cum_{c}": F.col(f"_before_{c}") + F.sum(c).over(within) for c in counts})
         .drop("_slice", *[f"_before_{c}" for c in counts])
     )
 
 
+def is_number(value: str) -> Column:
+    """Neither null nor NaN."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
 def weighted_count(condition: Column) -> Column:
     """Rows that satisfy a condition, as a BIGINT aggregate (null counts as no)."""
     return F.count_if(F.coalesce(condition, F.lit(False)))

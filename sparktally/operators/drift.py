@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktally.functions.text import ngram_rows
-from sparktally.operators.cumulative import running_totals, weighted_count
+from sparktally.operators.cumulative import is_number, running_totals, weighted_count
 
 MAX_FEATURES = 200_000
 TOP_K = 500
@@ -86,7 +86,7 @@ def oov_rate(counts: DataFrame, vocab: DataFrame, n: str = "n_prod") -> DataFram
 
 def ks_two_sample(df: DataFrame, value: str, is_first: Column) -> DataFrame:
     """Largest distance of the two distribution functions and its asymptotic p-value."""
-    known = df.where(F.col(value).isNotNull() & is_first.isNotNull())
+    known = df.where(is_number(value) & is_first.isNotNull())
     by_value = known.groupBy(F.col(value).alias("v")).agg(
         weighted_count(is_first).alias("a"), weighted_count(~is_first).alias("b")
     )
@@ -108,19 +108,21 @@ def ks_two_sample(df: DataFrame, value: str, is_first: Column) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, is_train: Column, bins: int = 30) -> DataFrame:
-    """Equal-width bins of each population over its own range; the last bin is closed."""
+    """Equal-width bins of each population over its own range, empty ones included; the last bin is closed."""
     v = F.col(value).cast("double")
-    sides = df.where(v.isNotNull()).select(
+    sides = df.where(is_number(value)).select(
         F.when(is_train, "train").otherwise("prod").alias("side"), v.alias("v")
     )
     ranges = sides.groupBy("side").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     slot = F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
     bin_no = F.least(F.lit(bins - 1), F.coalesce(slot, F.lit(0))).cast("bigint")
     # two rows: one range per population
-    return (
+    counts = (
         sides.join(F.broadcast(ranges), "side")
         .groupBy("side", bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     )
+    grid = ranges.select("side", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
+    return grid.join(counts, ["side", "bin"], "left").select("side", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # -------------------------------------------------------------- category mix

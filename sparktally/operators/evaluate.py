@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktally import constants as K
-from sparktally.operators.cumulative import running_totals, weighted_count
+from sparktally.operators.cumulative import is_number, running_totals, weighted_count
 
 #: 26 thresholds from 0.40 to 0.90.
 TAU_GRID = [0.4 + i * 0.02 for i in range(25)] + [0.9]
@@ -56,17 +56,19 @@ def macro_f1(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """Counts of every truth and prediction class, empty cells included.
+    """Counts of every truth and prediction class, empty cells included; they add up to the rows.
 
-    The grid is made from the class list of the already counted pairs, so its
+    As in the other class metrics a missing label is a class of its own. The grid is made from the class list of the already counted pairs, so its
     size is the square of the number of classes, whatever the number of rows.
     """
     pairs = pair_counts(df, truth, pred)
-    classes = pairs.agg(
-        F.array_sort(F.array_union(F.collect_set("truth"), F.collect_set("pred"))).alias("c")
-    )
-    grid = classes.select("c", F.explode("c").alias("truth")).select("truth", F.explode("c").alias("pred"))
-    return grid.join(pairs, ["truth", "pred"], "left").select(
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("truth").alias("c")), F.struct(F.col("pred").alias("c")))).alias("s"))
+    classes = sides.agg(F.array_sort(F.collect_set("s")).alias("s"))  # in a struct null is kept
+    grid = classes.select("s", F.explode("s").alias("t")).select(F.col("t.c").alias("truth"), F.explode("s").alias("p")).select(
+        "truth", F.col("p.c").alias("pred"))
+    counted = pairs.select(F.col("truth").alias("_t"), F.col("pred").alias("_p"), "n")
+    same = F.col("truth").eqNullSafe(F.col("_t")) & F.col("pred").eqNullSafe(F.col("_p"))
+    return grid.join(counted, same, "left").select(
         "truth", "pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
 
@@ -129,8 +131,8 @@ def qualitative_sample(df: DataFrame, key: str, conf: str, n: int = 12, seed: in
 
 
 def percentile_summary(df: DataFrame, value: str, shares=(0.50, 0.95, 0.99)) -> DataFrame:
-    """count, p50, p95, p99 at rank round-half-even(share * (n - 1)), and max."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    """count, p50, p95, p99 at rank round-half-even(share * (n - 1)), and max; NaN counts as missing."""
+    counts = df.where(is_number(value)).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     ranked = running_totals(counts, value, ["n"])
     columns = [F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("count")]
     for share in shares:

@@ -3,22 +3,27 @@
 A gazetteer has the columns alias_idx, alias, merchant_id, display_name;
 ``alias_idx`` is the order of the source file and decides ties.
 
-Two exact ways, chosen by a count that stops at the bound:
-
-* up to ``MAX_SHIPPED`` aliases travel to the tasks with the scoring function.
-  No row is shuffled, which also serves streams;
-* beyond it distinct labels and aliases meet in an equi-join on shared tokens
-  and padded trigrams. For scores of at least 80 that join loses no pair: an
-  Indel score s leaves at most (1 - s/100) of both lengths to edits, an edit
-  touches at most three of the length + 2 padded trigrams, so one stays shared.
-  Inside the join a bound in the JVM drops pairs that cannot reach the cut. A
-  counted key table within its own bound is broadcast, so labels stay in place;
-  a larger one meets them in a shuffle, in which labels are salted, so a token
-  held by a third of them is spread out.
+Every threshold gives the same answer at every size. Three exact ways lead to it:
+
+* up to ``MAX_SHIPPED`` aliases travel to the tasks with the scoring function, which
+  scores only aliases whose best case, by letters and tokens in common, can still
+  win. No row is shuffled, which also serves streams;
+* beyond it, from a floor of 80 (token set) or 90 (weighted ratio) on, distinct labels
+  and aliases meet in an equi-join on shared tokens and padded trigrams, which loses
+  no such pair: an Indel score s leaves at most (1 - s/100) of both lengths to edits,
+  an edit touches at most three of the length + 2 padded trigrams, so one stays
+  shared. Inside the join a bound in the JVM drops pairs that cannot reach the floor.
+  A counted key table within its own bound is broadcast, so labels stay in place; a
+  larger one meets them in a shuffle, in which labels are salted;
+* below those floors any alias may be the best, so distinct labels (on streams all)
+  are held against the whole gazetteer in blocks of ``BLOCK`` aliases, one pass each,
+  with the same best-case test. Work then grows with labels times aliases.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,9 +37,17 @@ MAX_SHIPPED = 2_000
 #: Rows of the alias key table, of about a hundred bytes each, that may be broadcast.
 MAX_BROADCAST_KEYS = 300_000
 SALTS = 16
+#: Aliases per pass where the whole gazetteer has to be looked through.
+BLOCK = 20_000
+#: Aliases of highest best case that are scored first for every label.
+FIRST_LOOK = 8
+_LETTERS = 64
 #: Label-alias pairs scored at once within a task.
 PAIR_BLOCK = 200_000
 
+#: Floors from which the join on keys loses no pair.
+LOWEST_JOINED = {"token_set": 80, "weighted_ratio": 90}
+
 _CANDIDATE = "struct<alias_idx:bigint,merchant_id:string,display_name:string,alias:string,score:double>"
 _COLUMNS = ["alias_idx", "merchant_id", "display_name", "alias"]
 
@@ -59,44 +72,154 @@ def plain_aliases(gaz: DataFrame) -> DataFrame:
     )
 
 
+def _in_file_order(rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS).sort_values("alias_idx", kind="stable", ignore_index=True)
+
+
 def _shipped(aliases: DataFrame, max_shipped: int) -> pd.DataFrame | None:
     """The aliases in file order, or None if there are more than the bound."""
     rows = aliases.select(*_COLUMNS).limit(max_shipped + 1).collect()
-    if len(rows) > max_shipped:
-        return None
-    return pd.DataFrame(rows, columns=_COLUMNS).sort_values("alias_idx", kind="stable", ignore_index=True)
+    return None if len(rows) > max_shipped else _in_file_order(rows)
+
+
+def _alias_blocks(aliases: DataFrame, size: int):
+    """All aliases in blocks of about ``size``, each in file order."""
+    named = aliases.select(*_COLUMNS)
+    blocks = max(1, -(-named.count() // size))
+    for block in range(blocks):
+        yield _in_file_order(named.where(F.pmod(F.xxhash64("alias_idx", "alias"), F.lit(blocks)) == block).collect())
 
 
 # --------------------------------------------------- aliases with the function
 
-def _top_in_task(aliases: pd.DataFrame, k: int, scorer, keep_below: float | None):
-    """Arrow function: label -> best ``k`` aliases, best score first, then file order."""
+class _BestCase:
+    """Upper bounds of a score between a label and every alias, from letters and tokens in common."""
+
+    def __init__(self, names: list[str], weighted: bool):
+        self.weighted = weighted
+        profiles = [self.profile(x) for x in names]
+        self.letters = np.array([p[0] for p in profiles], np.int16).reshape(len(names), _LETTERS)
+        self.lengths = np.array([p[1:4] for p in profiles], float).reshape(len(names), 3)
+        self.postings: dict[str, list[int]] = {}
+        for i, p in enumerate(profiles):
+            for token in p[4]:
+                self.postings.setdefault(token, []).append(i)
+
+    @staticmethod
+    def profile(text: str):
+        """Counts by letter class, lengths as is, token-sorted and of distinct tokens, and the tokens."""
+        tokens = text.split()
+        distinct = set(tokens)
+        joined = " ".join(sorted(tokens))
+        counts = np.zeros((2, _LETTERS), np.int16)
+        for row, t in enumerate((text, joined)):
+            np.add.at(counts[row], np.frombuffer(t.encode("utf-32-le"), np.uint32) % _LETTERS, 1)
+        return counts.max(axis=0), len(text), len(joined), len(" ".join(distinct)), distinct
+
+    def of(self, label: str) -> np.ndarray:
+        letters, raw, joined, distinct, tokens = self.profile(label)
+        common = np.minimum(self.letters, letters).sum(axis=1).astype(float)
+        sharing = np.zeros(len(common), bool)
+        for token in tokens:
+            sharing[self.postings.get(token, [])] = True
+
+        def total(a, b):
+            return np.minimum(200.0 * common / np.maximum(a + b, 1), 100.0)
+
+        token_set = np.where(sharing, 100.0, total(distinct, self.lengths[:, 2]))
+        if not self.weighted:
+            return token_set
+        whole = total(raw, self.lengths[:, 0])
+        near = np.maximum(whole, 0.95 * np.maximum(total(joined, self.lengths[:, 1]), token_set))
+        short = np.minimum(raw, self.lengths[:, 0])
+        quotient = np.maximum(raw, self.lengths[:, 0]) / np.maximum(short, 1)
+
+        def window(m):
+            return np.minimum(200.0 * common / np.maximum(m + common, 1), 100.0)
+
+        least = np.minimum(distinct, self.lengths[:, 2])
+        scale = np.where(quotient <= 8, 0.9, 0.6)
+        far = np.maximum(whole, scale * np.maximum(window(short), 0.95 * np.where(sharing, 100.0, window(least))))
+        return np.where(short == 0, 0.0, np.where(quotient < 1.5, near, far))
+
+
+def _top_in_task(aliases: pd.DataFrame, k: int, scorer, keep_below: float | None, weighted: bool = False):
+    """Arrow function: label -> best ``k`` aliases, best score first, then file order.
+
+    First the aliases of highest best case are scored, then only those whose best case
+    still beats the k-th score found, or equals it and stands earlier in the file.
+    """
     names = aliases["alias"].tolist()
     rows = list(aliases.itertuples(index=False, name=None))
-
-    def best_of(labels: list[str]) -> dict[str, list[tuple]]:
+    floor = -1.0 if keep_below is None else keep_below
+
+    def scored(labels: list[str], picks: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        sizes = np.array([len(p) for p in picks])
+        start = 0
+        while start < len(labels):
+            stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), PAIR_BLOCK, "right")))
+            left = [x for x, p in zip(labels[start:stop], picks[start:stop]) for _ in p]
+            right = [names[i] for p in picks[start:stop] for i in p]
+            got = scorer(left, right) if left else np.zeros(0)
+            out += np.split(got, np.cumsum(sizes[start:stop])[:-1])
+            start = stop
+        return out
+
+    def best_of(labels: list[str], bounds: _BestCase) -> dict[str, list[tuple]]:
+        best_case = [bounds.of(x) for x in labels]
+        first = [np.argsort(-b, kind="stable")[:max(k, FIRST_LOOK)] for b in best_case]
+        first = [p[b[p] >= floor - 1e-9] for p, b in zip(first, best_case)]
+        known = scored(labels, first)
+        rest = []
+        for bound, picks, got in zip(best_case, first, known):
+            least, last = floor, len(names)
+            if len(got) >= k:
+                at = np.lexsort((picks, -got))[k - 1]
+                if got[at] >= floor:
+                    least, last = got[at], picks[at]
+            open_ = bound > least + 1e-9
+            open_[:last] |= bound[:last] >= least - 1e-9
+            open_[picks] = False
+            rest.append(np.flatnonzero(open_))
         found = {}
-        step = max(1, PAIR_BLOCK // max(1, len(names)))
-        for start in range(0, len(labels), step):
-            block = labels[start : start + step]
-            left = [label for label in block for _ in names]
-            scores = scorer(left, names * len(block)).reshape(len(block), len(names))
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            for label, line, picks in zip(block, scores, order):
-                found[label] = [
-                    (*rows[i], float(line[i])) for i in picks if keep_below is None or line[i] >= keep_below
-                ]
+        for label, picks, got, more, also in zip(labels, first, known, rest, scored(labels, rest)):
+            at, score = np.concatenate([picks, more]), np.concatenate([got, also])
+            order = np.lexsort((at, -score))[:k]
+            found[label] = [(*rows[at[i]], float(score[i])) for i in order if keep_below is None or score[i] >= keep_below]
         return found
 
     @F.pandas_udf(f"array<{_CANDIDATE}>")
-    def top(labels: pd.Series) -> pd.Series:
-        distinct = [x for x in labels.dropna().unique() if x != "" or keep_below is None]
-        found = best_of(distinct) if names else {}
-        return labels.map(lambda x: found.get(x, []))
+    def top(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bounds = _BestCase(names, weighted)
+        step = max(1, 4 * PAIR_BLOCK // max(1, len(names)))
+        known: dict[str, list[tuple]] = {}
+        for labels in parts:
+            if len(known) > PAIR_BLOCK:
+                known.clear()
+            fresh = [x for x in labels.dropna().unique() if x not in known and (x != "" or keep_below is None)]
+            for start in range(0, len(fresh) if names else 0, step):
+                known.update(best_of(fresh[start:start + step], bounds))
+            yield labels.map(lambda x: known.get(x, []))
 
     return top
 
 
+def _best_of_blocks(df: DataFrame, query: str, aliases: DataFrame, k: int, scorer, floor: float | None, weighted: bool,
+                    block: int) -> DataFrame:
+    """Add ``_top``: the best k aliases of the whole gazetteer, one pass per block of aliases."""
+
+    def before(a: Column, b: Column) -> Column:
+        better = (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (a["alias_idx"] < b["alias_idx"]))
+        return F.when(better, -1).otherwise(1)
+
+    out = df.withColumn("_top", F.array().cast(f"array<{_CANDIDATE}>"))
+    for part in _alias_blocks(aliases, block):
+        top = _top_in_task(part, k, scorer, floor, weighted)
+        out = out.withColumn("_top", F.slice(F.array_sort(F.concat("_top", top(F.col(query))), before), 1, k))
+    return out
+
+
 # --------------------------------------------------------- blocked equi-join
 
 def _sorted_tokens(text: Column) -> Column:
@@ -162,14 +285,13 @@ def _weighted_may_reach(label: str, alias: str, label_tokens: str, alias_tokens:
 
 
 def blocked_scores(labels: DataFrame, aliases: DataFrame, scorer: str, floor: float,
-                   max_broadcast: int = MAX_BROADCAST_KEYS, salts: int = SALTS) -> DataFrame:
+                   max_broadcast: int = MAX_BROADCAST_KEYS, salts: int | None = None) -> DataFrame:
     """label, alias columns and score for every pair that scores at least ``floor``.
 
     ``labels`` holds distinct texts in the column ``label``.
     """
-    lowest = {"token_set": 80, "weighted_ratio": 90}[scorer]
-    if floor < lowest:
-        raise ValueError(f"the blocked join is exact for {scorer} from {lowest} on")
+    if floor < LOWEST_JOINED[scorer]:
+        raise ValueError(f"the join on keys is exact for {scorer} from {LOWEST_JOINED[scorer]} on")
     tokens = labels.select("label", _sorted_tokens(F.col("label")).alias("label_tokens"))
     left = one_per_row(tokens, ["label", "label_tokens"], _blocking_keys(F.col("label")), "key")
     named = aliases.select(*_COLUMNS, _sorted_tokens(F.col("alias")).alias("alias_tokens"))
@@ -178,6 +300,8 @@ def blocked_scores(labels: DataFrame, aliases: DataFrame, scorer: str, floor: fl
     if right.limit(max_broadcast + 1).count() <= max_broadcast:
         joined = left.join(F.broadcast(right), "key")
     else:
+        # a label key may be as frequent as all labels: as many salts as there are cores to spread it to
+        salts = salts or max(SALTS, labels.sparkSession.sparkContext.defaultParallelism)
         salted = left.withColumn("salt", F.pmod(F.xxhash64("label"), F.lit(salts)).cast("int"))
         copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = salted.join(copies, ["key", "salt"])
@@ -198,8 +322,12 @@ def _best_per_label(scored: DataFrame) -> DataFrame:
 
 
 def _attach(df: DataFrame, best: DataFrame, text: str) -> DataFrame:
-    """Bring per-label results back to the rows."""
-    return df.join(best.withColumnRenamed("label", text), text, "left")
+    """Bring per-label results back to the rows.
+
+    The results are written first: a label that many rows share is then an ordinary
+    skewed side of the join, which Spark splits.
+    """
+    return df.join(cut_lineage(best, "best").withColumnRenamed("label", text), text, "left")
 
 
 # ------------------------------------------------------------------ operators
@@ -209,13 +337,19 @@ def _with_candidates(df: DataFrame, gaz: DataFrame, label: str, k: int, min_scor
     aliases = merchant_aliases(gaz)
     listed = _shipped(aliases, max_shipped)
     queried = df.withColumn("_query", normalize_merchant_text(label))
-    if listed is not None:
-        def scorer(a, b):
-            return similarity.token_set_ratio(a, b, floor=min_score)
 
+    def scorer(a, b):
+        return similarity.token_set_ratio(a, b, floor=min_score)
+
+    if listed is not None:
         top = _top_in_task(listed, k, scorer, keep_below=min_score)
         return queried.withColumn("_top", top(F.col("_query"))).drop("_query")
+    if df.isStreaming:
+        return _best_of_blocks(queried, "_query", aliases, k, scorer, min_score, False, BLOCK).drop("_query")
     labels = queried.select(F.col("_query").alias("label")).where("label <> ''").distinct()
+    if min_score < LOWEST_JOINED["token_set"]:
+        best = _best_of_blocks(labels, "label", aliases, k, scorer, min_score, False, BLOCK)
+        return _attach(queried, best, "_query").drop("_query")
     order = Window.partitionBy("label").orderBy(F.desc("score"), "alias_idx")
     ranked = blocked_scores(labels, aliases, "token_set", min_score).withColumn("_r", F.row_number().over(order))
     candidate = F.struct("_r", "alias_idx", "merchant_id", "display_name", "alias", "score")
@@ -230,7 +364,8 @@ def merchant_candidates(df: DataFrame, gaz: DataFrame, k: int = 5, label: str =
                         min_score: float = 0.0, max_shipped: int = MAX_SHIPPED) -> DataFrame:
     """One row per candidate: rank, merchant_id, display_name, alias_norm, score (whole number).
 
-    A gazetteer beyond the shipping bound needs a ``min_score`` of at least 80.
+    A ``min_score`` below 80 makes any alias a candidate, so work grows with labels times
+    aliases; this holds for gazetteers of all sizes, the answer is the same for all.
     """
     top = _with_candidates(df, gaz, label, k, min_score, max_shipped)
     rows = top.select(*df.columns, F.posexplode("_top").alias("_pos", "_c"))
@@ -252,17 +387,18 @@ def best_merchant(df: DataFrame, gaz: DataFrame, threshold: int = 86, label: str
     )
 
 
-def normalize_merchant(df: DataFrame, gaz: DataFrame, threshold: int = 86, label: str = "raw_label") -> DataFrame:
+def normalize_merchant(df: DataFrame, gaz: DataFrame, threshold: int = 86, label: str = "raw_label",
+                       max_shipped: int = MAX_SHIPPED) -> DataFrame:
     """Add display_name, merchant_id and score, or nulls."""
-    return best_merchant(df, gaz, threshold, label).drop("alias_norm")
+    return best_merchant(df, gaz, threshold, label, max_shipped).drop("alias_norm")
 
 
-def merchant_accuracy(pairs: DataFrame, gaz: DataFrame, threshold: int = 86) -> DataFrame:
+def merchant_accuracy(pairs: DataFrame, gaz: DataFrame, threshold: int = 86, max_shipped: int = MAX_SHIPPED) -> DataFrame:
     """Accuracy@1 of ``best_merchant`` over (raw_label, merchant_id) pairs, 0.0 if empty."""
     truth = pairs.select("raw_label", F.col("merchant_id").cast("string").alias("_truth"))
     right = F.count_if(F.coalesce(F.col("merchant_id") == F.col("_truth"), F.lit(False)))
     total = F.count(F.lit(1))
-    return best_merchant(truth, gaz, threshold).agg(
+    return best_merchant(truth, gaz, threshold, max_shipped=max_shipped).agg(
         F.coalesce(right / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("accuracy"),
         right.alias("correct"), total.alias("total"),
     )
@@ -273,13 +409,12 @@ def resolve_merchant(df: DataFrame, gaz: DataFrame, cut: float = 0.90, text: str
     """Add gaz_merchant_id, gaz_display, gaz_score (0..1) and gaz_reason of the best alias.
 
     Below the cut merchant and display are null. ``explain_weak`` also names
-    the best alias of such rows, which takes a full scan of the gazetteer per
-    label; without it they carry no score. A null text gets nulls.
+    the best alias of such rows; without it they carry no score. With it, or with a cut
+    below 0.90, any alias may be the best, so work grows with labels times aliases. A
+    null text gets nulls.
     """
     aliases = plain_aliases(gaz)
     listed = _shipped(aliases, max_shipped)
-    if listed is None and df.isStreaming:
-        raise ValueError("a streamed query needs a gazetteer within the shipping bound; resolve per micro-batch instead")
     query = df.withColumn("_query", F.lower(text))
     if listed is not None and listed.empty:
         return df.withColumns({
@@ -287,18 +422,22 @@ def resolve_merchant(df: DataFrame, gaz: DataFrame, cut: float = 0.90, text: str
             "gaz_score": F.when(F.col(text).isNotNull(), F.lit(0.0)),
             "gaz_reason": F.when(F.col(text).isNotNull(), F.lit("gazetteer-empty")),
         })
+    only_accepted = cut >= LOWEST_JOINED["weighted_ratio"] / 100 and not explain_weak
+    scorer = similarity.accepted_weighted_ratio if only_accepted else similarity.weighted_ratio
+    floor = None if explain_weak else 100.0 * cut - 1e-9
+    labels = query.select(F.col("_query").alias("label")).where("label IS NOT NULL").distinct()
     if listed is not None:
-        only_accepted = cut >= 0.90 and not explain_weak
-        scorer = similarity.accepted_weighted_ratio if only_accepted else similarity.weighted_ratio
-        floor = None if explain_weak else 100.0 * cut - 1e-9
-        top = _top_in_task(listed, 1, scorer, keep_below=floor)
+        top = _top_in_task(listed, 1, scorer, floor, weighted=True)
         found = query.withColumn("_best", F.get(top(F.col("_query")), F.lit(0)))
-    elif explain_weak:
-        raise ValueError("explain_weak needs a gazetteer within the shipping bound")
-    else:
-        labels = query.select(F.col("_query").alias("label")).where("label <> ''").distinct()
-        scored = blocked_scores(labels, aliases, "weighted_ratio", 100.0 * cut)
+    elif df.isStreaming:
+        blocks = _best_of_blocks(query, "_query", aliases, 1, scorer, floor, True, BLOCK)
+        found = blocks.withColumn("_best", F.get("_top", F.lit(0)))
+    elif only_accepted:
+        scored = blocked_scores(labels.where("label <> ''"), aliases, "weighted_ratio", 100.0 * cut)
         found = _attach(query, _best_per_label(scored), "_query")
+    else:
+        best = _best_of_blocks(labels, "label", aliases, 1, scorer, floor, True, BLOCK)
+        found = _attach(query, best.select("label", F.get("_top", F.lit(0)).alias("_best")), "_query")
     score = F.col("_best.score") / 100.0
     accepted = score >= cut
     shown = F.concat(F.col("_best.alias"), F.lit("|score:"), fixed_point(score, 2))

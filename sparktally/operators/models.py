@@ -64,7 +64,7 @@ def boosted(rounds: int = 300, depth: int = 6, rate: float = 0.1, seed: int = 42
     """Gradient-boosted trees, one binary ensemble per class."""
     binary = GBTClassifier(
         featuresCol=FEATURES, labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate,
-        subsamplingRate=0.9, seed=seed)
+        subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed)
     return OneVsRest(classifier=binary, featuresCol=FEATURES, labelCol="label", parallelism=parallelism)
 
 

@@ -19,7 +19,7 @@ def _verdict(category, reason: Column | str) -> Column:
 
 def category_from_mcc(mcc: Column | str) -> Column:
     """Category of a known merchant code, else null. Six literals, no join."""
-    mcc = _column(mcc).cast("int")
+    mcc = _column(mcc).try_cast("int")
     (code, category), *rest = K.MCC_CATEGORIES.items()
     out = F.when(mcc == code, category)
     for code, category in rest:
@@ -57,7 +57,7 @@ def pattern_category(text: Column | str) -> Column:
 
 def rule_outcome(text: Column | str, mcc: Column | str) -> Column:
     """Struct (hit, category, reason): merchant code, then keyword, then phrase."""
-    mcc = _column(mcc).cast("int")
+    mcc = _column(mcc).try_cast("int")
     by_mcc = category_from_mcc(mcc)
     verdict = F.coalesce(
         F.when(by_mcc.isNotNull(), _verdict(by_mcc, F.concat(F.lit("mcc:"), mcc.cast("string")))),
@@ -74,8 +74,9 @@ def rule_outcome(text: Column | str, mcc: Column | str) -> Column:
 
 
 def apply_rules(df: DataFrame, text: str = "normalized", mcc: str = "mcc") -> DataFrame:
-    """Add rule_hit, rule_category and rule_reason."""
-    out = df.withColumn("_rule", rule_outcome(text, mcc))
+    """Add rule_hit, rule_category and rule_reason. A merchant code that is no number, or no such column, counts as none."""
+    code = F.col(mcc) if mcc in df.columns else F.lit(None).cast("int")
+    out = df.withColumn("_rule", rule_outcome(text, code))
     return out.withColumns({
         "rule_hit": F.col("_rule.hit"),
         "rule_category": F.col("_rule.category"),

@@ -123,11 +123,17 @@ def ngram_deltas(spark, sf):
 
 
 @query("histogram", f"""{WITH_TX},
-r AS (SELECT split, MIN(conf) AS lo, MAX(conf) AS hi FROM tx GROUP BY 1)
-SELECT tx.split AS side, CAST(least(29, floor((conf - lo) / (hi - lo) * 30)) AS BIGINT) AS bin, COUNT(*) AS n
-FROM tx JOIN r ON tx.split = r.split GROUP BY 1, 2""")
+v AS (SELECT split, CASE WHEN tx_id % 11 <> 0 THEN conf * conf * conf END AS conf FROM tx),
+r AS (SELECT split, MIN(conf) AS lo, MAX(conf) AS hi FROM v GROUP BY 1),
+g AS (SELECT split AS side, CAST(unnest(range(30)) AS BIGINT) AS bin FROM r),
+c AS (SELECT v.split AS side, CAST(least(29, floor((conf - lo) / (hi - lo) * 30)) AS BIGINT) AS bin, COUNT(*) AS n
+  FROM v JOIN r ON v.split = r.split WHERE conf IS NOT NULL GROUP BY 1, 2)
+SELECT g.side, g.bin, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.side = c.side AND g.bin = c.bin""")
 def histogram(spark, sf):
-    return D.histogram(transactions(spark, sf), "conf", train())
+    """Some values are missing or NaN, some bins empty."""
+    conf = F.when(F.col("tx_id") % 22 == 0, F.lit(float("nan"))).when(
+        F.col("tx_id") % 11 != 0, F.col("conf") * F.col("conf") * F.col("conf"))
+    return D.histogram(transactions(spark, sf).withColumn("conf", conf), "conf", train())
 
 
 _SUMMARY = f"""{PROFILE}, {_MIX}, {_KS.format(v="conf", first="split = 'train'", src="tx")}"""

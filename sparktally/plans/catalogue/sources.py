@@ -38,13 +38,28 @@ def _customer_gazetteer(spark, sf):
 
 @query("read_gazetteer", """
 SELECT c_custkey AS alias_idx, concat(' ', upper(c_name), ' ', c_mktsegment, ' ') AS alias,
-  concat('m', CAST(c_custkey % 50 AS VARCHAR)) AS merchant_id, c_name AS display_name FROM customer WHERE c_custkey % 10 <> 0""")
+  concat('m', CAST(c_custkey % 50 AS VARCHAR)) AS merchant_id, c_name AS display_name FROM customer WHERE c_custkey % 10 <> 0
+UNION ALL SELECT c_custkey, '***', concat('m', CAST(c_custkey % 50 AS VARCHAR)), c_name FROM customer WHERE c_custkey % 10 = 0""")
 def read_gazetteer(spark, sf):
     path = scratch_path(spark, "gazetteer")
     R.write_csv(_customer_gazetteer(spark, sf), path)
     return G.read_gazetteer(spark, path)
 
 
+@query("read_gazetteer_unnumbered", """
+SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS alias_idx, concat(upper(c_name), ' ', c_mktsegment) AS alias,
+  concat('m', CAST(c_custkey % 50 AS VARCHAR)) AS merchant_id, c_name AS display_name FROM customer""")
+def read_gazetteer_unnumbered(spark, sf):
+    """The three columns of a curated file: lines are numbered in order."""
+    path = scratch_path(spark, "gazetteer")
+    ordered = table(spark, sf, "customer").orderBy("c_custkey")
+    R.write_csv(ordered.select(
+        F.concat(F.upper("c_name"), F.lit(" "), F.col("c_mktsegment")).alias("alias"),
+        F.concat(F.lit("m"), (F.col("c_custkey") % 50).cast("string")).alias("merchant_id"),
+        F.col("c_name").alias("display_name")), path)
+    return G.read_gazetteer(spark, path)
+
+
 @query("build_gazetteer", """
 WITH p AS (SELECT p_partkey AS alias_idx, trim(lower(concat('  ', upper(p_name), ' '))) AS alias, p_brand, p_type FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY alias_idx) AS k FROM p)
@@ -87,12 +102,13 @@ def taxonomy(spark, sf):
     return G.taxonomy(named, "c_mktsegment", "n_name")
 
 
-@query("read_eval_pairs", f"{WITH_TX} SELECT raw_label, merchant_label AS merchant_id FROM tx WHERE merchant_label <> ''")
+@query("read_eval_pairs", f"{WITH_TX} SELECT raw_label, merchant_label AS merchant_id FROM tx")
 def read_eval_pairs(spark, sf):
     path = scratch_path(spark, "pairs")
     pairs = transactions(spark, sf).select("raw_label", F.col("merchant_label").alias("merchant_id"))
-    R.write_csv(pairs.where("merchant_id <> ''"), path)
-    return R.read_eval_pairs(spark, path)
+    R.write_csv(pairs, path)
+    # an empty text and a missing one are the same in CSV
+    return R.read_eval_pairs(spark, path).select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("raw_label", "merchant_id")])
 
 
 def _requests(spark, sf):
@@ -140,7 +156,15 @@ def read_drift_summary(spark, sf):
     path = scratch_path(spark, "drift-summary")
     R.write_summary(D.drift_summary(prepared(spark, sf), train(), conf="conf"), path)
     report = R.read_drift_summary(spark, path)
-    return flat_summary(report).withColumn("status", F.lit("ok"))
+    return flat_summary(report).withColumn("status", report.select("status").scalar())
+
+
+@query("read_drift_summary_missing", """
+SELECT 'no_report' AS status, CAST(NULL AS DOUBLE) AS psi_topk, FALSE AS alert, COUNT(*) AS transactions FROM orders""")
+def read_drift_summary_missing(spark, sf):
+    report = R.read_drift_summary(spark, scratch_path(spark, "no-summary"))
+    n = transactions(spark, sf).agg(F.count(F.lit(1))).scalar()
+    return report.select("status", "psi_topk", "alert", n.alias("transactions"))
 
 
 @query("read_time_log", """

@@ -9,15 +9,13 @@ TRANSACTION = {
 }
 GAZETTEER = ["alias", "merchant_id", "display_name"]
 
-REQUEST_TRANSACTION = T.StructType([
-    T.StructField("tx_id", T.StringType()),
-    T.StructField("date", T.StringType()),
-    T.StructField("amount", T.DoubleType()),
-    T.StructField("currency", T.StringType()),
-    T.StructField("raw_label", T.StringType()),
-    T.StructField("channel", T.StringType()),
-    T.StructField("mcc", T.IntegerType()),
-])
+#: field -> SQL type of a request's transaction
+REQUEST_TYPES = {
+    "tx_id": "string", "date": "string", "amount": "double", "currency": "string", "raw_label": "string",
+    "channel": "string", "mcc": "int",
+}
+#: Requests are parsed as text, so that a value of another type is seen and not dropped.
+REQUEST_TRANSACTION = T.StructType([T.StructField(name, T.StringType()) for name in REQUEST_TYPES])
 REQUEST = T.StructType([T.StructField("transactions", T.ArrayType(REQUEST_TRANSACTION))])
 
 DRIFT_SUMMARY = (

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparktally import schemas
-from sparktally.functions.text import BLANKS_TO_ONE, normalize_merchant_text, strip
+from sparktally.functions.text import BLANKS_TO_ONE, strip
+from sparktally.session import cut_lineage
 from sparktally.sources.tables import _named_csv, require_columns
 
 #: Aliases of one merchant are numbered below this step.
@@ -14,21 +15,25 @@ _ALIASES_PER_MERCHANT = 1 << 20
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """alias_idx, alias, merchant_id, display_name; aliases without letters or digits go.
+    """alias_idx, alias, merchant_id, display_name of every line.
 
-    The order of the file decides ties. A file may carry it as ``alias_idx``; if
-    not, lines are numbered by file, block and line, which orders the whole
-    list once and is meant for curated files.
+    The order of the file decides ties. A file may carry it as ``alias_idx``; if not, lines
+    are numbered by file, block and line: each block counts its own lines, and only the
+    blocks are put in order. Operators that fold aliases drop those that come out empty.
     """
     raw = require_columns(_named_csv(spark, path), schemas.GAZETTEER)
     if "alias_idx" in raw.columns:
         numbered = raw.withColumn("alias_idx", F.col("alias_idx").cast("bigint"))
     else:
-        place = Window.orderBy(
-            "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
-        numbered = raw.withColumn("alias_idx", (F.row_number().over(place) - 1).cast("bigint"))
-    return numbered.where(normalize_merchant_text("alias") != "").select(
-        "alias_idx", "alias", "merchant_id", "display_name")
+        block = ["_file", "_block"]
+        lines = cut_lineage(raw.select(
+            *schemas.GAZETTEER, F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")), "lines")
+        sizes = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_first"))
+        before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        numbered = lines.join(offsets, block).withColumn("alias_idx", F.col("_line") - F.col("_first") + F.col("_before"))
+    return numbered.select("alias_idx", "alias", "merchant_id", "display_name")
 
 
 def build_gazetteer(df: DataFrame) -> DataFrame:

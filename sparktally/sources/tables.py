@@ -10,6 +10,10 @@ from sparktally import constants as K
 from sparktally import schemas
 from sparktally.functions.text import strip
 from sparktally.operators.drift import any_alert
+from sparktally.session import ship_code
+
+#: Bytes up to which a table in few splits is dealt out to all cores.
+SMALL_TABLE = 64 << 20
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -21,16 +25,18 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table, with at least one partition per core.
+    """A parquet table; a small one in few splits is spread over the cores.
 
-    A table with fewer splits than cores (a single small file, say) would leave
-    cores idle under row-heavy text work, so only then its rows are spread by
-    the first column. Tables of many splits are read as they are.
+    Row-heavy text work on a single small file would leave cores idle. Only tables of at
+    most ``SMALL_TABLE`` bytes are dealt out, row by row, so no more than that is ever
+    shuffled for it; larger ones are read as they are.
     """
+    ship_code(spark)
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, df.columns[0])
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size <= SMALL_TABLE and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
     return df
 
 
@@ -46,7 +52,7 @@ def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
         kind = types.get(name, "string")
         value = F.col(name)
         if kind == "int":  # tolerate 5411.0
-            value = value.try_cast("double").cast("int")
+            value = value.try_cast("double").try_cast("int")
         elif kind != "string":
             value = value.try_cast(kind)
         columns.append(value.alias(name))
@@ -55,10 +61,16 @@ def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 def read_transactions(spark: SparkSession, path: str, required: tuple[str, ...] = ("raw_label",),
                       format: str = "csv") -> DataFrame:
-    """Transactions by column name; training and evaluation also require category_label."""
+    """Transactions by column name; training and evaluation also require category_label.
+
+    The optional columns channel and mcc are there in any case, without values if the file lacks them.
+    """
     if format == "parquet":
-        return require_columns(spark.read.parquet(path), list(required))
-    return _typed(require_columns(_named_csv(spark, path), list(required)), schemas.TRANSACTION)
+        found = require_columns(spark.read.parquet(path), list(required))
+    else:
+        found = _typed(require_columns(_named_csv(spark, path), list(required)), schemas.TRANSACTION)
+    return found.withColumns({
+        name: F.lit(None).cast(schemas.TRANSACTION[name]) for name in ("channel", "mcc") if name not in found.columns})
 
 
 def read_eval_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -80,15 +92,24 @@ def write_csv(df: DataFrame, path: str) -> None:
 def explode_requests(documents: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Valid transactions of request documents, and the documents or rows that are invalid.
 
-    A document needs a list of transactions, a transaction its raw_label.
+    A document needs a list of transactions, a transaction its raw_label. Fields are read as
+    text and then typed, so ``"mcc": "5411"`` is 5411; a value that is not of its field's
+    type makes the transaction invalid, and ``missing`` names the first such field.
     """
     parsed = documents.withColumn("_request", F.from_json(body, schemas.REQUEST))
     items = F.col("_request.transactions")
     rows = parsed.where(items.isNotNull()).select(*documents.columns, F.explode(items).alias("_tx"))
-    fine = F.col("_tx.raw_label").isNotNull()
+    wrong, typed = [F.when(F.col("_tx.raw_label").isNull(), F.lit("raw_label"))], []
+    for name, kind in schemas.REQUEST_TYPES.items():
+        value = F.col(f"_tx.{name}")
+        cast = value if kind == "string" else value.try_cast(kind)
+        wrong.append(F.when(value.isNotNull() & cast.isNull(), F.lit(name)))
+        typed.append(cast.alias(name))
+    rows = rows.withColumn("_wrong", F.coalesce(*wrong))
+    fine = F.col("_wrong").isNull()
     carried = [c for c in documents.columns if c != body]
-    valid = rows.where(fine).select(*carried, "_tx.*")
-    bad_rows = rows.where(~fine).select(*carried, F.to_json("_tx").alias(body), F.lit("raw_label").alias("missing"))
+    valid = rows.where(fine).select(*carried, *typed)
+    bad_rows = rows.where(~fine).select(*carried, F.to_json("_tx").alias(body), F.col("_wrong").alias("missing"))
     bad_documents = parsed.where(items.isNull()).select(*carried, body, F.lit("transactions").alias("missing"))
     return valid, bad_rows.unionByName(bad_documents)
 

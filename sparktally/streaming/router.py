@@ -16,14 +16,18 @@ from sparktally.operators.cumulative import weighted_count
 def classify_stream(stream: DataFrame, gaz: DataFrame | None = None, **options) -> DataFrame:
     """The router on a stream: stateless projections, so rows leave as they come.
 
-    The gazetteer must stay within the shipping bound; the blocked join would
-    need a distinct over the stream. ``classify_batches`` takes any size.
+    A gazetteer beyond the shipping bound is looked through in blocks, row by row;
+    ``classify_batches`` resolves each label of a batch once.
     """
     return classify(stream, gaz, **options)
 
 
+#: Process what is there and stop; ``{"processingTime": "1 minute"}`` keeps a query up.
+ONCE = {"availableNow": True}
+
+
 def classify_batches(stream: DataFrame, path: str, checkpoint: str, gaz: DataFrame | None = None,
-                     **options) -> StreamingQuery:
+                     trigger: dict = ONCE, **options) -> StreamingQuery:
     """The router per micro-batch, for gazetteers of any size.
 
     Every batch has its own folder, overwritten if the batch is replayed.
@@ -33,7 +37,7 @@ def classify_batches(stream: DataFrame, path: str, checkpoint: str, gaz: DataFra
         classify(batch, gaz, **options).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger)
         .foreachBatch(route).start()
     )
 
@@ -54,9 +58,10 @@ def metrics_stream(preds: DataFrame, ts: str, width: str = "1 day", delay: str =
     )
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what is there and stop. ``complete`` keeps the latest full result in ``path``."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
+                  trigger: dict = ONCE) -> StreamingQuery:
+    """Write a stream, by default what is there. ``complete`` keeps the latest full result in ``path``."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger)
     if mode == "append":
         return writer.format("parquet").start(path)
     return writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
@@ -111,10 +116,10 @@ def report(train_counts: DataFrame, prod_counts: DataFrame, batch_id: int, k: in
 
 
 def drift_stream(stream: DataFrame, train_counts: DataFrame, text: str, state_path: str, report_path: str,
-                 checkpoint: str, **options) -> StreamingQuery:
+                 checkpoint: str, trigger: dict = ONCE, **options) -> StreamingQuery:
     """Running drift of a production stream against a static training profile."""
     return (
-        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger)
         .foreachBatch(running_drift(train_counts, text, state_path, report_path, **options)).start()
     )
 

@@ -94,10 +94,64 @@ def test_blocked_weighted_ratio_loses_nothing(spark, max_broadcast):
     assert got == pytest.approx(want) and want
 
 
-def test_blocked_rejects_floors_it_cannot_serve(spark):
-    df = spark.createDataFrame([("a",)], "raw_label string")
+def test_join_on_keys_rejects_floors_it_cannot_serve(spark):
+    df = spark.createDataFrame([("a",)], "label string")
     with pytest.raises(ValueError):
-        G.merchant_candidates(df, gaz(spark, ["edf"]), max_shipped=0)
+        G.blocked_scores(df, G.merchant_aliases(gaz(spark, ["edf"])), "token_set", 79.0)
+
+
+@pytest.mark.parametrize("min_score", [0.0, 40.0, 70.0, 79.9, 80.0, 86.0])
+def test_candidates_same_at_every_size(spark, monkeypatch, min_score):
+    """In the task, joined and in blocks: the same rows as scoring every pair."""
+    labels, aliases = _random_texts(5, 80), _random_texts(6, 60)
+    df = spark.createDataFrame([(x,) for x in labels], "raw_label string")
+    g = gaz(spark, aliases)
+    names = [(r.alias_idx, r.alias) for r in G.merchant_aliases(g).collect()]
+    asked = [r[0] for r in df.select(G.normalize_merchant_text("raw_label")).collect()]
+    want = []
+    for raw, text in zip(labels, asked):
+        score = S.token_set_ratio([text] * len(names), [a for _, a in names])
+        best = sorted((-s, i, a) for (i, a), s in zip(names, score) if s >= min_score)[:3] if text else []
+        want += [(raw, r + 1, a, int(-s)) for r, (s, i, a) in enumerate(best)]
+    monkeypatch.setattr(G, "BLOCK", 13)
+    for shipped in (10**6, 0):
+        got = G.merchant_candidates(df, g, k=3, min_score=min_score, max_shipped=shipped).select(
+            "raw_label", "rank", "alias_norm", "score").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("cut,weak", [(0.5, False), (0.8, False), (0.9, False), (0.9, True)])
+def test_resolved_same_at_every_size(spark, monkeypatch, cut, weak):
+    labels, aliases = _random_texts(15, 80) + ["", "zzz", "b"], _random_texts(16, 60) + ["b", "xy"]
+    df = spark.createDataFrame([(x,) for x in labels] + [(None,)], "normalized string")
+    g = gaz(spark, aliases)
+    want = {None: (None, None)}
+    for text in labels:
+        score = S.weighted_ratio([text] * len(aliases), aliases)
+        s, i = max((round(s, 9), -i) for i, s in enumerate(score))
+        shown = weak or (s >= 100 * cut - 1e-9 and text)
+        want[text] = (f"m{-i}" if s >= 100 * cut and text else None, pytest.approx(s / 100) if shown else None)
+    monkeypatch.setattr(G, "BLOCK", 17)
+    for shipped in (10**6, 0):
+        got = G.resolve_merchant(df, g, cut=cut, explain_weak=weak, max_shipped=shipped).collect()
+        assert {r.normalized: (r.gaz_merchant_id, r.gaz_score) for r in got} == want
+
+
+def test_values_do_not_change_beyond_two_thousand_aliases(spark):
+    many = ["carrefour", "mcdo"] + [f"merchant{i} of place{i * 7}" for i in range(1999)]
+    df = spark.createDataFrame([("CB CARREFOUR 75 PARIS TPE1245",)], "raw_label string")
+    assert G.best_merchant(df, gaz(spark, many), threshold=70).first().merchant_id == "m0"
+    low = spark.createDataFrame([("cb carrefour 75 paris",)], "normalized string")
+    assert G.resolve_merchant(low, gaz(spark, many), cut=0.80).first().gaz_display == "Carrefour"
+    assert G.merchant_candidates(df, gaz(spark, many)).count() == 5
+
+
+def test_blocked_pairs_are_scored_once(spark):
+    df = spark.createDataFrame([(x,) for x in _random_texts(3, 30)], "raw_label string")
+    g = gaz(spark, _random_texts(4, 30))
+    for out in (G.best_merchant(df, g, max_shipped=0),
+                G.resolve_merchant(df.withColumnRenamed("raw_label", "normalized"), g, max_shipped=0)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 1
 
 
 def test_candidates_same_both_ways(spark):
