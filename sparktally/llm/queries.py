@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktally.llm.arrow import ship
+from sparktally.session import ship_code as ship
 
 QUERIES = {}
 ORACLES = {}
@@ -78,7 +78,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
     from sparktally.llm import neardup
 
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query("op1_substring_dedup")

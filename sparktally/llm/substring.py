@@ -131,25 +131,35 @@ def _same_run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    one = set(shingles(a, np.array([0, len(a)]), SHINGLE)[0].tolist())
+def _shared_part(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[int, int] | None:
+    """Words of a from its first to its last shingle that b has, if the two are alike enough."""
+    if np.array_equal(a, b):
+        return 0, len(a)
+    one = shingles(a, np.array([0, len(a)]), SHINGLE)[0].tolist()
     two = set(shingles(b, np.array([0, len(b)]), SHINGLE)[0].tolist())
-    both = len(one & two)
-    return both >= similarity * (len(one) + len(two) - both)
+    both = len(two.intersection(one))
+    if both < similarity * (len(set(one)) + len(two) - both):
+        return None
+    at = [k for k, s in enumerate(one) if s in two]
+    return at[0], at[-1] + SHINGLE
 
 
 def align(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]], similarity: float) -> list[tuple[int, int, int, int]]:
-    """(start, end, word, other word) of a's spans alike to b, one for each confirmed pair not inside a former one."""
+    """(start, end, word, other word) of a's spans alike to b, one for each confirmed pair not inside a former one.
+
+    Words at the ends of an edited paragraph that b lacks are not part of the span.
+    """
     out: list[tuple[int, int, int, int]] = []
     reach: dict[int, int] = {}  # end of the last span by diagonal
     for i, j in sorted(pairs):
         if i + PARAGRAPH > len(a) or j + PARAGRAPH > len(b) or reach.get(i - j, -1) >= i + PARAGRAPH:
             continue
-        mine, its = a[i:i + PARAGRAPH], b[j:j + PARAGRAPH]
-        if not np.array_equal(mine, its) and not _alike(mine, its, similarity):
+        part = _shared_part(a[i:i + PARAGRAPH], b[j:j + PARAGRAPH], similarity)
+        if part is None:
             continue
-        left = _same_run(a[:i][::-1], b[:j][::-1])
-        end = i + PARAGRAPH + _same_run(a[i + PARAGRAPH:], b[j + PARAGRAPH:])
+        left = _same_run(a[:i][::-1], b[:j][::-1]) if part[0] == 0 else -part[0]
+        right = _same_run(a[i + PARAGRAPH:], b[j + PARAGRAPH:]) if part[1] == PARAGRAPH else part[1] - PARAGRAPH
+        end = i + PARAGRAPH + right
         reach[i - j] = end
         out.append((i - left, end, i, j))
     return out
@@ -251,24 +261,23 @@ def cut_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: s
 
     Column ``length``, if there is one, becomes the new number of code points where text was cut.
     """
-    lists = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(
-        stored(lists, "cuts"), (F.col(doc_id) == F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    lists = stored(
+        spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut")), "cuts")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(lists, ["doc_id", "text_hash"], "left")
     # what stays: from each cut's end (or 0) to the next cut's start (or the end)
     kept = F.expr(
-        f"array_join(transform(sequence(0, size(_cut)), i -> substring(`{text}`, "
-        "IF(i = 0, 0, _cut[i - 1].end) + 1, "
-        f"IF(i = size(_cut), length(`{text}`), _cut[i].start) - IF(i = 0, 0, _cut[i - 1].end))), '')")
-    fresh = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(kept)
-    out = joined.withColumn("_text", fresh)
+        "array_join(transform(sequence(0, size(cut)), i -> substring(text, IF(i = 0, 0, cut[i - 1].end) + 1, "
+        "IF(i = size(cut), length(text), cut[i].start) - IF(i = 0, 0, cut[i - 1].end))), '')")
+    whole = F.col("cut").isNull()
+    out = joined.select("row", "cut", F.when(whole, F.col("text")).otherwise(kept).alias("fresh"))
     columns = []
     for name in docs.columns:
+        old = F.col("row").getField(name)
         if name == text:
-            columns.append(F.col("_text").alias(name))
+            old = F.col("fresh")
         elif name == length:
-            kind = docs.schema[name].dataType
-            columns.append(F.when(F.col("_cut").isNull(), F.col(name)).otherwise(F.length("_text").cast(kind)).alias(name))
-        else:
-            columns.append(F.col(f"`{name}`"))
+            old = F.when(whole, old).otherwise(F.length("fresh").cast(docs.schema[name].dataType))
+        columns.append(old.alias(name))
     return out.select(*columns)

@@ -2,8 +2,8 @@
 
 Only documents have labels, but a document is toxic because of some sentence. Each
 sentence gets a probability from a logistic model on its words and word beginnings;
-the document's is their noisy-or, one minus the product of the complements. The
-likelihood of the document labels trains the sentence model, which then also tells the
+the document's is their noisy-or, one minus the product of the complements. A sentence
+without any feature of the model cannot offend, however many there are. The likelihood of the document labels trains the sentence model, which then also tells the
 offending sentences.
 
 Features are 64-bit hashes looked up in the trained vocabulary, so a word that was not
@@ -124,8 +124,10 @@ def noisy_or(log_clear: np.ndarray) -> np.ndarray:
 
 
 def fit_sentences(label: np.ndarray, sentences: np.ndarray, pairs: list[np.ndarray], n_features: int,
-                  rounds: int = 250, rate: float = 0.1, lasso: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights, none negative, and bias that maximise the likelihood of the document labels less ``lasso`` times the weights.
+                  rounds: int = 250, rate: float = 0.1, lasso: float = 0.0, ridge: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights, none negative, and bias that maximise the likelihood of the document labels.
+
+    ``lasso`` is taken off times the weights, ``ridge`` times half their squares.
 
     Adam on the whole sample with a proximal step in its metric: a feature gets a weight only if
     its slope exceeds ``lasso``, which words that merely stand in a few toxic documents do not.
@@ -137,17 +139,19 @@ def fit_sentences(label: np.ndarray, sentences: np.ndarray, pairs: list[np.ndarr
     feature = flat & 0xFFFFFFFF
     doc = np.repeat(np.arange(len(label)), sentences)
     balance = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
+    offers = np.bincount(sentence, minlength=len(doc)) > 0
     w = np.zeros(n_features + 1)
     w[-1] = -6.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
         z = np.bincount(sentence, w[feature], minlength=len(doc)) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p = np.where(offers, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
         clear = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(label))
         toxic = np.maximum(noisy_or(clear), 1e-9)
         scale = np.where(label == 1, (1 - toxic) / toxic, -1.0) * balance
         slope = scale[doc] * p
         g = np.append(np.bincount(feature, slope[sentence], minlength=n_features), slope.sum())
+        g[:-1] -= ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         pace = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
         w += pace * m / (1 - 0.9**step)
@@ -186,15 +190,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: in
 
 
 def fit_selected(label: np.ndarray, sentences: np.ndarray, pairs: list[np.ndarray], n_features: int,
-                 lasso: float = 5e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features with a weight, weights, bias): chosen with the penalty, then fitted without, so that they are not shrunk."""
-    weights, _ = fit_sentences(label, sentences, pairs, n_features, lasso=lasso)
+                 lasso: float = 0.02, ridge: float = 0.06) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features with a weight, weights, bias): chosen with a lasso, then fitted with a ridge, which shrinks less.
+
+    The lasso falls with the root of the number of documents of label 1, as their chance
+    slopes do; the ridge with the number, so it weighs as much as a fixed part of a document.
+    """
+    n = max(1, int(label.sum()))
+    weights, _ = fit_sentences(label, sentences, pairs, n_features, lasso=lasso / n**0.5)
     kept = np.flatnonzero(weights > 0.05)
     number = np.full(n_features, -1)
     number[kept] = np.arange(len(kept))
     pairs = [p[number[p & 0xFFFFFFFF] >= 0] for p in pairs]
     pairs = [p >> 32 << 32 | number[p & 0xFFFFFFFF] for p in pairs]
-    weights, bias = fit_sentences(label, sentences, pairs, len(kept), lasso=1e-6)
+    weights, bias = fit_sentences(label, sentences, pairs, len(kept), ridge=ridge / n)
     return kept, weights, bias
 
 
@@ -233,7 +242,7 @@ def _score(column: pa.Array, n: int, model: Model) -> tuple[np.ndarray, list]:
     known = model.features[spot] == found.features
     pair = np.unique(found.number[found.sentence[known]] << 32 | spot[known])  # a repeated word counts once
     z = np.bincount(pair >> 32, model.weights[pair & 0xFFFFFFFF], minlength=len(found.row)) + model.bias
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    p = np.where(np.bincount(pair >> 32, minlength=len(found.row)) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
     score = noisy_or(np.bincount(found.row, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
     worst = np.flatnonzero(p >= 0.5)
     if len(worst):

@@ -119,11 +119,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         base = int(starts[i])
         j = int(np.searchsorted(ends, base + _PIECE, "right"))
         if j <= i:  # one word longer than a piece: fold its pieces
-            value = np.uint64(0)
+            value = np.zeros(1, np.uint64)
             for at in range(base, int(ends[i]), _PIECE):
                 part = data[at:min(at + _PIECE, int(ends[i]))]
-                value = mix(np.array([value]))[0] + np.sum(_TABLE[part] * _UP[:len(part)], dtype=np.uint64)
-            out[i] = value
+                value = mix(value) + np.sum(_TABLE[part] * _UP[:len(part)], dtype=np.uint64, keepdims=True)
+            out[i] = value[0]
             i += 1
             continue
         part = data[base:int(ends[j - 1])]
