@@ -100,10 +100,11 @@ class _BestCase:
         profiles = [self.profile(x) for x in names]
         self.letters = np.array([p[0] for p in profiles], np.int16).reshape(len(names), _LETTERS)
         self.lengths = np.array([p[1:4] for p in profiles], float).reshape(len(names), 3)
-        self.postings: dict[str, list[int]] = {}
+        postings: dict[str, list[int]] = {}
         for i, p in enumerate(profiles):
             for token in p[4]:
-                self.postings.setdefault(token, []).append(i)
+                postings.setdefault(token, []).append(i)
+        self.postings = {token: np.array(at) for token, at in postings.items()}
 
     @staticmethod
     def profile(text: str):
@@ -119,14 +120,28 @@ class _BestCase:
     def of(self, label: str) -> np.ndarray:
         letters, raw, joined, distinct, tokens = self.profile(label)
         common = np.minimum(self.letters, letters).sum(axis=1).astype(float)
-        sharing = np.zeros(len(common), bool)
+        shared, number = np.zeros(len(common)), np.zeros(len(common))
         for token in tokens:
-            sharing[self.postings.get(token, [])] = True
+            at = self.postings.get(token)
+            if at is not None:
+                shared[at] += len(token)
+                number[at] += 1
+        sharing = number > 0
 
         def total(a, b):
             return np.minimum(200.0 * common / np.maximum(a + b, 1), 100.0)
 
-        token_set = np.where(sharing, 100.0, total(distinct, self.lengths[:, 2]))
+        def score(distance, size):
+            return 100.0 - 100.0 * distance / np.maximum(size, 1)
+
+        # the token set score itself, but for the letters that the own tokens of both sides have in common
+        sep, li = sharing.astype(float), np.where(sharing, shared + number - 1, 0.0)
+        la = np.maximum(distinct - li - sep, 0)
+        lb = np.maximum(self.lengths[:, 2] - li - sep, 0)
+        rest = np.minimum(np.maximum(common - shared, 0), np.minimum(la, lb))
+        token_set = score(la + lb - 2 * rest, 2 * (li + sep) + la + lb)
+        alone = np.maximum(score(sep + la, 2 * li + sep + la), score(sep + lb, 2 * li + sep + lb))
+        token_set = np.where(sharing, np.maximum(token_set, np.where((la == 0) | (lb == 0), 100.0, alone)), token_set)
         if not self.weighted:
             return token_set
         whole = total(raw, self.lengths[:, 0])

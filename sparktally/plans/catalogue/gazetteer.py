@@ -7,7 +7,7 @@ from sparktally.functions import text as T
 from sparktally.operators import gazetteer as G
 from sparktally.plans import sqltext as S
 from sparktally.plans.catalogue.text import PREPARED
-from sparktally.plans.fixtures import WITH_TX, gazetteer, transactions
+from sparktally.plans.fixtures import WITH_TX, gazetteer, table, transactions
 from sparktally.plans.registry import query
 
 #: Token set score of every distinct merchant text and alias, as SQL.
@@ -56,6 +56,55 @@ def merchant_accuracy(spark, sf):
     return G.merchant_accuracy(pairs, gazetteer(spark))
 
 
+#: A gazetteer of one shop per part: beyond the shipping bound at scale factor 0.1 and more.
+#: The label of a shop holds all tokens of its alias and of no other; every seventh names none.
+_SHOPS = """
+WITH shops AS (SELECT p_partkey AS tx_id, concat(p_name, ' shop', CAST(p_partkey AS VARCHAR)) AS alias, p_brand, p_type FROM part)
+SELECT tx_id, CASE WHEN tx_id % 7 <> 0 THEN p_brand END AS merchant_id, CASE WHEN tx_id % 7 <> 0 THEN p_type END AS display_name,
+  CASE WHEN tx_id % 7 <> 0 THEN alias END AS {alias}, CASE WHEN tx_id % 7 <> 0 THEN {score} END AS score FROM shops"""
+
+
+def _shops(spark, sf):
+    shop = F.concat(F.col("p_name"), F.lit(" shop"), F.col("p_partkey").cast("string"))
+    parts = table(spark, sf, "part")
+    gaz = parts.select(F.col("p_partkey").alias("alias_idx"), shop.alias("alias"), F.col("p_brand").alias("merchant_id"),
+                       F.col("p_type").alias("display_name"))
+    label = F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit("CB "), F.upper(shop), F.lit(" PARIS"))).otherwise("?? ZXQ 9")
+    return parts.select(F.col("p_partkey").alias("tx_id"), label.alias("raw_label")), gaz
+
+
+@query("best_merchant_of_parts", _SHOPS.format(alias="alias_norm", score="CAST(100 AS BIGINT)"))
+def best_merchant_of_parts(spark, sf):
+    return G.best_merchant(*_shops(spark, sf), threshold=86).drop("raw_label")
+
+
+@query("best_merchant_of_parts_low", _SHOPS.format(alias="alias_norm", score="CAST(100 AS BIGINT)"))
+def best_merchant_of_parts_low(spark, sf):
+    return G.best_merchant(*_shops(spark, sf), threshold=70).drop("raw_label")
+
+
+_RESOLVED_SHOPS = """
+SELECT p_partkey AS tx_id, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS gaz_merchant_id,
+  CASE WHEN p_partkey % 7 <> 0 THEN 1.0::DOUBLE END AS gaz_score FROM part"""
+
+
+def _resolved_shops(spark, sf, cut):
+    labels, gaz = _shops(spark, sf)
+    text = F.when(F.col("raw_label").startswith("CB "), F.expr("lower(substring(raw_label, 4, length(raw_label) - 9))")).otherwise("zxq")
+    found = G.resolve_merchant(labels.withColumn("normalized", text), gaz, cut=cut)
+    return found.select("tx_id", "gaz_merchant_id", "gaz_score")
+
+
+@query("resolve_merchant_of_parts", _RESOLVED_SHOPS)
+def resolve_merchant_of_parts(spark, sf):
+    return _resolved_shops(spark, sf, 0.90)
+
+
+@query("resolve_merchant_of_parts_low", _RESOLVED_SHOPS)
+def resolve_merchant_of_parts_low(spark, sf):
+    return _resolved_shops(spark, sf, 0.80)
+
+
 #: Accepted alias of every distinct normalized label at the cut 0.90, as SQL.
 RESOLVED = f"""wr_texts AS (SELECT DISTINCT normalized AS t FROM prepared),
 wr_pairs AS (SELECT t, alias_idx, trim(lower(alias)) AS a, CAST(greatest(length(t), length(trim(alias))) AS DOUBLE)
