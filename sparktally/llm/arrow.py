@@ -34,3 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of ids (a few longs each) that may be broadcast.
+MOST_BROADCAST = 2_000_000
+
+
+def few(ids: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Stored ``ids``, marked for broadcast if a count shows at most ``most`` rows, so that what they pick need not move."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids

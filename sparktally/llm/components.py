@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from sparktally.llm.arrow import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and two order-free sums, equal when a round changed nothing."""
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-                    F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(row)
-
-
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
@@ -26,8 +19,7 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """
     ends = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a != b")
     current = stored(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = _state(current)
-    while before[0]:
+    while not _stars(current):
         both = current.union(current.select(F.col("v"), F.col("u")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = stored(
@@ -36,10 +28,14 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = stored(small.union(least.select("u", "m")).distinct(), "edges")
-        after = _state(current)
-        if after == before:
-            break
-        before = after
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component")))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, which has none."""
+    inner = edges.select(F.col("v").alias("u")).distinct()
+    if not edges.join(inner, "u", "left_semi").isEmpty():
+        return False
+    return edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").isEmpty()

@@ -24,13 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktally.llm.arrow import plain, schema_of, stored
+from sparktally.llm.arrow import few, plain, schema_of, stored
 from sparktally.llm.components import components
 from sparktally.llm.words import SPACE, mix, shingles, slices, words_of
 
 WORDS = 5
 PERCENT = 85
-BANDS, ROWS = 24, 6  # a link at 0.85 shares no band with probability 1.2e-5
+BANDS, ROWS = 32, 8  # a link at 0.85 shares no band with probability 3.8e-5
+#: Bits of the parity sketch.
+PARITY = 1024
+#: Of one bit per place, those that may differ: at 0.85 a link exceeds it with probability below 1e-6 (five deviations).
+MOST_BITS = 40
 _STEP = np.uint64(0xD1342543DE82EF95)
 _LOW = np.uint64(0xFFFFFFFF)
 _NONE = np.uint64(2**64 - 1)
@@ -88,10 +92,27 @@ def band_keys(table: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return folded
 
 
+def place_bits(table: np.ndarray) -> np.ndarray:
+    """(documents, 4) words of 64 bits, one for each place: equal at places that agree, else by chance."""
+    return np.packbits((mix(table) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
+
+
+def parity_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, PARITY / 64) words: for each bit whether an odd number of elements hashes to it.
+
+    An element in only one of two sets flips one bit, so as many bits as differ, elements do at least.
+    """
+    odd = np.zeros((len(sets), PARITY), np.uint8)
+    for row, s in zip(odd, sets):
+        row += np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY).astype(np.uint8) & 1
+    return np.packbits(odd, axis=1).view(np.uint64)
+
+
 def _sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, two order-free sums that identify the set, band keys."""
+    """doc_id, text_hash, n_shingles, two order-free sums that identify the set, band keys."""
     schema, arrow = schema_of(
-        docs, doc_id, n_shingles=T.LongType(), set_a=T.LongType(), set_b=T.LongType(), bands=T.ArrayType(T.LongType()))
+        docs, doc_id, "text_hash", n_shingles=T.LongType(), set_a=T.LongType(), set_b=T.LongType(), bands=T.ArrayType(T.LongType()),
+        bits=T.ArrayType(T.LongType()), parity=T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,12 +124,14 @@ def _sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 filled = np.flatnonzero(n)
                 _, first, back = np.unique(np.stack([n.view(np.uint64), a, b], 1)[filled], axis=0,
                                            return_index=True, return_inverse=True)
-                table = signatures([sets[i] for i in filled[first]])
-                keys = band_keys(table)[back.reshape(-1)].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+                chosen = [sets[i] for i in filled[first]]
+                table, back = signatures(chosen), back.reshape(-1)
+                keys, bits, parity = (x[back].view(np.int64) for x in (band_keys(table), place_bits(table), parity_bits(chosen)))
+                ends = np.concatenate([[0], np.cumsum(n > 0)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1))),
+                    part.column(0), part.column(2), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                    *[pa.ListArray.from_arrays(pa.array(ends * x.shape[1]), pa.array(x.reshape(-1)))
+                      for x in (keys, bits, parity)],
                 ], schema=arrow)
 
     return docs.mapInArrow(run, schema)
@@ -141,80 +164,110 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+    """doc_id, text_hash, n_shingles, component_id, kept for every row of ``docs``.
 
     Two documents are linked when ``100 * intersection >= percent * union`` of their sets;
     component_id is the smallest doc_id reachable over links, itself included. Null, empty
     and blank texts have an empty set and are their own component. Repeated rows are
-    copies: each gets a row. Rows that share a doc_id count as one document with the links
-    of all its texts. A null doc_id joins the component of equal sets with an id; without
+    copies: each gets a row. Rows that share a doc_id but not the text are grouped each by its
+    own text, which text_hash tells. A null doc_id joins the component of equal sets with an id; without
     one its component is null and it is kept. An empty table gives no rows; extra columns
     are ignored. Runs jobs and writes to the shared folder while it is being planned.
     """
     src = plain(docs, doc_id, text)
-    sketch = stored(_sketches(src, doc_id, text), "sketches")
+    hashed = src.withColumn("text_hash", F.xxhash64(text))
+    sketch = stored(_sketches(hashed, doc_id, text), "sketches")
     key = ["n_shingles", "set_a", "set_b"]
     classes = stored(
-        sketch.where("n_shingles > 0").groupBy(key)
-        .agg(F.min(doc_id).alias("id"), F.first("bands").alias("bands")), "classes")
-    entries = classes.where("id IS NOT NULL").select("id", "n_shingles", F.explode("bands").alias("bucket"))
+        sketch.where("n_shingles > 0").groupBy(key).agg(
+            F.min(doc_id).alias("id"), *[F.first(c).alias(c) for c in ("bands", "bits", "parity")]), "classes")
+    entries = classes.where("id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
     shared = stored(
         entries.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head != tail"), "buckets")
-    members = stored(entries.join(shared.select("bucket", "head"), "bucket"), "members")
-    wanted = stored(members.select("id").distinct(), "candidates")
+    found = stored(entries.join(shared.select("bucket", "head"), "bucket"), "entries")
+    members = stored(found.join(classes.select("id", "n_shingles", "bits", "parity"), "id"), "members")
+    wanted = stored(found.select("id").distinct(), "candidates")
+    chosen = src.join(few(wanted), src[doc_id] == F.col("id"), "left_semi")
     sets = stored(
-        _full_sets(src.join(wanted, src[doc_id] == wanted["id"], "left_semi"), doc_id, text)
-        .select(F.col(doc_id).alias("id"), "shingles").where(F.size("shingles") > 0), "sets")
+        _full_sets(chosen, doc_id, text).select(F.col(doc_id).alias("id"), "shingles").where(F.size("shingles") > 0), "sets")
     links = _search(members, sets, percent)
 
     group = components(links, "a", "b")
     named = classes.join(group, classes["id"] == group["node"], "left").select(
         *key, F.coalesce("component", "id").alias("component_id"))
     named = stored(named, "named")
-    return sketch.select(doc_id, *key).join(named, key, "left").select(
-        doc_id, "n_shingles",
+    return sketch.select(doc_id, "text_hash", *key).join(named, key, "left").select(
+        doc_id, "text_hash", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id")))
 
 
-def _alike_sizes(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+_TRAITS = ("n_shingles", "bits", "parity")
+
+
+def _differing(name: str, words: int):
+    """Bits in which column ``name`` differs from the probe's."""
+    parts = [F.bit_count(F.col(name)[i].bitwiseXOR(F.col(f"probe.{name}")[i])) for i in range(words)]
+    return sum(parts[1:], parts[0])
+
+
+def _may_link(percent: int):
+    """False for pairs that cannot be linked: by sizes and parity for certain, by places but for one in a million.
+
+    Linked sets differ in at most (100 - percent) / (100 + percent) of their summed sizes.
+    """
+    a, b = F.col("n_shingles"), F.col("probe.n_shingles")
+    return (
+        (100 * F.least(a, b) >= percent * F.greatest(a, b))
+        & (_differing("parity", PARITY // 64) * (100 + percent) <= (100 - percent) * (a + b))
+        & (_differing("bits", BANDS * ROWS // 64) <= MOST_BITS)
+    )
 
 
 def _search(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links needed for the components: every pair of a bucket is compared unless already connected."""
-    heads = members.where("id = head").select("bucket", F.col("n_shingles").alias("n_head")).distinct()
+    """All links needed for the components: every pair of a bucket is compared unless already connected.
+
+    First the bucket's smallest id is compared with all others. Where several components are
+    left, the next 15 members are, then the next 240, and so on. Rounds end when every bucket
+    is one component or has no member left to compare; members of one component are
+    never compared with each other.
+    """
+    heads = members.where("id = head").select("bucket", F.struct(*_TRAITS).alias("probe"))
     pairs = (
-        members.where("id != head").join(stored(heads, "heads"), "bucket")
-        .where(_alike_sizes("n_shingles", "n_head", percent))
+        members.where("id != head").join(heads, "bucket").where(_may_link(percent))
         .select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     )
     tried = stored(pairs, "pairs")
     links = stored(_confirmed(tried, sets, percent), "links")
-    others = members.where("id != head").select("bucket", "id", "n_shingles").distinct()
-    rest, done = others, 0
+    group = components(links, "a", "b")
+    rest, done = members.where("id != head").drop("head").dropDuplicates(["bucket", "id"]), 0
     while True:
-        group = components(links, "a", "b")
-        rest = rest.drop("component").join(group, rest["id"] == group["node"], "left").select(
-            *[c for c in rest.columns if c != "component"], F.coalesce("component", "id").alias("component"))
+        if group is not None:
+            columns = [c for c in rest.columns if c != "component"]
+            rest = rest.select(columns).join(group, rest["id"] == group["node"], "left").select(
+                *columns, F.coalesce("component", "id").alias("component"))
         mixed = stored(rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                        .where("lo != hi").select("bucket"), "mixed")
         if mixed.isEmpty():
             return links
         rest = rest.join(mixed, "bucket")
-        if not done:  # the head has been compared with all; the others follow by id
+        if not done:
             rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
         rest = stored(rest, "rest")
-        upto = 4 * done + 3
+        upto = 16 * done + 15
         probes = rest.where(F.col("place") <= upto).select(
-            "bucket", F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("place").alias("at"),
+            "bucket", F.col("id").alias("a"), F.struct(*_TRAITS).alias("probe"), F.col("place").alias("at"),
             F.col("component").alias("own"))
         found = (
-            rest.join(stored(probes, "probes"), "bucket").where("place > at AND component != own")
-            .where(_alike_sizes("n_shingles", "n_a", percent)).select("a", F.col("id").alias("b")).distinct()
-            .join(tried, ["a", "b"], "left_anti")
+            rest.join(probes, "bucket").where(F.expr("place > at AND component != own") & _may_link(percent))
+            .select("a", F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         )
         fresh = stored(found, "pairs")
         more = stored(_confirmed(fresh, sets, percent), "links")
-        links, tried, done = links.union(more), tried.union(fresh), upto
+        if more.isEmpty():
+            group = None
+        else:
+            links = links.union(more)
+            group = components(links, "a", "b")
+        tried, done = tried.union(fresh), upto
         rest = rest.where(F.col("place") > done)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktally.llm.arrow import plain, schema_of, stored
+from sparktally.llm.arrow import few, plain, schema_of, stored
 from sparktally.llm.components import components
 from sparktally.llm.words import SPACE, Words, mix, shingles, slices, words_of
 
@@ -226,7 +226,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
         links.groupBy("doc_id", "head_id").agg(F.collect_set(F.struct("word", "head_word")).alias("places")), "pairs")
     named = stored(pairs.select("doc_id").union(pairs.select("head_id")).distinct(), "named")
     texts = stored(
-        src.join(named, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text")).distinct(), "texts")
+        src.join(few(named), "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text")).distinct(), "texts")
     head_texts = texts.select(F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"))
     joined = pairs.join(texts, "doc_id").join(head_texts, "head_id")
     spans = stored(_spans(joined, id_type, similarity), "spans")
