@@ -78,14 +78,15 @@ def paragraph_bands(found: Words, at: np.ndarray) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(group, doc_id, word, head_id, head_word) per paragraph and band.
+    """(group, doc_id, words, head_id, head_word) per paragraph and band.
 
-    Of equal keys in one slice only the first meets the other slices, under its key; the
-    others are linked to it at once and travel under a group of their own. However many
-    copies a passage has, its key gets at most one row per slice.
+    Of equal keys in one slice only the first meets the other slices, under its key; those
+    of other documents are linked to it at once and travel under a group of their own.
+    Repeats inside the first's document share its row, in ``words``, and so its partner.
+    However many copies a passage has, its key gets at most one row per slice.
     """
     id_type = docs.schema[doc_id].dataType
-    schema, arrow = schema_of(docs, doc_id, word=T.IntegerType(), group=T.LongType(), head_id=id_type,
+    schema, arrow = schema_of(docs, doc_id, words=T.ArrayType(T.IntegerType()), group=T.LongType(), head_id=id_type,
                               head_word=T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,26 +100,40 @@ def _entries(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 if not len(at):
                     continue
                 keys = paragraph_bands(found, at)
+                ids = part.column(0)
+                doc = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
                 row = np.searchsorted(found.first, at, "right") - 1
-                word = at - found.first[row]
+                word = (at - found.first[row]).astype(np.int32)
                 flat = keys.T.reshape(-1)  # paragraphs in order, band by band
-                paragraph = np.tile(np.arange(len(at)), BANDS)
+                paragraph = np.tile(np.arange(len(at)), keys.shape[1])
                 _, first, back = np.unique(flat, return_index=True, return_inverse=True)
                 head = first[back]
-                alone = head == np.arange(len(flat))
-                mine, other = paragraph, paragraph[head]
-                keep = alone | (row[mine] != row[other])  # a repeat inside a document is not sought
-                mine, other, alone = mine[keep], other[keep], alone[keep]
-                group = np.where(alone, flat[keep], mix(flat[keep] ^ mix(np.flatnonzero(keep).astype(np.uint64))))
-                ids = part.column(0)
+                same = doc[row[paragraph]] == doc[row[paragraph[head]]]
+                owner = np.where(same, head, np.arange(len(flat)))  # the entry in whose row this one travels
+                by_owner = np.argsort(owner, kind="stable")
+                kept, begin = np.unique(owner[by_owner], return_index=True)
+                mine, other, alone = paragraph[kept], paragraph[head[kept]], same[kept]
+                group = np.where(alone, flat[kept], mix(flat[kept] ^ mix(kept.astype(np.uint64))))
                 yield pa.RecordBatch.from_arrays([
-                    ids.take(pa.array(row[mine])), pa.array(word[mine].astype(np.int32)), pa.array(group.view(np.int64)),
-                    ids.take(pa.array(row[other], mask=alone)), pa.array(word[other].astype(np.int32), mask=alone),
+                    ids.take(pa.array(row[mine])),
+                    pa.ListArray.from_arrays(pa.array(np.append(begin, len(owner)).astype(np.int32)),
+                                             pa.array(word[paragraph[by_owner]])),
+                    pa.array(group.view(np.int64)),
+                    ids.take(pa.array(row[other], mask=alone)), pa.array(word[other], mask=alone),
                 ], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
 
+def _links(entries: DataFrame) -> DataFrame:
+    """(doc_id, word, head_id, head_word): every place with the first of its group, if that is in another document."""
+    met = entries.withColumn("least", F.expr("min(struct(doc_id, words[0] AS word)) OVER (PARTITION BY `group`)"))
+    return met.select(
+        "doc_id", F.explode("words").alias("word"), F.coalesce("head_id", "least.doc_id").alias("head_id"),
+        F.when(F.col("head_id").isNull(), F.col("least.word")).otherwise(F.col("head_word")).alias("head_word"),
+    ).where("doc_id != head_id")
+
+
 def _same_run(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the common beginning."""
     n, done, step = min(len(a), len(b)), 0, 64
@@ -216,12 +231,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     src = plain(docs, doc_id, text).withColumnsRenamed({doc_id: "doc_id", text: "text"})
     id_type = src.schema["doc_id"].dataType
     place = F.struct("doc_id", "word")
-    rows = _entries(src, "doc_id", "text")
-    heads = rows.withColumn("least", F.expr("min(struct(doc_id, word)) OVER (PARTITION BY `group`)"))
-    links = heads.select(
-        "doc_id", "word", F.coalesce("head_id", "least.doc_id").alias("head_id"),
-        F.when(F.col("head_id").isNull(), F.col("least.word")).otherwise(F.col("head_word")).alias("head_word"),
-    ).where("doc_id != head_id")
+    links = _links(_entries(src, "doc_id", "text"))
     pairs = stored(
         links.groupBy("doc_id", "head_id").agg(F.collect_set(F.struct("word", "head_word")).alias("places")), "pairs")
     named = stored(pairs.select("doc_id").union(pairs.select("head_id")).distinct(), "named")

@@ -71,3 +71,22 @@ def test_odd_rows(spark, odd, nothing):
     assert len(cut) == 17 and sum(r.text == "" for r in cut) == 3  # 2, and all of 5 and of one text of 10
     assert substring.repeated_passages(nothing).collect() == []
     assert substring.cut_spans(nothing, substring.repeated_passages(nothing)).collect() == []
+
+
+def test_repeats_inside_a_later_document_are_all_found_however_rows_fall(spark):
+    passage = words(31, 60)
+    rows = [(1, f"{words(32, 20)} {passage} {words(33, 20)}"),
+            (5, f"{passage} {words(34, 90)} {passage} {words(35, 30)}"), (6, words(36, 50))]
+    docs = frame(spark, rows)
+    for dealt in (docs.coalesce(1), docs.repartitionByRange(3, "doc_id")):
+        got = substring.repeated_passages(dealt).collect()
+        assert [(r.doc_id, r.kept_doc_id, r.n_words) for r in got] == [(5, 1, 60)] * 2
+        assert passage not in {r.doc_id: r.text for r in substring.cut_spans(dealt, substring.repeated_passages(dealt)).collect()}[5]
+
+
+def test_rows_of_one_id_meet_earlier_documents_however_rows_fall(spark):
+    passage = words(41, 60)
+    rows = [(1, f"{passage} {words(42, 20)}"), (5, f"{words(43, 40)} {passage}"), (5, f"{words(44, 70)} {passage}")]
+    docs = frame(spark, rows)
+    for dealt in (docs.coalesce(1), docs.repartitionByRange(3, "doc_id")):
+        assert [(r.doc_id, r.kept_doc_id, r.n_words) for r in substring.repeated_passages(dealt).collect()] == [(5, 1, 60)] * 2
