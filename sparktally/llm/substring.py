@@ -6,7 +6,11 @@ every 31 in a row). Two copies of a passage of 50 words or more choose the same
 inside it, whatever stands around them.
 
 Paragraphs that share a MinHash band meet; each is paired with the first of them in
-order of (document, word). A pair must reach the wanted Jaccard similarity on its
+order of (document, word). That one may be an unlike or a shorter copy, so the runs of 50
+words around paragraphs that have met others meet again by the hash of all their words:
+equality is transitive, so the first of equal runs is partner enough, and every
+shared run of 50 words is found whatever the bands' first members are. Equal paragraphs
+between equal words are one class, which one member stands for. A pair must reach the wanted Jaccard similarity on its
 five-word shingles and is then extended word by word, so that the whole passage is
 found. Components of the confirmed pairs are the clusters; the first place of a cluster
 stays. Every removed word thus has an equal one, or for edited paragraphs a similar
@@ -15,7 +19,7 @@ one, at a smaller place.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +38,16 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 4, 2  # a pair at 0.8 shares no band with probability 0.017; a passage has several pairs
 MIN_WORDS = 50
+RUN = WINDOW - 1 + PARAGRAPH  # words of a run that holds the anchor it chooses and all of its paragraph
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
-def anchors(found: Words) -> np.ndarray:
-    """Word numbers where paragraphs begin: least three-word hash of every WINDOW, last of equals."""
+def _chosen(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers where windows begin, the word each chooses (least three-word hash of WINDOW, last of equals), row ends by word."""
     n = len(found.hashes)
+    ends = np.repeat(found.first[1:], np.diff(found.first))  # of each word's row
     if n < WINDOW + 2:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), ends
     h = found.hashes
     grams = mix(h[:-2] * _SALT + mix(h[1:-1]) * np.uint64(3) + mix(h[2:] ^ _SALT))
     number = np.arange(n - 2, dtype=np.uint64)
@@ -52,13 +58,59 @@ def anchors(found: Words) -> np.ndarray:
         width *= 2
     if width < WINDOW:
         least = np.minimum(least[:len(least) - (WINDOW - width)], least[WINDOW - width:])
-    ends = np.repeat(found.first[1:], np.diff(found.first))  # of each word's row
     inside = np.arange(len(least)) + WINDOW + 2 <= ends[:len(least)]
     chosen = np.uint64(0xFFFFFF) - (least[inside] & np.uint64(0xFFFFFF))
-    at = np.unique(chosen).astype(np.int64)
+    return np.flatnonzero(inside), chosen.astype(np.int64), ends
+
+
+def anchors(found: Words) -> np.ndarray:
+    """Word numbers where paragraphs begin: what the windows choose, if a paragraph fits."""
+    _, chosen, ends = _chosen(found)
+    at = np.unique(chosen)
     return at[at + PARAGRAPH <= ends[at]]
 
 
+def _wanted(found: Words, wanted: pa.Array) -> np.ndarray:
+    """Word numbers of each row's ``wanted`` words, those where a paragraph fits."""
+    row = np.repeat(np.arange(len(wanted)), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+    place = found.first[row] + wanted.flatten().to_numpy(zero_copy_only=False)
+    return np.unique(place[place + PARAGRAPH <= found.first[row + 1]])
+
+
+def runs(found: Words, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all runs of RUN words whose anchor is one of the row's ``wanted`` words, and (runs, 1) keys of all their words."""
+    begin, chosen, ends = _chosen(found)
+    marked = np.zeros(len(found.hashes), bool)
+    marked[_wanted(found, wanted)] = True
+    at = begin[marked[chosen] & (begin + RUN <= ends[begin])]
+    return at, _run_hashes(found.hashes, RUN)[at][:, None] if len(at) else np.zeros((0, 1), np.uint64)
+
+
+def contexts(found: Words, at: np.ndarray) -> np.ndarray:
+    """Hash of each paragraph with all words that a run of RUN words around it may have; where the row ends counts."""
+    row = np.searchsorted(found.first, at, "right") - 1
+    out = np.zeros(len(at), np.uint64)
+    for j in range(PARAGRAPH - RUN, RUN):
+        here = at + j
+        inside = (here >= found.first[row]) & (here < found.first[row + 1])
+        out = out * _SALT + np.where(inside, found.hashes[np.where(inside, here, at)], np.uint64(0))
+    return mix(out)
+
+
+def _run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hashes of n words in a row, put together from runs of 1, 2, 4, ... words."""
+    out, done, piece, width = np.zeros(len(h) - n + 1, np.uint64), 0, h, 1
+    while True:
+        times = np.uint64(pow(int(_SALT), width, 2**64))
+        if n & width:
+            out = out * times + piece[done:done + len(out)]
+            done += width
+        if 2 * width > n:
+            return mix(out)
+        piece = piece[:-width] * times + piece[width:]
+        width *= 2
+
+
 def paragraph_bands(found: Words, at: np.ndarray) -> np.ndarray:
     """(paragraphs, BANDS) band keys from the shingles inside each paragraph."""
     per = PARAGRAPH - SHINGLE + 1
@@ -77,34 +129,44 @@ def paragraph_bands(found: Words, at: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _entries(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(group, doc_id, words, head_id, head_word) per paragraph and band.
+def _paragraphs(part: pa.RecordBatch, found: Words) -> tuple[np.ndarray, np.ndarray]:
+    at = anchors(found)
+    return at, paragraph_bands(found, at) if len(at) else np.zeros((0, BANDS), np.uint64)
+
+
+def _runs(part: pa.RecordBatch, found: Words) -> tuple[np.ndarray, np.ndarray]:
+    return runs(found, part.column(2))
+
+
+def _entries(docs: DataFrame, places: Callable[[pa.RecordBatch, Words], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(group, doc_id, words, head_id, head_word, shared) per place and key; the first columns are doc_id and text.
+
+    ``shared`` is given for the first key alone: whether another document of the slice has it.
 
     Of equal keys in one slice only the first meets the other slices, under its key; those
     of other documents are linked to it at once and travel under a group of their own.
     Repeats inside the first's document share its row, in ``words``, and so its partner.
     However many copies a passage has, its key gets at most one row per slice.
     """
-    id_type = docs.schema[doc_id].dataType
-    schema, arrow = schema_of(docs, doc_id, words=T.ArrayType(T.IntegerType()), group=T.LongType(), head_id=id_type,
-                              head_word=T.IntegerType())
+    id_type = docs.schema["doc_id"].dataType
+    schema, arrow = schema_of(docs, "doc_id", words=T.ArrayType(T.IntegerType()), group=T.LongType(), head_id=id_type,
+                              head_word=T.IntegerType(), shared=T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             if batch.num_rows:
                 batch = batch.take(pc.sort_indices(batch.column(0)))
-            for part in slices(batch, text):
+            for part in slices(batch, "text"):
                 found = words_of(part.column(1), SPACE)
-                at = anchors(found)
+                at, keys = places(part, found)
                 if not len(at):
                     continue
-                keys = paragraph_bands(found, at)
                 ids = part.column(0)
                 doc = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
                 row = np.searchsorted(found.first, at, "right") - 1
                 word = (at - found.first[row]).astype(np.int32)
-                flat = keys.T.reshape(-1)  # paragraphs in order, band by band
+                flat = keys.T.reshape(-1)  # places in order, key by key
                 paragraph = np.tile(np.arange(len(at)), keys.shape[1])
                 _, first, back = np.unique(flat, return_index=True, return_inverse=True)
                 head = first[back]
@@ -113,6 +175,8 @@ def _entries(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 by_owner = np.argsort(owner, kind="stable")
                 kept, begin = np.unique(owner[by_owner], return_index=True)
                 mine, other, alone = paragraph[kept], paragraph[head[kept]], same[kept]
+                shared = ~alone
+                shared[np.searchsorted(kept, head[kept[shared]])] = True
                 group = np.where(alone, flat[kept], mix(flat[kept] ^ mix(kept.astype(np.uint64))))
                 yield pa.RecordBatch.from_arrays([
                     ids.take(pa.array(row[mine])),
@@ -120,20 +184,75 @@ def _entries(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                                              pa.array(word[paragraph[by_owner]])),
                     pa.array(group.view(np.int64)),
                     ids.take(pa.array(row[other], mask=alone)), pa.array(word[other], mask=alone),
+                    pa.array(shared, mask=kept >= len(at)),
                 ], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
 
-def _links(entries: DataFrame) -> DataFrame:
+def _met(entries: DataFrame, name: str) -> DataFrame:
+    """Entries whose group another document is in, with the group's first place, and ``shared`` set for the first key."""
+    group = "OVER (PARTITION BY `group`)"
+    both = entries.withColumn("least", F.expr(f"min(struct(doc_id, words[0] AS word)) {group}")).withColumn(
+        "most", F.expr(f"max(doc_id) {group}"))
+    many = F.expr("least.doc_id != most")
+    return stored(both.where(many | F.col("head_id").isNotNull() | F.col("shared")).select(
+        "doc_id", "words", "head_id", "head_word", "least", F.col("shared").isNotNull().alias("shared")), name)
+
+
+def _links(met: DataFrame) -> DataFrame:
     """(doc_id, word, head_id, head_word): every place with the first of its group, if that is in another document."""
-    met = entries.withColumn("least", F.expr("min(struct(doc_id, words[0] AS word)) OVER (PARTITION BY `group`)"))
     return met.select(
         "doc_id", F.explode("words").alias("word"), F.coalesce("head_id", "least.doc_id").alias("head_id"),
         F.when(F.col("head_id").isNull(), F.col("least.word")).otherwise(F.col("head_word")).alias("head_word"),
     ).where("doc_id != head_id")
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    return _links(met).groupBy("doc_id", "head_id").agg(F.collect_set(F.struct("word", "head_word")).alias("places"))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """(paragraph, context, doc_id, word) of the wanted places of ``docs`` (doc_id, text, wanted)."""
+    schema, arrow = schema_of(docs, "doc_id", word=T.IntegerType(), paragraph=T.LongType(), context=T.LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = words_of(part.column(1), SPACE)
+                at = _wanted(found, part.column(2))
+                if not len(at):
+                    continue
+                row = np.searchsorted(found.first, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(pa.array(row)), pa.array((at - found.first[row]).astype(np.int32)),
+                    pa.array(_run_hashes(found.hashes, PARAGRAPH)[at].view(np.int64)),
+                    pa.array(contexts(found, at).view(np.int64))], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _equal_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pairs (doc_id, head_id, places) by which every run of RUN words around a wanted place meets the first equal one.
+
+    A class (equal paragraphs, equal words around) is paired with its first place, and that with the
+    paragraph's. This is all where a paragraph has two classes; of three or more, the first places'
+    runs meet by the hash of all their words.
+    """
+    places = stored(_classes(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted")), "places")
+    place = F.struct("doc_id", "word")
+    classes = stored(places.groupBy("paragraph", "context").agg(F.min(place).alias("rep")), "classes")
+    firsts = stored(classes.groupBy("paragraph").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    inside = places.join(classes, ["paragraph", "context"]).select("doc_id", "word", F.col("rep").alias("head"))
+    across = classes.join(firsts, "paragraph").select("rep.doc_id", "rep.word", F.col("first").alias("head"))
+    links = inside.union(across).where("doc_id != head.doc_id").groupBy("doc_id", F.col("head.doc_id").alias("head_id")).agg(
+        F.collect_set(F.struct("word", F.col("head.word").alias("head_word"))).alias("places"))
+    several = classes.join(firsts.where("n > 2"), "paragraph", "left_semi").groupBy(F.col("rep.doc_id").alias("doc_id")).agg(
+        F.collect_set("rep.word").alias("wanted"))
+    around = texts.join(stored(several, "several"), "doc_id").select("doc_id", "text", "wanted")
+    return links.union(_pairs(_met(_entries(around, _runs), "runs")))
+
+
 def _same_run(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the common beginning."""
     n, done, step = min(len(a), len(b)), 0, 64
@@ -231,12 +350,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     src = plain(docs, doc_id, text).withColumnsRenamed({doc_id: "doc_id", text: "text"})
     id_type = src.schema["doc_id"].dataType
     place = F.struct("doc_id", "word")
-    links = _links(_entries(src, "doc_id", "text"))
-    pairs = stored(
-        links.groupBy("doc_id", "head_id").agg(F.collect_set(F.struct("word", "head_word")).alias("places")), "pairs")
+    met = _met(_entries(src, _paragraphs), "met")
+    pairs = stored(_pairs(met), "pairs")
     named = stored(pairs.select("doc_id").union(pairs.select("head_id")).distinct(), "named")
     texts = stored(
         src.join(few(named), "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text")).distinct(), "texts")
+    # equal paragraphs share all bands, so the first band shows all that equal others
+    wanted = stored(met.where("shared").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("wanted")), "wanted")
+    pairs = stored(
+        pairs.union(_equal_runs(texts, wanted)).groupBy("doc_id", "head_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "pairs")
     head_texts = texts.select(F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"))
     joined = pairs.join(texts, "doc_id").join(head_texts, "head_id")
     spans = stored(_spans(joined, id_type, similarity), "spans")

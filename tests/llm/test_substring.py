@@ -90,3 +90,30 @@ def test_rows_of_one_id_meet_earlier_documents_however_rows_fall(spark):
     docs = frame(spark, rows)
     for dealt in (docs.coalesce(1), docs.repartitionByRange(3, "doc_id")):
         assert [(r.doc_id, r.kept_doc_id, r.n_words) for r in substring.repeated_passages(dealt).collect()] == [(5, 1, 60)] * 2
+
+
+def test_partners_that_are_unlike_or_shorter_do_not_hide_others(spark):
+    """The first document has each passage edited or cut; the second and third share it whole."""
+    rows = []
+    for k in range(30):
+        whole = words(5000 + k, 80 if k % 2 else 60).split()
+        first = whole[:40] + ["edited"] + whole[41:] if k % 2 else whole[:45]
+        rows.append((k, f"{words(6000 + k, 15)} {' '.join(first)} {words(6100 + k, 15)}"))
+        rows += [(100 * j + k, f"{words(6000 + 200 * j + k, 15)} {' '.join(whole)} {words(6100 + 200 * j + k, 15)}") for j in (1, 2)]
+    docs = frame(spark, rows)
+    for dealt in (docs.coalesce(1), docs.repartitionByRange(3, "doc_id")):
+        got = substring.repeated_passages(dealt).collect()
+        whole = {r.doc_id for r in got if r.n_words >= (80 if r.doc_id % 2 else 60)}
+        assert whole >= set(range(200, 230))
+
+
+def test_run_hashes_tell_runs_apart():
+    import numpy as np
+
+    h = substring.mix(np.arange(1, 200, dtype=np.uint64) % np.uint64(70))
+    for n in (1, 2, 19, 50):
+        keys = substring._run_hashes(h, n)
+        alike = {}
+        for i, key in enumerate(keys):
+            alike.setdefault(int(key), set()).add(tuple(h[i:i + n].tolist()))
+        assert len(keys) == 200 - n and len(alike) == min(70, 200 - n) and all(len(x) == 1 for x in alike.values())
