@@ -3,8 +3,8 @@
 A paragraph is a line. Its words and pairs of words are features of a sparse multinomial
 logistic regression over licence families and a class for everything else. It is fitted
 on parts of the licence templates and on a bounded sample of the corpus's own
-paragraphs. The least probability that counts is calibrated on a second sample, so that
-ordinary paragraphs stay unknown. A prediction is confirmed by comparing the paragraph
+paragraphs. The least probability that counts is calibrated on all paragraphs, each
+distinct one once, so that ordinary paragraphs stay unknown. A prediction is confirmed by comparing the paragraph
 with the family's templates.
 """
 
@@ -58,13 +58,14 @@ TEMPLATES = {
 }
 OTHER = "other"
 UNKNOWN = "unknown"
-#: Corpus paragraphs to fit on, and as many to calibrate on.
+#: Distinct corpus paragraphs to fit on.
 SAMPLE = 4000
 #: Share of a template's word triples that a confirmed paragraph holds.
 CONFIRMED = 0.6
 #: Share of ordinary paragraphs that the calibrated threshold lets pass, and its least value.
 FALSE_ALARMS = 0.0005
 LEAST_PROBABILITY = 0.5
+_BINS = 10_000
 
 _WORDS = r"regexp_extract_all(lower(paragraph), '[a-z0-9]+(?:[.+-][a-z0-9]+)*', 0)"
 
@@ -112,32 +113,34 @@ def paragraphs_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.col("paragraph").rlike("[A-Za-z0-9]"))
 
 
-def _sample(paragraphs: DataFrame, size: int, salt: int) -> DataFrame:
-    """Paragraphs of least hash; a bounded number, each distinct one once."""
-    return (
-        paragraphs.select("paragraph", F.xxhash64("paragraph", F.lit(salt)).alias("order"))
-        .orderBy("order", "paragraph").limit(size).select("paragraph").distinct()
-    )
+def _sample(paragraphs: DataFrame, size: int, salt: int) -> tuple[DataFrame, int]:
+    """The ``size`` distinct paragraphs of least hash, and how many distinct ones there are; copies count once."""
+    order = F.xxhash64("paragraph", F.lit(salt))
+    hashes = stored(paragraphs.select(order.alias("order")).distinct(), "hashes")
+    last = hashes.orderBy("order").limit(size).agg(F.max("order")).first()[0]
+    return paragraphs.where(order <= F.lit(last)).select("paragraph").distinct(), hashes.count()
 
 
-def train(paragraphs: DataFrame, sample: int = SAMPLE, seed: int = 1) -> tuple[dict[str, list[float]], float]:
-    """(weights of all classes by feature, the bias at '', and the least probability that counts).
+def _own_triples(known: DataFrame) -> Column:
+    """The word triples of all templates, as a constant."""
+    return _literals(r[0] for r in known.withColumn("words", F.expr(_WORDS)).select(F.explode(_triples("words"))).distinct().collect())
+
+
+def train(paragraphs: DataFrame, sample: int = SAMPLE, seed: int = 1) -> tuple[dict[str, list[float]], int]:
+    """(weights of all classes by feature, the bias at '', and the number of distinct paragraphs).
 
     ``paragraphs`` needs a column paragraph. Sampled paragraphs that share a word triple with a
     template are not used as ordinary ones.
     """
     spark = paragraphs.sparkSession
     known = templates(spark)
-    triples = [r[0] for r in known.withColumn("words", F.expr(_WORDS)).select(F.explode(_triples("words"))).distinct().collect()]
-    own = _literals(triples)
-
-    def ordinary(salt: int) -> DataFrame:
-        rows = _sample(paragraphs, sample, salt).withColumn("words", F.expr(_WORDS))
-        return rows.where(~F.arrays_overlap(_triples("words"), own)).select(F.lit(OTHER).alias("family"), "paragraph")
+    rows, total = _sample(paragraphs, sample, seed)
+    ordinary = rows.withColumn("words", F.expr(_WORDS)).where(~F.arrays_overlap(_triples("words"), _own_triples(known))).select(
+        F.lit(OTHER).alias("family"), "paragraph")
 
     classes = [*TEMPLATES, OTHER]
     code = F.element_at(F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))]), F.col("family"))
-    examples = _with_features(stored(_examples(known).union(ordinary(seed)), "examples"))
+    examples = _with_features(stored(_examples(known).union(ordinary), "examples"))
     vocabulary = sorted(r[0] for r in _with_features(known).select(F.explode("features")).distinct().collect())
     vector = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="features", outputCol="vector")
     rows = vector.transform(examples.withColumn("label", code)).select("label", "vector")
@@ -148,12 +151,23 @@ def train(paragraphs: DataFrame, sample: int = SAMPLE, seed: int = 1) -> tuple[d
     matrix = [[*row] for row in matrix] + [[0.0] * len(vocabulary)] * (len(classes) - len(matrix))
     bias = [*bias] + [-50.0] * (len(classes) - len(bias))
     used = [(f, [float(row[j]) for row in matrix]) for j, f in enumerate(vocabulary) if any(abs(row[j]) > 1e-9 for row in matrix)]
-    weights = {"": [float(b) for b in bias], **dict(used)}
-    others = stored(_with_features(ordinary(seed + 1).drop("family"), _literals(f for f, _ in used)), "ordinary")
-    total = others.count()
-    cut = _scored(others, weights).orderBy(F.desc("probability")).limit(int(total * FALSE_ALARMS) + 1).agg(
-        F.min("probability")).first()[0]
-    return weights, max(LEAST_PROBABILITY, min(0.99, cut or 0.0))
+    return {"": [float(b) for b in bias], **dict(used)}, total
+
+
+def _calibrated(likely: DataFrame, total: int) -> float:
+    """The least probability that counts: at most FALSE_ALARMS of all distinct paragraphs pass without being like a template.
+
+    ``likely`` holds all paragraphs of at least LEAST_PROBABILITY with their words; what shares a word triple
+    with a template is no false alarm. The histogram is of the whole table.
+    """
+    strange = likely.where(~F.arrays_overlap(_triples("words"), _own_triples(templates(likely.sparkSession))))
+    bins = strange.select(F.xxhash64("paragraph"), F.floor(F.col("probability") * _BINS).alias("bin")).distinct().groupBy("bin").count()
+    passed, allowed = 0, int(total * FALSE_ALARMS) + 1
+    for at, n in sorted(bins.collect(), reverse=True):
+        passed += n
+        if passed > allowed:
+            return max(LEAST_PROBABILITY, min(0.99, (at + 1) / _BINS))
+    return LEAST_PROBABILITY
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,19 +178,20 @@ def scan(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: st
     family ``unknown``. Null, empty and blank texts have no paragraphs. Repeated rows are found
     each time, a null doc_id stays null, ties between families go to the last by name, an
     empty table gives no rows, extra columns are ignored, long texts are read whole. Fits the
-    classifier while it is being planned.
+    classifier, scores all lines and writes the likely ones to the shared folder while it is being planned.
     """
     src = plain(docs, doc_id, text)
     lines = paragraphs_of(src, doc_id, text)
-    weights, least = train(lines.select("paragraph"), sample)
+    weights, total = train(lines.select("paragraph"), sample)
     # a paragraph is scored where it stands: no exchange is needed to bring its features together
     # rows are dropped by generators: a filter would be pushed below and repeat the work of all it reads
     found = _with_features(lines, _literals(f for f in weights if f)).select(
         "doc_id", "number", "paragraph", "words", F.explode(F.expr("IF(size(features) > 0, array(features), array())")).alias("features"))
     scored = _scored(found, weights)
     scored = scored.select(*found.columns, F.explode(F.filter(F.array(F.struct("family", "probability")),
-                                                              lambda b: b["probability"] >= least)).alias("best"))
-    scored = scored.select(*found.columns, "best.family", "best.probability")
+                                                              lambda b: b["probability"] >= LEAST_PROBABILITY)).alias("best"))
+    likely = stored(scored.select("doc_id", "number", "paragraph", "words", "best.family", "best.probability"), "likely")
+    scored = likely.where(F.col("probability") >= _calibrated(likely, total))
     compared = templates(docs.sparkSession).withColumn("words", F.expr(_WORDS)).select(
         F.col("family").alias("of"), _triples("words").alias("triples"))
     lists = compared.groupBy("of").agg(F.collect_list("triples").alias("templates"))

@@ -27,3 +27,22 @@ def test_main_path_has_no_python(odd, capsys):
     license_scan.scan(odd).explain()
     plan = capsys.readouterr().out
     assert not [w for w in ("Python", "Pandas", "ArrowEval") if w in plan]
+
+
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    """40 ordinary lines of 50 copies each: 30 places hold 30 lines."""
+    lines = spark.createDataFrame([(words(k, 8),) for k in range(40)] * 50, "paragraph string")
+    seen, store = {}, license_scan.stored
+    monkeypatch.setattr(license_scan, "stored", lambda df, name: seen.setdefault(name, store(df, name)))
+    license_scan.train(lines, sample=30)
+    assert seen["examples"].where("family = 'other'").select("paragraph").distinct().count() == 30
+
+
+def test_threshold_counts_every_distinct_paragraph_once(spark):
+    """Of 20 000 distinct paragraphs 11 may pass; copies, and what is like a template, do not count."""
+    rows = [(words(k, 6), 0.9 - k / 100) for k in range(20)] + [(words(0, 6), 0.9)] * 500
+    rows += [(license_scan.TEMPLATES["mit"][0], 0.97)] * 50 + [(t, 0.95) for f in license_scan.TEMPLATES.values() for t in f]
+    likely = spark.createDataFrame(rows, "paragraph string, probability double").selectExpr("*", f"{license_scan._WORDS} AS words")
+    least = license_scan._calibrated(likely, 20_000)
+    assert len({p for p, chance in rows[:20] if chance >= least}) == 11
+    assert license_scan._calibrated(likely, 20_000_000) == license_scan.LEAST_PROBABILITY
