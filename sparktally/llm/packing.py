@@ -57,7 +57,10 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if text.isascii() and not _CONTROL.search(text) or _LATIN.match(text):
-            return self.merges.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            try:
+                return self.merges.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # its pattern gives up on some million blanks in a row
+                pass
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
