@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparktally.llm import decontam, neardup, packing, queries, substring, toxicity
-from sparktally.llm.arrow import few, stored
+from sparktally.llm.arrow import discard, few, stored
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -21,18 +21,27 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject; the model is fitted on labelled documents."""
+    """Documents that the toxicity model does not reject; the model is fitted on labelled documents.
+
+    Null and empty texts are scored like any text without words, repeated rows go or stay together, rows without
+    a doc_id are scored but not learnt from, very long texts are read whole, an empty table gives no rows.
+    """
     model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"))
     return toxicity.toxicity(_carried(docs), model, carry=("row",)).where("predicted = 0").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: its smallest doc_id, once if rows repeat."""
+    """One document of each near-duplicate group: its smallest doc_id, once if rows repeat.
+
+    Null, empty and blank texts are like no other and stay, rows of one doc_id with different texts are judged each by its
+    own text, rows without a doc_id stay, very long texts are compared whole, an empty table gives no rows.
+    """
     queries.ship(spark)
-    kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(
-        F.count(F.lit(1)).alias("times"))
+    groups = neardup.near_duplicates(docs)
+    kept = stored(groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times")), "kept")
+    discard(groups)
     rows = _carried(docs).withColumn("text_hash", F.xxhash64("text"))
-    rows = rows.join(few(stored(kept, "kept")), ["doc_id", "text_hash"])
+    rows = rows.join(few(kept), ["doc_id", "text_hash"])
     again = rows.where("times > 1").withColumn("place", F.row_number().over(
         Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64("row"), "row")))
     return (
@@ -42,19 +51,34 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that repeat an earlier document's; n_chars follows the text."""
+    """All documents, without the passages that repeat an earlier document's; n_chars follows the text.
+
+    Null and empty texts and rows without a doc_id stay as they are, repeated rows are cut alike, very long texts are
+    searched whole, an empty table gives no rows.
+    """
     queries.ship(spark)
-    return substring.cut_spans(docs, substring.repeated_passages(docs))
+    spans = substring.repeated_passages(docs)
+    out = substring.cut_spans(docs, spans)
+    discard(spans)
+    return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth lie in benchmark windows."""
+    """Documents of whose words less than a twentieth lie in benchmark windows.
+
+    Null and empty texts have no words and stay, repeated rows and rows without a doc_id are judged each, very long
+    texts are searched whole, an empty table gives no rows and an empty benchmark removes none.
+    """
     hits = decontam.benchmark_hits(_carried(docs), queries.table(spark, sf_dir, "benchmark"), carry=("row",))
     return hits.where("NOT (n_hit > 0 AND 20 * n_hit >= n_words)").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of 2048 ids."""
+    """Pieces of the remaining documents in sequences of 2048 ids.
+
+    Null and empty texts are one stop id, repeated rows and rows without a doc_id are packed each, long texts are
+    cut into pieces, equally good bins are taken as they come, an empty table gives no rows.
+    """
     queries.ship(spark)
     return queries.digest_pieces(packing.pack(docs, queries.vocabulary("byte_bpe_50k.json")))
 
@@ -75,5 +99,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

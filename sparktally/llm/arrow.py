@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: survives lost executors, has real sizes."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = [path]
+    return out
+
+
+#: Seconds between two collections of garbage, at least.
+COLLECT_EVERY = 10.0
+_collected = [0.0]
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what ``stored`` wrote for these frames, once all that reads them is stored itself.
+
+    Collecting garbage lets Spark delete the shuffle files of the jobs that are done, too.
+    """
+    paths = [path for f in frames if f is not None for path in getattr(f, "scratch", ())]
+    if not paths:
+        return
+    spark = frames[0].sparkSession
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if time.monotonic() - _collected[0] > COLLECT_EVERY:
+        _collected[0] = time.monotonic()
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 #: Rows of ids (a few longs each) that may be broadcast.
@@ -42,4 +70,8 @@ MOST_BROADCAST = 2_000_000
 
 def few(ids: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """Stored ``ids``, marked for broadcast if a count shows at most ``most`` rows, so that what they pick need not move."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+    if ids.limit(most + 1).count() > most:
+        return ids
+    out = F.broadcast(ids)
+    out.scratch = getattr(ids, "scratch", [])
+    return out

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparktally.llm.arrow import few, stored
+from sparktally.llm.arrow import discard, few, stored
 from sparktally.llm.packing import encoder
 
 # fixed values: the marks of a turn
@@ -247,8 +247,9 @@ def format_chats(turns: DataFrame, tokenizer: str, capacity: int = CAPACITY, lon
     reps = stored(sizes.where("conv_id IS NOT NULL").groupBy(equal).agg(F.min("conv_id").alias("rep_id")).withColumn(
         "alone", F.col("bytes") > F.lit(long_bytes)), "classes")
     nameless = sizes.where("conv_id IS NULL").select(F.col("conv_id").alias("rep_id"), (F.col("bytes") > F.lit(long_bytes)).alias("alone"))
-    wanted = few(stored(reps.select("rep_id", "alone").union(nameless), "wanted"))
-    rows = src.join(wanted, F.col("conv_id").eqNullSafe(F.col("rep_id")))
+    wanted = stored(reps.select("rep_id", "alone").union(nameless), "wanted")
+    picked = few(wanted)
+    rows = src.join(picked, F.col("conv_id").eqNullSafe(F.col("rep_id")))
 
     schema = _node_schema(turns.schema[conv_id].dataType)
     short = stored(
@@ -257,6 +258,7 @@ def format_chats(turns: DataFrame, tokenizer: str, capacity: int = CAPACITY, lon
     ordered = short.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id")
     chains = rows.where("alone").repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     nodes = stored(_trees(ordered, tokenizer, capacity, most_ends, schema).union(_chains(chains, tokenizer, schema)), "nodes")
+    discard(wanted, short)
 
     ends = nodes.where(F.size("conv_ids") > 0).select(F.explode("conv_ids").alias("at"), "sequence_id", "node")
     members = sizes.join(reps, equal, "left").select(

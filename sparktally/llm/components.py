@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktally.llm.arrow import stored
+from sparktally.llm.arrow import discard, stored
 
 
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
@@ -14,23 +14,27 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     Each round links every node's larger neighbours to its smallest neighbour, then the
     smaller ones, so paths halve and the edges end as one star per component. The
     minima are written before they are joined: a hub's edges are then an ordinary
-    skewed side that Spark splits. Null ends and loops are left out, repeated edges do no
+    skewed side that Spark splits. What a round wrote is deleted behind it; ``discard`` the result when it is
+    stored. Null ends and loops are left out, repeated edges do no
     harm, no edges give no rows.
     """
     ends = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a != b")
     current = stored(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not _stars(current):
         both = current.union(current.select(F.col("v"), F.col("u")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        smallest = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = stored(
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u != v").distinct(), "large")
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = stored(small.union(least.select("u", "m")).distinct(), "edges")
+        before, current = current, stored(small.union(least.select("u", "m")).distinct(), "edges")
+        discard(before, smallest, large, least)
     roots = current.select(F.col("v").alias("node")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+    out = current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component")))
+    out.scratch = current.scratch
+    return out
 
 
 def _stars(edges: DataFrame) -> bool:

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktally.llm.arrow import few, plain, schema_of, stored
+from sparktally.llm.arrow import discard, few, plain, schema_of, stored
 from sparktally.llm.components import components
 from sparktally.llm.words import SPACE, mix, shingles, slices, words_of
 
@@ -180,26 +180,56 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     key = ["n_shingles", "set_a", "set_b"]
     classes = stored(
         sketch.where("n_shingles > 0").groupBy(key).agg(
-            F.min(doc_id).alias("id"), *[F.first(c).alias(c) for c in ("bands", "bits", "parity")]), "classes")
-    entries = classes.where("id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
+            F.min(doc_id).alias("least"), *[F.first(c).alias(c) for c in ("bands", "bits", "parity")]), "classes")
+    numbered = _numbered(classes)
+    entries = numbered.where("id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
     shared = stored(
         entries.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head != tail"), "buckets")
     found = stored(entries.join(shared.select("bucket", "head"), "bucket"), "entries")
-    members = stored(found.join(classes.select("id", "n_shingles", "bits", "parity"), "id"), "members")
+    members = stored(found.join(numbered.select("id", "n_shingles", "bits", "parity"), "id"), "members")
     wanted = stored(found.select("id").distinct(), "candidates")
-    chosen = src.join(few(wanted), src[doc_id] == F.col("id"), "left_semi")
-    sets = stored(
-        _full_sets(chosen, doc_id, text).select(F.col(doc_id).alias("id"), "shingles").where(F.size("shingles") > 0), "sets")
+    sets = stored(_class_sets(src, sketch, numbered, wanted, doc_id, text, key), "sets")
+    discard(shared, found, wanted)
     links = _search(members, sets, percent)
+    discard(members, sets)
 
     group = components(links, "a", "b")
-    named = classes.join(group, classes["id"] == group["node"], "left").select(
-        *key, F.coalesce("component", "id").alias("component_id"))
+    named = numbered.join(group, numbered["id"] == group["node"], "left").select(*key, "least", "component")
     named = stored(named, "named")
-    return sketch.select(doc_id, "text_hash", *key).join(named, key, "left").select(
+    smallest = stored(named.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    out = named.join(smallest, "component", "left").select(*key, F.coalesce("component_id", "least").alias("component_id"))
+    result = stored(sketch.select(doc_id, "text_hash", *key).join(out, key, "left").select(
         doc_id, "text_hash", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id")))
+    ).withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id"))), "groups")
+    discard(sketch, classes, numbered, links, group, named, smallest)
+    return result
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``id``: the smallest doc_id, or a number below all of them where that is the smallest of several classes."""
+    clashing = stored(classes.where("least IS NOT NULL").groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("least"), "clashing")
+    if clashing.isEmpty():
+        discard(clashing)
+        return classes.withColumn("id", F.col("least"))
+    lowest = classes.agg(F.min("least")).first()[0]
+    marked = classes.join(few(clashing.withColumnRenamed("least", "clash")), F.col("least") == F.col("clash"), "left")
+    out = stored(marked.withColumn("id", F.when(F.col("clash").isNull(), F.col("least").cast("long")).otherwise(
+        F.lit(min(lowest, 0) - 1).cast("long") - F.monotonically_increasing_id())).drop("clash"), "numbered")
+    discard(clashing)
+    return out
+
+
+def _class_sets(src: DataFrame, sketch: DataFrame, numbered: DataFrame, wanted: DataFrame, doc_id: str, text: str, key: list[str]) -> DataFrame:
+    """(id, shingles) of the wanted classes, from the text of the row with the smallest doc_id."""
+    asked = few(wanted).join(numbered.select("id", "least", *key), "id").join(
+        sketch.select(F.col(doc_id).alias("least"), F.col("text_hash").alias("of"), *key), ["least", *key]).select(
+        "id", "least", "of").groupBy("id", "least").agg(F.min("of").alias("of"))
+    asked = few(stored(asked.withColumnsRenamed({"id": "_class", "least": "_least", "of": "_of"}), "asked"))
+    chosen = src.join(asked, (F.col(doc_id) == F.col("_least")) & (F.xxhash64(text) == F.col("_of")))
+    # a row may be repeated
+    return _full_sets(chosen.select(F.col("_class").alias("id"), F.col(text).alias("text")), "id", "text").groupBy("id").agg(
+        F.first("shingles").alias("shingles"))
 
 
 _TRAITS = ("n_shingles", "bits", "parity")
@@ -228,9 +258,9 @@ def _search(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links needed for the components: every pair of a bucket is compared unless already connected.
 
     First the bucket's smallest id is compared with all others. Where several components are
-    left, the next 15 members are, then the next 240, and so on. Rounds end when every bucket
-    is one component or has no member left to compare; members of one component are
-    never compared with each other.
+    left, about the next 15 members are, then about the next 240, and so on: a member's place is a hash below the number
+    of members, so no bucket is sorted or numbered. Rounds end when every bucket is one component or
+    has no member left to compare; members of one component are never compared with each other.
     """
     heads = members.where("id = head").select("bucket", F.struct(*_TRAITS).alias("probe"))
     pairs = (
@@ -239,35 +269,44 @@ def _search(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     tried = stored(pairs, "pairs")
     links = stored(_confirmed(tried, sets, percent), "links")
+    kept = [*tried.scratch, *links.scratch]
     group = components(links, "a", "b")
     rest, done = members.where("id != head").drop("head").dropDuplicates(["bucket", "id"]), 0
     while True:
+        old = rest
         if group is not None:
             columns = [c for c in rest.columns if c != "component"]
             rest = rest.select(columns).join(group, rest["id"] == group["node"], "left").select(
                 *columns, F.coalesce("component", "id").alias("component"))
-        mixed = stored(rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                       .where("lo != hi").select("bucket"), "mixed")
+        mixed = stored(rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+                       .where("lo != hi").select("bucket", "n"), "mixed")
         if mixed.isEmpty():
+            discard(mixed, old, group)
+            links.scratch = kept
             return links
         rest = rest.join(mixed, "bucket")
         if not done:
-            rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
-        rest = stored(rest, "rest")
+            rest = rest.withColumn("place", 1 + F.pmod(F.xxhash64("bucket", "id"), "n"))
+        rest = stored(rest.drop("n"), "rest")
+        discard(mixed, old, group)
         upto = 16 * done + 15
         probes = rest.where(F.col("place") <= upto).select(
             "bucket", F.col("id").alias("a"), F.struct(*_TRAITS).alias("probe"), F.col("place").alias("at"),
             F.col("component").alias("own"))
+        later = F.expr("component != own AND (place > at OR place = at AND id > a)")
         found = (
-            rest.join(probes, "bucket").where(F.expr("place > at AND component != own") & _may_link(percent))
-            .select("a", F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            rest.join(probes, "bucket").where(later & _may_link(percent))
+            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         )
         fresh = stored(found, "pairs")
         more = stored(_confirmed(fresh, sets, percent), "links")
+        kept += [*fresh.scratch, *more.scratch]
         if more.isEmpty():
             group = None
         else:
             links = links.union(more)
             group = components(links, "a", "b")
         tried, done = tried.union(fresh), upto
+        scratch = rest.scratch
         rest = rest.where(F.col("place") > done)
+        rest.scratch = scratch

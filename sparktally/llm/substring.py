@@ -10,11 +10,14 @@ order of (document, word). That one may be an unlike or a shorter copy, so the r
 words around paragraphs that have met others meet again by the hash of all their words:
 equality is transitive, so the first of equal runs is partner enough, and every
 shared run of 50 words is found whatever the bands' first members are. Equal paragraphs
-between equal words are one class, which one member stands for. A pair must reach the wanted Jaccard similarity on its
-five-word shingles and is then extended word by word, so that the whole passage is
-found. Components of the confirmed pairs are the clusters; the first place of a cluster
-stays. Every removed word thus has an equal one, or for edited paragraphs a similar
-one, at a smaller place.
+between equal words are one class, which one member stands for.
+
+Where a pair met, the texts are laid side by side at that distance: equal runs of five words and more are put
+together over changed words as long as the exact Jaccard similarity of the five-word shingles of the whole
+is high enough, and spans a few words apart become one if that is alike enough. So a changed, added or missing word
+does not end a passage, and the paragraph in which it met need not be alike itself. Components of the confirmed
+pairs are the clusters; the first place of a cluster stays. Every removed word thus lies in a span of
+20 words and more that is equal or alike to one at a smaller place.
 """
 
 from __future__ import annotations
@@ -27,17 +30,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparktally.llm.arrow import few, plain, schema_of, stored
+from sparktally.llm.arrow import discard, few, plain, schema_of, stored
 from sparktally.llm.components import components
-from sparktally.llm.words import SPACE, Words, mix, shingles, slices, words_of
+from sparktally.llm.words import SPACE, Words, mix, shingles, slices, text_bytes, words_of
 
 PARAGRAPH = 20
 WINDOW = 31
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 4, 2  # a pair at 0.8 shares no band with probability 0.017; a passage has several pairs
+BANDS, ROWS = 4, 3  # equal paragraphs share all; with one changed word (0.52) one with probability 0.45, and a passage has several
 MIN_WORDS = 50
+#: Words between two equal runs that may be one passage.
+GAP = 12
 RUN = WINDOW - 1 + PARAGRAPH  # words of a run that holds the anchor it chooses and all of its paragraph
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -51,7 +57,8 @@ def _chosen(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = found.hashes
     grams = mix(h[:-2] * _SALT + mix(h[1:-1]) * np.uint64(3) + mix(h[2:] ^ _SALT))
     number = np.arange(n - 2, dtype=np.uint64)
-    least = (grams & ~np.uint64(0xFFFFFF)) | (np.uint64(0xFFFFFF) - number)
+    # the low bits tell the place, up to a multiple that the window knows
+    least = (grams & ~np.uint64(0xFFFFFF)) | (np.uint64(0xFFFFFF) - (number & np.uint64(0xFFFFFF)))
     width = 1
     while 2 * width <= WINDOW:
         least = np.minimum(least[:-width], least[width:])
@@ -59,8 +66,9 @@ def _chosen(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if width < WINDOW:
         least = np.minimum(least[:len(least) - (WINDOW - width)], least[WINDOW - width:])
     inside = np.arange(len(least)) + WINDOW + 2 <= ends[:len(least)]
-    chosen = np.uint64(0xFFFFFF) - (least[inside] & np.uint64(0xFFFFFF))
-    return np.flatnonzero(inside), chosen.astype(np.int64), ends
+    begin = np.flatnonzero(inside)
+    place = (np.uint64(0xFFFFFF) - (least[begin] & np.uint64(0xFFFFFF))).astype(np.int64)
+    return begin, begin + (place - begin & 0xFFFFFF), ends
 
 
 def anchors(found: Words) -> np.ndarray:
@@ -208,8 +216,10 @@ def _links(met: DataFrame) -> DataFrame:
     ).where("doc_id != head_id")
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return _links(met).groupBy("doc_id", "head_id").agg(F.collect_set(F.struct("word", "head_word")).alias("places"))
+def _pairs(links: DataFrame) -> DataFrame:
+    """(doc_id, head_id, places): both words of each link in one number, as many as the document has places at most."""
+    both = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.col("head_word").cast("long"))
+    return links.groupBy("doc_id", "head_id").agg(F.collect_list(both).alias("places"))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -233,7 +243,7 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 
 def _equal_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pairs (doc_id, head_id, places) by which every run of RUN words around a wanted place meets the first equal one.
+    """Links (as of ``_links``) by which every run of RUN words around a wanted place meets the first equal one.
 
     A class (equal paragraphs, equal words around) is paired with its first place, and that with the
     paragraph's. This is all where a paragraph has two classes; of three or more, the first places'
@@ -245,92 +255,137 @@ def _equal_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     firsts = stored(classes.groupBy("paragraph").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
     inside = places.join(classes, ["paragraph", "context"]).select("doc_id", "word", F.col("rep").alias("head"))
     across = classes.join(firsts, "paragraph").select("rep.doc_id", "rep.word", F.col("first").alias("head"))
-    links = inside.union(across).where("doc_id != head.doc_id").groupBy("doc_id", F.col("head.doc_id").alias("head_id")).agg(
-        F.collect_set(F.struct("word", F.col("head.word").alias("head_word"))).alias("places"))
-    several = classes.join(firsts.where("n > 2"), "paragraph", "left_semi").groupBy(F.col("rep.doc_id").alias("doc_id")).agg(
-        F.collect_set("rep.word").alias("wanted"))
-    around = texts.join(stored(several, "several"), "doc_id").select("doc_id", "text", "wanted")
-    return links.union(_pairs(_met(_entries(around, _runs), "runs")))
-
-
-def _same_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common beginning."""
-    n, done, step = min(len(a), len(b)), 0, 64
-    while done < n:
-        part = a[done:done + step][:n - done] != b[done:done + step][:n - done]
-        if part.any():
-            return done + int(part.argmax())
-        done += len(part)
-        step *= 2
-    return n
-
-
-def _shared_part(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[int, int] | None:
-    """Words of a from its first to its last shingle that b has, if the two are alike enough."""
-    if np.array_equal(a, b):
-        return 0, len(a)
-    one = shingles(a, np.array([0, len(a)]), SHINGLE)[0].tolist()
-    two = set(shingles(b, np.array([0, len(b)]), SHINGLE)[0].tolist())
-    both = len(two.intersection(one))
-    if both < similarity * (len(set(one)) + len(two) - both):
-        return None
-    at = [k for k, s in enumerate(one) if s in two]
-    return at[0], at[-1] + SHINGLE
+    links = stored(inside.union(across).where("doc_id != head.doc_id").select(
+        "doc_id", "word", F.col("head.doc_id").alias("head_id"), F.col("head.word").alias("head_word")), "links")
+    several = stored(classes.join(firsts.where("n > 2"), "paragraph", "left_semi").groupBy(F.col("rep.doc_id").alias("doc_id")).agg(
+        F.collect_set("rep.word").alias("wanted")), "several")
+    discard(places, classes, firsts)
+    around = texts.join(several, "doc_id").select("doc_id", "text", "wanted")
+    runs = _met(_entries(around, _runs), "runs")
+    out = links.union(_links(runs))
+    out.scratch = [*links.scratch, *several.scratch, *runs.scratch]
+    return out
+
+
+def _set_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of the distinct shingles of two runs of words."""
+    one, two = (set(shingles(x, np.array([0, len(x)]), SHINGLE)[0].tolist()) for x in (a, b))
+    return len(one & two) / len(one | two) if one or two else 1.0
+
+
+def _regions(a: np.ndarray, b: np.ndarray, seed: int, shift: int, similarity: float) -> list[tuple[int, int]]:
+    """Words of a around ``seed`` that are alike to b's at the same distance from ``seed - shift``.
+
+    Equal runs of SHINGLE words and more, put together over changed words as long as the whole is alike
+    enough; where it is not, it is parted at its widest gap.
+    """
+    low, high = max(0, shift), min(len(a), len(b) + shift)
+    reach = 64
+    while True:
+        lo, hi = max(low, seed - reach), min(high, seed + PARAGRAPH + reach)
+        same = np.concatenate([[False], a[lo:hi] == b[lo - shift:hi - shift], [False]])
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        begins, ends = edge[::2] + lo, edge[1::2] + lo
+        wide = ends - begins >= SHINGLE
+        begins, ends = begins[wide], ends[wide]
+        if not len(begins):
+            return []
+        part = np.concatenate([[0], np.cumsum(begins[1:] - ends[:-1] > GAP)])
+        at = int(np.searchsorted(begins, seed, "right")) - 1
+        if at < 0 or ends[at] <= seed:  # no equal run where the pair met
+            at = min(at + 1, len(begins) - 1)
+        mine = np.flatnonzero(part == part[at])
+        first, last = int(begins[mine[0]]), int(ends[mine[-1]])
+        # more may follow where the region comes close to the edge of what was looked at
+        if (lo == low or first - lo > GAP + SHINGLE) and (hi == high or hi - last > GAP + SHINGLE):
+            break
+        reach *= 4
+    out = []
+    todo = [(int(mine[0]), int(mine[-1]) + 1)]
+    while todo:
+        x, y = todo.pop()
+        s, e = int(begins[x]), int(ends[y - 1])
+        shared, whole = int((ends[x:y] - begins[x:y] - SHINGLE + 1).sum()), e - s - SHINGLE + 1
+        if y - x == 1 or (shared >= similarity * (2 * whole - shared)
+                          and _set_jaccard(a[s:e], b[s - shift:e - shift]) >= similarity):
+            out.append((s, e))
+        else:
+            cut = x + 1 + int(np.argmax(begins[x + 1:y] - ends[x:y - 1]))
+            todo += [(x, cut), (cut, y)]
+    return sorted(out)
+
+
+def _behind(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
+    """Where two texts run together again: the nearest words of each that begin SHINGLE equal ones."""
+    one, two = a[:GAP + SHINGLE].tolist(), b[:GAP + SHINGLE].tolist()
+    at: dict[tuple, int] = {}
+    for j in range(len(two) - SHINGLE, -1, -1):
+        at[tuple(two[j:j + SHINGLE])] = j
+    found = [(i + at[key], i, at[key]) for i in range(len(one) - SHINGLE + 1) if (key := tuple(one[i:i + SHINGLE])) in at]
+    return min(found)[1:] if found else None
+
+
+def _carried_on(a: np.ndarray, b: np.ndarray, span: tuple[int, int, int, int], similarity: float) -> tuple[int, int, int, int]:
+    """``span`` (start and end in a, start and end in b) carried on at its end over added or missing words."""
+    s, e, t, f = span
+    while (place := _behind(a[e:], b[f:])) is not None:
+        i, j = e + place[0], f + place[1]
+        on = [(x, y) for x, y in _regions(a, b, i, i - j, similarity) if x <= i < y]
+        if not on or on[0][1] <= e or _set_jaccard(a[s:on[0][1]], b[t:on[0][1] - i + j]) < similarity:
+            break
+        e, f = on[0][1], on[0][1] - i + j
+    return s, e, t, f
 
 
 def align(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]], similarity: float) -> list[tuple[int, int, int, int]]:
-    """(start, end, word, other word) of a's spans alike to b, one for each confirmed pair not inside a former one.
+    """(start, end, word, other word) of a's spans of PARAGRAPH words and more that are alike to b's.
 
-    Words at the ends of an edited paragraph that b lacks are not part of the span.
+    ``pairs`` are words of both where paragraphs met, the last two of the result the first such pair of the span.
+    Words may be changed inside a span (``_regions``), added or missing, as long as the whole is alike enough.
     """
-    out: list[tuple[int, int, int, int]] = []
-    reach: dict[int, int] = {}  # end of the last span by diagonal
+    out: list[tuple[int, int, int, int, int, int]] = []
     for i, j in sorted(pairs):
-        if i + PARAGRAPH > len(a) or j + PARAGRAPH > len(b) or reach.get(i - j, -1) >= i + PARAGRAPH:
+        if i >= len(a) or j >= len(b) or any(s <= i < e and t <= j < f for s, e, t, f, _, _ in out[-8:]):
             continue
-        part = _shared_part(a[i:i + PARAGRAPH], b[j:j + PARAGRAPH], similarity)
-        if part is None:
-            continue
-        left = _same_run(a[:i][::-1], b[:j][::-1]) if part[0] == 0 else -part[0]
-        right = _same_run(a[i + PARAGRAPH:], b[j + PARAGRAPH:]) if part[1] == PARAGRAPH else part[1] - PARAGRAPH
-        end = i + PARAGRAPH + right
-        reach[i - j] = end
-        out.append((i - left, end, i, j))
-    return out
+        shift = i - j
+        for s, e in _regions(a, b, i, shift, similarity):
+            if e - s < PARAGRAPH or any(s >= s0 and e <= e0 and t0 <= s - shift < f0 for s0, e0, t0, f0, _, _ in out[-8:]):
+                continue
+            s, e, t, f = _carried_on(a, b, (s, e, s - shift, e - shift), similarity)
+            back = _carried_on(a[::-1], b[::-1], (len(a) - e, len(a) - s, len(b) - f, len(b) - t), similarity)
+            out.append((len(a) - back[1], e, len(b) - back[3], f, i, j))
+    return [(s, e, i, j) for s, e, _, _, i, j in out]
 
 
 def _spans(pairs: DataFrame, id_type: T.DataType, similarity: float) -> DataFrame:
     """Spans of each pair of documents, in words and code points."""
     fields = [T.StructField("doc_id", id_type), T.StructField("text_hash", T.LongType())]
-    fields += [T.StructField(n, T.IntegerType()) for n in ("from_word", "to_word")]
-    fields += [T.StructField(n, T.LongType()) for n in ("start", "end")]
-    fields += [T.StructField("word", T.IntegerType()), T.StructField("head_id", id_type),
-               T.StructField("head_word", T.IntegerType())]
+    fields += [T.StructField(n, T.LongType()) for n in ("from_word", "to_word", "start", "end", "word")]
+    fields += [T.StructField("head_id", id_type), T.StructField("head_word", T.LongType())]
     schema = T.StructType(fields)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 cols = {name: part.column(i) for i, name in enumerate(part.schema.names)}
-                rows = []
-                places, hashes = cols["places"].to_pylist(), cols["text_hash"].to_pylist()
-                ids, heads = cols["doc_id"].to_pylist(), cols["head_id"].to_pylist()
+                mine, its = words_of(cols["text"]), words_of(cols["head_text"])
+                chars = np.concatenate([[0], np.cumsum((mine.data & 0xC0) != 0x80)])
+                _, offsets = text_bytes(cols["text"])
+                counts = pc.list_value_length(cols["places"]).to_numpy(zero_copy_only=False)
+                both = cols["places"].flatten().to_numpy(zero_copy_only=False)
+                at = np.concatenate([[0], np.cumsum(counts)])
+                found = []
                 for r in range(part.num_rows):
-                    mine, its = words_of(cols["text"].slice(r, 1)), words_of(cols["head_text"].slice(r, 1))
-                    pairs = [(p["word"], p["head_word"]) for p in places[r]]
-                    spans = align(mine.hashes, its.hashes, pairs, similarity)
-                    if not spans:
-                        continue
-                    chars = np.concatenate([[0], np.cumsum((mine.data & 0xC0) != 0x80)])
-                    for a, b, i, j in spans:
-                        stop = mine.starts[b] if b < len(mine.starts) else len(mine.data)
-                        rows.append((ids[r], hashes[r], a, b, int(chars[mine.starts[a]]), int(chars[stop]), i, heads[r], j))
-                columns = list(zip(*rows)) or [()] * len(arrow)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+                    met = np.unique(both[at[r]:at[r + 1]])
+                    base, stop = mine.first[r], mine.first[r + 1]
+                    for a, b, i, j in align(mine.hashes[base:stop], its.hashes[its.first[r]:its.first[r + 1]],
+                                            list(zip((met >> 32).tolist(), (met & 0xFFFFFFFF).tolist())), similarity):
+                        end = mine.starts[base + b] if base + b < stop else offsets[r + 1]
+                        found.append((r, a, b, chars[mine.starts[base + a]] - chars[offsets[r]], chars[end] - chars[offsets[r]], i, j))
+                r, a, b, start, end, i, j = (pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * 7))
+                yield pa.RecordBatch.from_arrays([
+                    cols["doc_id"].take(r), cols["text_hash"].take(r), a, b, start, end, i, cols["head_id"].take(r), j], schema=arrow)
 
     return pairs.select("doc_id", "text_hash", "text", "head_id", "head_text", "places").mapInArrow(run, schema)
 
@@ -349,24 +404,31 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     """
     src = plain(docs, doc_id, text).withColumnsRenamed({doc_id: "doc_id", text: "text"})
     id_type = src.schema["doc_id"].dataType
-    place = F.struct("doc_id", "word")
     met = _met(_entries(src, _paragraphs), "met")
-    pairs = stored(_pairs(met), "pairs")
-    named = stored(pairs.select("doc_id").union(pairs.select("head_id")).distinct(), "named")
+    banded = stored(_links(met), "banded")
+    named = few(stored(banded.select("doc_id").union(banded.select("head_id")).distinct(), "named"))
     texts = stored(
-        src.join(few(named), "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text")).distinct(), "texts")
+        src.join(named, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text")).distinct(), "texts")
     # equal paragraphs share all bands, so the first band shows all that equal others
     wanted = stored(met.where("shared").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("wanted")), "wanted")
-    pairs = stored(
-        pairs.union(_equal_runs(texts, wanted)).groupBy("doc_id", "head_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "pairs")
+    discard(met, named)
+    equal = _equal_runs(texts, wanted)
+    pairs = stored(_pairs(banded.union(equal)), "pairs")
+    discard(banded, wanted, equal)
     head_texts = texts.select(F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"))
     joined = pairs.join(texts, "doc_id").join(head_texts, "head_id")
-    spans = stored(_spans(joined, id_type, similarity), "spans")
-
-    edges = spans.select(place.alias("a"), F.struct(F.col("head_id").alias("doc_id"), F.col("head_word").alias("word")).alias("b"))
-    clusters = components(edges, "a", "b")
-    marked = spans.join(clusters, F.struct("doc_id", "word") == F.col("node"))
-    return _merged(marked, min_words)
+    spans = stored(_spans(joined, id_type, similarity).withColumns({
+        "a": F.xxhash64("doc_id", "word"), "b": F.xxhash64("head_id", "head_word")}), "spans")
+    discard(pairs, texts)
+
+    # places are linked by their hashes; the first place of a cluster is the other end of one of its links
+    clusters = components(spans, "a", "b")
+    marked = stored(spans.join(clusters, spans["a"] == clusters["node"]).drop("a", "b", "node"), "marked")
+    discard(spans, clusters)
+    first = marked.groupBy("component").agg(F.min(F.struct(F.col("head_id").alias("doc_id"), F.col("head_word").alias("word"))).alias("kept"))
+    out = stored(_merged(marked.join(stored(first, "first"), "component"), min_words), "passages")
+    discard(marked, first)
+    return out
 
 
 def _merged(spans: DataFrame, min_words: int) -> DataFrame:
@@ -380,7 +442,7 @@ def _merged(spans: DataFrame, min_words: int) -> DataFrame:
     return (
         numbered.groupBy("doc_id", "text_hash", "run")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"),
-             (F.max("to_word") - F.min("from_word")).alias("n_words"), F.min("component").alias("kept"))
+             (F.max("to_word") - F.min("from_word")).alias("n_words"), F.min("kept").alias("kept"))
         .where(F.col("n_words") >= min_words)
         .select("doc_id", "text_hash", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"),
                 F.col("kept.word").alias("kept_word"))

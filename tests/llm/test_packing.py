@@ -78,3 +78,36 @@ def test_odd_rows_and_digest(spark, odd, nothing, tokenizer):
     digest = {(r.doc_id, r.piece): r.ids_crc32 for r in queries.digest_pieces(got).collect() if r.doc_id in (4, 6)}
     assert all(digest[r.doc_id, r.piece] == zlib.crc32(bytes(r.ids)) for r in rows if r.doc_id in (4, 6))
     assert packing.pack(nothing, PATH).collect() == []
+
+
+def test_long_white_space(spark, tokenizer):
+    rows = [(1, " " * 2_000_000), (2, "\n" * 1_200_000), (3, "a")]
+    check(rows, packing.pack(frame(spark, rows), PATH).collect(), tokenizer, packing.CAPACITY)
+
+
+def test_placements_equal_a_plain_best_fit(spark):
+    """The bins as a plain list: the open bin with least space that fits, else a new one; of too many the fullest closes."""
+    rng = random.Random(8)
+    for capacity, most in ((50, 3), (100, 10), (64, 1)):
+        bins, free, opened = packing.Bins(capacity, most), {}, 0
+        for _ in range(800):
+            n = rng.randint(1, capacity)
+            number, offset = bins.place(n)
+            fits = [f for f in free.values() if f >= n]
+            if fits:
+                assert free[number] == min(fits)
+            else:
+                assert number == opened
+                free[number], opened = capacity, opened + 1
+            assert offset == capacity - free[number]
+            free[number] -= n
+            if not free[number]:
+                del free[number]
+            if len(free) > most:
+                fullest = min(free.values())
+                closing = [b for b, f in free.items() if f == fullest]
+                # of equally full bins the last touched closes
+                left = {b for lst in bins.by_free for b in lst}
+                gone = [b for b in closing if b not in left]
+                assert len(gone) == 1
+                del free[gone[0]]
