@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktally.functions.text import ngram_rows
 from sparktally.operators.cumulative import is_number, running_totals, weighted_count
+from sparktally.operators.frequent import among_most_frequent, most_frequent
+from sparktally.session import cut_lineage
 
 MAX_FEATURES = 200_000
 TOP_K = 500
@@ -40,9 +42,18 @@ def ngram_profile(df: DataFrame, text: str, is_train: Column) -> DataFrame:
     return ngram_counts(df, text, {"n_train": train.cast("int"), "n_prod": (~train).cast("int")})
 
 
+def stored_profile(df: DataFrame, text: str, is_train: Column) -> DataFrame:
+    """``ngram_profile``, written once for all that reads it."""
+    return cut_lineage(ngram_profile(df, text, is_train), "profile")
+
+
 def vocabulary(profile: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """The most frequent training grams; equal counts go by gram."""
-    return profile.where("n_train > 0").orderBy(F.desc("n_train"), "gram").limit(max_features)
+    """The most frequent training grams; equal counts go by gram.
+
+    A threshold on the count picks them, so nothing is put in order. ``profile`` is read several times:
+    ``stored_profile`` is the one to give.
+    """
+    return most_frequent(profile.where("n_train > 0"), "n_train", "gram", max_features)
 
 
 def top_ngrams(profile: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -148,36 +159,35 @@ def largest_shift(train_mix: DataFrame, prod_mix: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- summary
 
+def profile_summary(profile: DataFrame, k: int = TOP_K, max_features: int = MAX_FEATURES) -> DataFrame:
+    """One row: psi_topk, oov_rate of a stored profile (gram, n_train, n_prod)."""
+    grams = profile.where("n_train > 0")
+
+    def marked(n: int) -> Column:
+        return (F.col("n_train") > 0) & F.coalesce(among_most_frequent(grams, "n_train", "gram", n), F.lit(False))
+
+    marks = profile.select("n_train", "n_prod", marked(k).alias("_top"), marked(max_features).alias("_in"))
+    totals = marks.agg(
+        F.sum(F.when(F.col("_top"), F.col("n_train"))).cast("double").alias("p"),
+        F.sum(F.when(F.col("_top"), F.col("n_prod"))).cast("double").alias("q"),
+        F.sum(F.when(F.col("_in"), F.col("n_prod"))).alias("known"), F.sum("n_prod").alias("prod")).first()
+    term = _psi_term(F.col("n_train"), F.col("n_prod"), F.lit(totals["p"]).cast("double"), F.lit(totals["q"]).cast("double"))
+    known, prod = F.lit(totals["known"]).cast("bigint"), F.lit(totals["prod"]).cast("bigint")
+    return marks.agg(
+        F.coalesce(F.sum(F.when(F.col("_top"), term)), F.lit(0.0)).alias("psi_topk"),
+    ).select("psi_topk", F.coalesce(1.0 - known / F.nullif(prod, F.lit(0)), F.lit(0.0)).alias("oov_rate"))
+
+
 def drift_summary(df: DataFrame, is_train: Column, text: str = "model_text", label: str | None = "category_label",
                   conf: str | None = None, k: int = TOP_K, max_features: int = MAX_FEATURES,
                   psi_alert: float = 0.20, shift_alert: float = 0.15, digits: int | None = 4) -> DataFrame:
     """One row: psi_topk, oov_rate, KS of the confidence, largest shift, alerts, thresholds.
 
-    The n-gram profile is shuffled once: the vocabulary, which never exceeds
-    ``max_features`` rows, and the totals read the same exchange. Occurrences
-    out of the vocabulary are what it leaves of the production total.
+    The n-gram profile is counted and written once. Thresholds on its counts mark the vocabulary and the
+    top grams, and all figures are sums over the profile, so no task holds or orders a vocabulary.
     """
     train = F.coalesce(is_train, F.lit(False))
-    profile = ngram_profile(df, text, train)
-    vocab = vocabulary(profile, max_features)
-    ranked = vocab.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("n_train"), "gram")))
-    top = F.col("_rank") <= k
-    every = Window.partitionBy()
-    ranked = ranked.select(
-        "n_train", "n_prod", top.alias("_top"),
-        F.sum(F.when(top, F.col("n_train"))).over(every).cast("double").alias("_p"),
-        F.sum(F.when(top, F.col("n_prod"))).over(every).cast("double").alias("_q"),
-    )
-    totals = profile.agg(F.struct(F.sum("n_train").alias("train"), F.sum("n_prod").alias("prod"))).scalar()
-    out = ranked.agg(
-        F.coalesce(F.sum(F.when(
-            F.col("_top"), _psi_term(F.col("n_train"), F.col("n_prod"), F.col("_p"), F.col("_q"))
-        )), F.lit(0.0)).alias("psi_topk"),
-        F.sum("n_prod").alias("_known"),
-    ).select(
-        "psi_topk",
-        F.coalesce(1.0 - F.col("_known") / F.nullif(totals["prod"], F.lit(0)), F.lit(0.0)).alias("oov_rate"),
-    )
+    out = profile_summary(stored_profile(df, text, train), k, max_features)
 
     if conf is not None:
         ks = ks_two_sample(df, conf, train)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,19 +20,24 @@ KEYWORD_WEIGHT = 0.6
 TEMPERATURE = 0.3
 CONTAINED_NAME = 0.05
 
+#: Texts whose scores a task remembers, so that a text of many rows is scored once per task.
+MOST_REMEMBERED = 200_000
+
 
 def _label_similarity(labels: list[str]):
     """Arrow function: text -> per label the best partial ratio of name and hints, 0..1."""
     terms = [[label.lower(), *K.CATEGORY_HINTS.get(label, [])] for label in labels]
 
     @F.pandas_udf("array<struct<value:double,shown:string>>")
-    def fuzzy(texts: pd.Series) -> pd.Series:
-        distinct = list(texts.dropna().unique())
-        best = 0.01 * similarity.best_partial_ratio(distinct, terms)
-        found = {
-            text: [(float(v), f"{v:.3f}") for v in line] for text, line in zip(distinct, best)
-        }
-        return texts.map(lambda t: found.get(t))
+    def fuzzy(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found: dict[str, list[tuple]] = {}
+        for texts in parts:
+            if len(found) > MOST_REMEMBERED:
+                found.clear()
+            fresh = [t for t in texts.dropna().unique() if t not in found]
+            best = 0.01 * similarity.best_partial_ratio(fresh, terms)
+            found.update({text: [(float(v), f"{v:.3f}") for v in line] for text, line in zip(fresh, best)})
+            yield texts.map(lambda t: found.get(t))
 
     return fuzzy
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktally.functions.text import char_ngrams, ngram_rows, one_per_row
+from sparktally.operators.frequent import attach, most_frequent, text_counts
 from sparktally.session import cut_lineage
 
 MAX_FEATURES = 200_000
@@ -44,9 +45,10 @@ def tfidf(df: DataFrame, doc: str, terms: str, weight: str | None = None,
         F.count(F.lit(1)).alias("tf"))
     known = counts.groupBy("term").agg(
         F.sum("_w").alias("_df"), F.sum(F.col("_w") * F.col("tf")).alias("_corpus"))
+    known = cut_lineage(known, "terms")
     if max_features is not None:
-        known = known.orderBy(F.desc("_corpus"), "term").limit(max_features)
-    known = cut_lineage(known.select("term", "_df"), "terms")
+        known = most_frequent(known, "_corpus", "term", max_features)
+    known = known.select("term", "_df")
     n = docs.agg(F.sum("_w")).scalar()
     idf = F.ln((1.0 + n) / (1.0 + F.col("_df"))) + 1.0
     weighted = counts.join(known, "term").withColumn("_x", F.col("tf") * idf)
@@ -109,12 +111,13 @@ def stratified_split(df: DataFrame, key: str, label: str, val: float = 0.2, seed
 def oov_rate_row(df: DataFrame, key: str, text: str, vocab: DataFrame, low: int = 1, high: int = 5) -> DataFrame:
     """key, oov: share of the n-grams of a text that ``vocab(gram)`` lacks; 1.0 without n-grams.
 
-    Distinct texts are split and looked up once, then joined back.
+    Distinct texts are counted, split and looked up once; texts that fill much of the table come back
+    by broadcast, all others by a join.
     """
-    texts = df.select(F.col(text).alias("_text")).distinct()
-    grams = ngram_rows(texts, ["_text"], "_text", low, high)
+    counts = cut_lineage(text_counts(df, text), "texts")
+    grams = ngram_rows(counts.where("_text IS NOT NULL").select("_text"), ["_text"], "_text", low, high)
     known = vocab.select("gram").distinct().withColumn("_known", F.lit(True))
     rates = grams.join(known, "gram", "left").groupBy("_text").agg(
         F.avg(F.when(F.col("_known"), 0.0).otherwise(1.0)).alias("oov"))
-    return df.select(key, F.col(text).alias("_text")).join(rates, "_text", "left").select(
-        key, F.coalesce("oov", F.lit(1.0)).alias("oov"))
+    rows = df.select(key, F.col(text).alias("_text"))
+    return attach(rows, cut_lineage(rates, "rates"), "_text", counts).select(key, F.coalesce("oov", F.lit(1.0)).alias("oov"))

@@ -8,16 +8,16 @@ Every threshold gives the same answer at every size. Three exact ways lead to it
 * up to ``MAX_SHIPPED`` aliases travel to the tasks with the scoring function, which
   scores only aliases whose best case, by letters and tokens in common, can still
   win. No row is shuffled, which also serves streams;
-* beyond it, from a floor of 80 (token set) or 90 (weighted ratio) on, distinct labels
-  and aliases meet in an equi-join on shared tokens and padded trigrams, which loses
-  no such pair: an Indel score s leaves at most (1 - s/100) of both lengths to edits,
-  an edit touches at most three of the length + 2 padded trigrams, so one stays
-  shared. Inside the join a bound in the JVM drops pairs that cannot reach the floor.
-  A counted key table within its own bound is broadcast, so labels stay in place; a
-  larger one meets them in a shuffle, in which labels are salted;
-* below those floors any alias may be the best, so distinct labels (on streams all)
-  are held against the whole gazetteer in blocks of ``BLOCK`` aliases, one pass each,
-  with the same best-case test. Work then grows with labels times aliases.
+* beyond it, distinct labels and aliases meet in equi-joins on their rarest keys
+  (``keyed_join``): tokens and contained pieces first, which finds every pair that scores 100. Labels that have
+  as many of those as are asked for are done. From a floor of ``EDIT_FLOOR`` on the others meet
+  aliases on trigram prefixes, and each pair that meets is tested once in the JVM before it is scored;
+* below that floor any alias may be the best of what is left, so those labels
+  meet the gazetteer in a grid: blocks of ``BLOCK`` aliases times slices of labels, dealt
+  out by a shuffle, with the same best-case test in each cell. Nothing passes through the driver. Work then
+  grows with labels times aliases.
+
+A stream, whose rows cannot be made distinct, is held against blocks of aliases that travel with the functions.
 """
 
 from __future__ import annotations
@@ -30,13 +30,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktally.functions import similarity
-from sparktally.functions.text import bind, char_ngrams, fixed_point, normalize_merchant_text, one_per_row, strip
+from sparktally.functions.text import bind, fixed_point, normalize_merchant_text, strip
+from sparktally.operators import keyed_join
+from sparktally.operators.frequent import attach, text_counts
+from sparktally.operators.keyed_join import EDIT_FLOOR
 from sparktally.session import cut_lineage
 
 MAX_SHIPPED = 2_000
-#: Rows of the alias key table, of about a hundred bytes each, that may be broadcast.
-MAX_BROADCAST_KEYS = 300_000
-SALTS = 16
+#: Labels of a slice that meets a block of aliases in one cell of the grid.
+SLICE = 50_000
 #: Aliases per pass where the whole gazetteer has to be looked through.
 BLOCK = 20_000
 #: Aliases of highest best case that are scored first for every label.
@@ -45,9 +47,6 @@ _LETTERS = 64
 #: Label-alias pairs scored at once within a task.
 PAIR_BLOCK = 200_000
 
-#: Floors from which the join on keys loses no pair.
-LOWEST_JOINED = {"token_set": 80, "weighted_ratio": 90}
-
 _CANDIDATE = "struct<alias_idx:bigint,merchant_id:string,display_name:string,alias:string,score:double>"
 _COLUMNS = ["alias_idx", "merchant_id", "display_name", "alias"]
 
@@ -158,37 +157,50 @@ class _BestCase:
         return np.where(short == 0, 0.0, np.where(quotient < 1.5, near, far))
 
 
-def _top_in_task(aliases: pd.DataFrame, k: int, scorer, keep_below: float | None, weighted: bool = False):
-    """Arrow function: label -> best ``k`` aliases, best score first, then file order.
+class _Gazetteer:
+    """Aliases in file order with all that scoring labels against them needs."""
 
-    First the aliases of highest best case are scored, then only those whose best case
-    still beats the k-th score found, or equals it and stands earlier in the file.
-    """
-    names = aliases["alias"].tolist()
-    rows = list(aliases.itertuples(index=False, name=None))
-    floor = -1.0 if keep_below is None else keep_below
+    def __init__(self, aliases: pd.DataFrame, k: int, scorer, keep_below: float | None, weighted: bool):
+        self.names = aliases["alias"].tolist()
+        self.rows = list(aliases[_COLUMNS].itertuples(index=False, name=None))
+        self.k, self.scorer, self.keep_below = k, scorer, keep_below
+        self.bounds = _BestCase(self.names, weighted)
 
-    def scored(labels: list[str], picks: list[np.ndarray]) -> list[np.ndarray]:
+    def _scored(self, labels: list[str], picks: list[np.ndarray]) -> list[np.ndarray]:
         out = []
         sizes = np.array([len(p) for p in picks])
         start = 0
         while start < len(labels):
             stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), PAIR_BLOCK, "right")))
             left = [x for x, p in zip(labels[start:stop], picks[start:stop]) for _ in p]
-            right = [names[i] for p in picks[start:stop] for i in p]
-            got = scorer(left, right) if left else np.zeros(0)
+            right = [self.names[i] for p in picks[start:stop] for i in p]
+            got = self.scorer(left, right) if left else np.zeros(0)
             out += np.split(got, np.cumsum(sizes[start:stop])[:-1])
             start = stop
         return out
 
-    def best_of(labels: list[str], bounds: _BestCase) -> dict[str, list[tuple]]:
-        best_case = [bounds.of(x) for x in labels]
+    def best(self, labels: list[str]) -> dict[str, list[tuple]]:
+        """label -> best ``k`` aliases, best score first, then file order.
+
+        First the aliases of highest best case are scored, then only those whose best case
+        still beats the k-th score found, or equals it and stands earlier in the file.
+        """
+        found: dict[str, list[tuple]] = {}
+        step = max(1, 4 * PAIR_BLOCK // max(1, len(self.names)))
+        for start in range(0, len(labels) if self.names else 0, step):
+            found.update(self._best(labels[start:start + step]))
+        return found
+
+    def _best(self, labels: list[str]) -> dict[str, list[tuple]]:
+        k, keep_below = self.k, self.keep_below
+        floor = -1.0 if keep_below is None else keep_below
+        best_case = [self.bounds.of(x) for x in labels]
         first = [np.argsort(-b, kind="stable")[:max(k, FIRST_LOOK)] for b in best_case]
         first = [p[b[p] >= floor - 1e-9] for p, b in zip(first, best_case)]
-        known = scored(labels, first)
+        known = self._scored(labels, first)
         rest = []
         for bound, picks, got in zip(best_case, first, known):
-            least, last = floor, len(names)
+            least, last = floor, len(self.names)
             if len(got) >= k:
                 at = np.lexsort((picks, -got))[k - 1]
                 if got[at] >= floor:
@@ -198,23 +210,25 @@ def _top_in_task(aliases: pd.DataFrame, k: int, scorer, keep_below: float | None
             open_[picks] = False
             rest.append(np.flatnonzero(open_))
         found = {}
-        for label, picks, got, more, also in zip(labels, first, known, rest, scored(labels, rest)):
+        for label, picks, got, more, also in zip(labels, first, known, rest, self._scored(labels, rest)):
             at, score = np.concatenate([picks, more]), np.concatenate([got, also])
             order = np.lexsort((at, -score))[:k]
-            found[label] = [(*rows[at[i]], float(score[i])) for i in order if keep_below is None or score[i] >= keep_below]
+            found[label] = [(*self.rows[at[i]], float(score[i])) for i in order if keep_below is None or score[i] >= keep_below]
         return found
 
+
+def _top_in_task(aliases: pd.DataFrame, k: int, scorer, keep_below: float | None, weighted: bool = False):
+    """Arrow function: label -> best ``k`` aliases; the aliases travel with it."""
+
     @F.pandas_udf(f"array<{_CANDIDATE}>")
     def top(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bounds = _BestCase(names, weighted)
-        step = max(1, 4 * PAIR_BLOCK // max(1, len(names)))
+        gazetteer = _Gazetteer(aliases, k, scorer, keep_below, weighted)
         known: dict[str, list[tuple]] = {}
         for labels in parts:
             if len(known) > PAIR_BLOCK:
                 known.clear()
             fresh = [x for x in labels.dropna().unique() if x not in known and (x != "" or keep_below is None)]
-            for start in range(0, len(fresh) if names else 0, step):
-                known.update(best_of(fresh[start:start + step], bounds))
+            known.update(gazetteer.best(fresh))
             yield labels.map(lambda x: known.get(x, []))
 
     return top
@@ -235,35 +249,14 @@ def _best_of_blocks(df: DataFrame, query: str, aliases: DataFrame, k: int, score
     return out
 
 
-# --------------------------------------------------------- blocked equi-join
+# --------------------------------------------------------- joins on keys, grid
 
 def _sorted_tokens(text: Column) -> Column:
     return F.array_sort(F.filter(F.split(text, " "), lambda t: t != ""))
 
 
-def _trigrams(text: Column) -> Column:
-    return char_ngrams(F.concat(F.lit("\x02\x02"), text, F.lit("\x03\x03")), 3, 3)
-
-
-def _blocking_keys(text: Column) -> Column:
-    """Tokens, and padded trigrams of the text and of its sorted tokens.
-
-    The piece up to two characters long is a key of its own, met by the short
-    pieces of texts up to eight times its length, for containment below a trigram.
-    """
-    tokens = _sorted_tokens(text)
-    short_pieces = F.when(F.length(text) <= 16, char_ngrams(text, 1, 2)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(
-        F.transform(tokens, lambda t: F.concat(F.lit("t:"), t)),
-        F.transform(short_pieces, lambda g: F.concat(F.lit("s:"), g)),
-        _trigrams(text),
-        _trigrams(F.array_join(tokens, " ")),
-        _trigrams(F.array_join(F.array_distinct(tokens), " ")),
-    ))
-
-
-def _token_set_may_reach(a: str, b: str, floor: float) -> Column:
-    """False only if the token set score of two sorted token columns is below the floor."""
+def _token_set_may_reach(a: str, b: str, floor: float, by_edits: bool = True) -> Column:
+    """False only if the token set score of two sorted token columns is below the floor, or reached by edits alone if those do not count."""
     a_tokens, b_tokens = F.array_distinct(a), F.array_distinct(b)
     shared = F.array_join(F.array_intersect(a_tokens, b_tokens), " ")
     only_a = F.array_join(F.array_except(a_tokens, b_tokens), " ")
@@ -277,13 +270,13 @@ def _token_set_may_reach(a: str, b: str, floor: float) -> Column:
         # shared tokens alone against shared plus own tokens of either side
         covers = (li > 0) & ((sep + F.least(la, lb)) <= share * (2 * li + sep + F.least(la, lb)))
         subset = (li > 0) & ((la == 0) | (lb == 0))
-        return subset | covers | near
+        return subset | covers | near if by_edits else subset | covers
 
     return bind(F.struct(shared.alias("i"), only_a.alias("a"), only_b.alias("b")), decide)
 
 
-def _weighted_may_reach(label: str, alias: str, label_tokens: str, alias_tokens: str, floor: float) -> Column:
-    """False only if the weighted ratio of the two columns is below the floor (at least 90)."""
+def _weighted_may_reach(label: str, alias: str, label_tokens: str, alias_tokens: str, floor: float, by_edits: bool = True) -> Column:
+    """False only if the weighted ratio of the two columns is below the floor (at least 90), or reached by edits alone if those do not count."""
     a, b = F.col(label), F.col(alias)
     longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
     contained = (longer >= 1.5 * shorter) & (longer <= 8 * shorter) & (F.contains(a, b) | F.contains(b, a))
@@ -291,58 +284,122 @@ def _weighted_may_reach(label: str, alias: str, label_tokens: str, alias_tokens:
     token_floor = floor / 0.95
     token_share = (100.0 - token_floor) / 100.0 + 1e-9
     sorted_a, sorted_b = F.array_join(label_tokens, " "), F.array_join(alias_tokens, " ")
-    near = (longer < 1.5 * shorter) & (
-        (F.levenshtein(a, b) <= share * (longer + shorter))
-        | (F.levenshtein(sorted_a, sorted_b) <= token_share * (F.length(sorted_a) + F.length(sorted_b)))
-        | _token_set_may_reach(label_tokens, alias_tokens, token_floor)
-    )
-    return (shorter > 0) & (contained | near)
+    alike = _token_set_may_reach(label_tokens, alias_tokens, token_floor, by_edits) | (a == b)
+    if by_edits:
+        alike = alike | (F.levenshtein(a, b) <= share * (longer + shorter)) | (
+            F.levenshtein(sorted_a, sorted_b) <= token_share * (F.length(sorted_a) + F.length(sorted_b)))
+    return (shorter > 0) & (contained | ((longer < 1.5 * shorter) & alike))
 
 
-def blocked_scores(labels: DataFrame, aliases: DataFrame, scorer: str, floor: float,
-                   max_broadcast: int = MAX_BROADCAST_KEYS, salts: int | None = None) -> DataFrame:
-    """label, alias columns and score for every pair that scores at least ``floor``.
+def _keys(scorer: str, floor: float) -> keyed_join.Keys:
+    if scorer == "token_set":
+        return keyed_join.Keys(floor, {"d": floor}, False)
+    return keyed_join.Keys(floor / 0.95, {"r": floor, "o": floor / 0.95, "d": floor / 0.95}, True)
 
-    ``labels`` holds distinct texts in the column ``label``.
+
+#: Least floor of the join on tokens and pieces, where the asked one is lower.
+_TOKEN_FLOOR = {"token_set": 80.0, "weighted_ratio": 90.0}
+
+
+def _with_tokens(labels: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (labels.select("label", _sorted_tokens(F.col("label")).alias("label_tokens")),
+            aliases.select(*_COLUMNS, _sorted_tokens(F.col("alias")).alias("alias_tokens")).where("alias <> ''"))
+
+
+def _scored_pairs(pairs: DataFrame, scorer: str, floor: float) -> DataFrame:
+    scored = similarity.score_pairs(pairs.select("label", *_COLUMNS).distinct(), "label", "alias", [scorer])
+    return scored.withColumnRenamed(scorer, "score").where(F.col("score") >= floor - (1e-9 if floor < 100 else 0))
+
+
+def _may_reach(scorer: str, floor: float, by_edits: bool) -> Column:
+    if scorer == "token_set":
+        return _token_set_may_reach("label_tokens", "alias_tokens", floor, by_edits)
+    return _weighted_may_reach("label", "alias", "label_tokens", "alias_tokens", floor, by_edits)
+
+
+def _token_join(labels: DataFrame, aliases: DataFrame, scorer: str, floor: float, keys: keyed_join.Keys) -> DataFrame:
+    """Scored pairs of at least ``floor`` by what they share; of those that score 100, all."""
+    left, right = _with_tokens(labels, aliases)
+    pairs = keyed_join.token_pairs(left, right, "label", "alias", keys).where(_may_reach(scorer, floor, False))
+    return _scored_pairs(pairs, scorer, floor)
+
+
+def _edit_join(labels: DataFrame, aliases: DataFrame, scorer: str, floor: float, keys: keyed_join.Keys) -> DataFrame:
+    """Scored pairs of at least ``floor`` by what edits leave of them."""
+    left, right = _with_tokens(labels, aliases)
+    pairs = keyed_join.edit_pairs(left, right, "label", "alias", keys).where(_may_reach(scorer, floor, True))
+    return _scored_pairs(pairs, scorer, floor)
+
+
+def _grid(labels: DataFrame, aliases: DataFrame, k: int, scorer, floor: float | None, weighted: bool) -> DataFrame:
+    """(label, alias columns, score): the best k aliases of each label from each block, without a join on keys.
+
+    Labels are copied to all blocks of aliases and aliases to all slices of labels; a cell holds one of each.
     """
-    if floor < LOWEST_JOINED[scorer]:
-        raise ValueError(f"the join on keys is exact for {scorer} from {LOWEST_JOINED[scorer]} on")
-    tokens = labels.select("label", _sorted_tokens(F.col("label")).alias("label_tokens"))
-    left = one_per_row(tokens, ["label", "label_tokens"], _blocking_keys(F.col("label")), "key")
-    named = aliases.select(*_COLUMNS, _sorted_tokens(F.col("alias")).alias("alias_tokens"))
-    right = cut_lineage(
-        one_per_row(named, [*_COLUMNS, "alias_tokens"], _blocking_keys(F.col("alias")), "key"), "alias-keys")
-    if right.limit(max_broadcast + 1).count() <= max_broadcast:
-        joined = left.join(F.broadcast(right), "key")
-    else:
-        # a label key may be as frequent as all labels: as many salts as there are cores to spread it to
-        salts = salts or max(SALTS, labels.sparkSession.sparkContext.defaultParallelism)
-        salted = left.withColumn("salt", F.pmod(F.xxhash64("label"), F.lit(salts)).cast("int"))
-        copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = salted.join(copies, ["key", "salt"])
-    may_reach = (
-        _token_set_may_reach("label_tokens", "alias_tokens", floor) if scorer == "token_set"
-        else _weighted_may_reach("label", "alias", "label_tokens", "alias_tokens", floor)
-    )
-    pairs = joined.where(may_reach).select("label", *_COLUMNS).distinct()
-    scored = similarity.score_pairs(pairs, "label", "alias", [scorer])
-    return scored.withColumnRenamed(scorer, "score").where(F.col("score") >= floor)
+    blocks, slices = max(1, -(-aliases.count() // BLOCK)), max(1, -(-labels.count() // SLICE))
+    if blocks * slices == 1:  # one cell: slices let all cores take part
+        slices = max(1, labels.sparkSession.sparkContext.defaultParallelism)
+    left = labels.select("label", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+                         F.pmod(F.xxhash64("label"), F.lit(slices)).cast("int").alias("slice"))
+    right = aliases.select(*_COLUMNS, F.pmod(F.xxhash64("alias_idx", "alias"), F.lit(blocks)).cast("int").alias("block"),
+                           F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
 
+    def cell(texts: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        names = part.sort_values(["alias_idx", "alias"], kind="stable", ignore_index=True)
+        found = _Gazetteer(names, k, scorer, floor, weighted).best(texts["label"].tolist()) if len(texts) else {}
+        rows = [(label, *row) for label, best in found.items() for row in best]
+        return pd.DataFrame(rows, columns=["label", *_COLUMNS, "score"])
 
-def _best_per_label(scored: DataFrame) -> DataFrame:
-    pick = F.struct("alias_idx", "merchant_id", "display_name", "alias", "score")
-    return scored.groupBy("label").agg(
-        F.max_by(pick, F.struct("score", -F.col("alias_idx"))).alias("_best")
-    )
+    schema = "label string, alias_idx bigint, merchant_id string, display_name string, alias string, score double"
+    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(cell, schema)
 
 
-def _attach(df: DataFrame, best: DataFrame, text: str) -> DataFrame:
-    """Bring per-label results back to the rows.
+def blocked_scores(labels: DataFrame, aliases: DataFrame, scorer: str, floor: float) -> DataFrame:
+    """label, alias columns and score for every pair that scores at least ``floor``, one of the two scorers by name.
 
-    The results are written first: a label that many rows share is then an ordinary
-    skewed side of the join, which Spark splits.
+    ``labels`` holds distinct texts in the column ``label``.
     """
-    return df.join(cut_lineage(best, "best").withColumnRenamed("label", text), text, "left")
+    if floor < max(EDIT_FLOOR, _TOKEN_FLOOR[scorer] if scorer == "weighted_ratio" else 0.0):
+        return _grid(labels, aliases, 1 << 40, similarity.SCORERS[scorer], floor, scorer == "weighted_ratio")
+    keys = keyed_join.with_counts(_keys(scorer, floor), [labels.select(F.col("label").alias("text")), aliases.select(F.col("alias").alias("text"))])
+    both = _token_join(labels, aliases, scorer, floor, keys).union(_edit_join(labels, aliases, scorer, floor, keys))
+    return both.distinct()
+
+
+def _top_of(scored: DataFrame, k: int) -> DataFrame:
+    """label, ``_top``: the best k candidates, best score first, then file order."""
+    if k == 1:
+        pick = F.struct("alias_idx", "merchant_id", "display_name", "alias", "score")
+        return scored.groupBy("label").agg(F.array(F.max_by(pick, F.struct("score", -F.col("alias_idx")))).alias("_top"))
+    order = Window.partitionBy("label").orderBy(F.desc("score"), "alias_idx")
+    ranked = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    candidate = F.struct("_r", "alias_idx", "merchant_id", "display_name", "alias", "score")
+    best = ranked.groupBy("label").agg(F.array_sort(F.collect_list(candidate)).alias("_top"))
+    return best.withColumn("_top", F.transform("_top", lambda c: F.struct(
+        c["alias_idx"].alias("alias_idx"), c["merchant_id"].alias("merchant_id"),
+        c["display_name"].alias("display_name"), c["alias"].alias("alias"), c["score"].alias("score"))))
+
+
+def _joined_top(labels: DataFrame, aliases: DataFrame, k: int, name: str, scorer, floor: float | None) -> DataFrame:
+    """label, ``_top`` of all labels that have a candidate: tokens first, then what is left by edits or in the grid."""
+    low = _TOKEN_FLOOR[name] if floor is None else max(floor, _TOKEN_FLOOR[name])
+    texts = cut_lineage(labels, "labels")
+    sides = [texts.select(F.col("label").alias("text")), aliases.select(F.col("alias").alias("text"))]
+    keys = keyed_join.with_counts(_keys(name, low), sides)
+    shared = cut_lineage(_token_join(texts.where("label <> ''"), aliases, name, low, keys), "shared")
+    perfect = shared.where("score >= 100").groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("label")
+    done = cut_lineage(perfect, "done")
+    left = cut_lineage(texts.join(done, "label", "left_anti"), "left")
+    if floor is not None and floor >= max(EDIT_FLOOR, low if name == "weighted_ratio" else 0.0):
+        more = _edit_join(left.where("label <> ''"), aliases, name, floor, keys)
+        return _top_of(shared.union(more).distinct(), k)
+    rest = _grid(left, aliases, k, scorer, floor, name == "weighted_ratio")
+    return _top_of(shared.join(done, "label", "left_semi").union(rest), k)
+
+
+def _attach(df: DataFrame, best: DataFrame, text: str) -> DataFrame:
+    """Bring per-label results back to the rows; a label that many rows share comes by broadcast."""
+    return attach(df, cut_lineage(best, "best").withColumnRenamed("label", text), text, cut_lineage(text_counts(df, text), "texts"))
 
 
 # ------------------------------------------------------------------ operators
@@ -362,25 +419,15 @@ def _with_candidates(df: DataFrame, gaz: DataFrame, label: str, k: int, min_scor
     if df.isStreaming:
         return _best_of_blocks(queried, "_query", aliases, k, scorer, min_score, False, BLOCK).drop("_query")
     labels = queried.select(F.col("_query").alias("label")).where("label <> ''").distinct()
-    if min_score < LOWEST_JOINED["token_set"]:
-        best = _best_of_blocks(labels, "label", aliases, k, scorer, min_score, False, BLOCK)
-        return _attach(queried, best, "_query").drop("_query")
-    order = Window.partitionBy("label").orderBy(F.desc("score"), "alias_idx")
-    ranked = blocked_scores(labels, aliases, "token_set", min_score).withColumn("_r", F.row_number().over(order))
-    candidate = F.struct("_r", "alias_idx", "merchant_id", "display_name", "alias", "score")
-    best = ranked.where(F.col("_r") <= k).groupBy("label").agg(F.array_sort(F.collect_list(candidate)).alias("_top"))
-    best = best.withColumn("_top", F.transform("_top", lambda c: F.struct(
-        c["alias_idx"].alias("alias_idx"), c["merchant_id"].alias("merchant_id"),
-        c["display_name"].alias("display_name"), c["alias"].alias("alias"), c["score"].alias("score"))))
-    return _attach(queried, best, "_query").drop("_query")
+    return _attach(queried, _joined_top(labels, aliases, k, "token_set", scorer, min_score), "_query").drop("_query")
 
 
 def merchant_candidates(df: DataFrame, gaz: DataFrame, k: int = 5, label: str = "raw_label",
                         min_score: float = 0.0, max_shipped: int = MAX_SHIPPED) -> DataFrame:
     """One row per candidate: rank, merchant_id, display_name, alias_norm, score (whole number).
 
-    A ``min_score`` below 80 makes any alias a candidate, so work grows with labels times
-    aliases; this holds for gazetteers of all sizes, the answer is the same for all.
+    A ``min_score`` below ``EDIT_FLOOR`` makes any alias a candidate of labels that do not find ``k`` of score 100, whose work
+    then grows with labels times aliases; the answer is the same for gazetteers of all sizes.
     """
     top = _with_candidates(df, gaz, label, k, min_score, max_shipped)
     rows = top.select(*df.columns, F.posexplode("_top").alias("_pos", "_c"))
@@ -437,7 +484,7 @@ def resolve_merchant(df: DataFrame, gaz: DataFrame, cut: float = 0.90, text: str
             "gaz_score": F.when(F.col(text).isNotNull(), F.lit(0.0)),
             "gaz_reason": F.when(F.col(text).isNotNull(), F.lit("gazetteer-empty")),
         })
-    only_accepted = cut >= LOWEST_JOINED["weighted_ratio"] / 100 and not explain_weak
+    only_accepted = cut >= _TOKEN_FLOOR["weighted_ratio"] / 100 and not explain_weak
     scorer = similarity.accepted_weighted_ratio if only_accepted else similarity.weighted_ratio
     floor = None if explain_weak else 100.0 * cut - 1e-9
     labels = query.select(F.col("_query").alias("label")).where("label IS NOT NULL").distinct()
@@ -447,11 +494,8 @@ def resolve_merchant(df: DataFrame, gaz: DataFrame, cut: float = 0.90, text: str
     elif df.isStreaming:
         blocks = _best_of_blocks(query, "_query", aliases, 1, scorer, floor, True, BLOCK)
         found = blocks.withColumn("_best", F.get("_top", F.lit(0)))
-    elif only_accepted:
-        scored = blocked_scores(labels.where("label <> ''"), aliases, "weighted_ratio", 100.0 * cut)
-        found = _attach(query, _best_per_label(scored), "_query")
     else:
-        best = _best_of_blocks(labels, "label", aliases, 1, scorer, floor, True, BLOCK)
+        best = _joined_top(labels.where("label <> ''") if only_accepted else labels, aliases, 1, "weighted_ratio", scorer, floor)
         found = _attach(query, best.select("label", F.get("_top", F.lit(0)).alias("_best")), "_query")
     score = F.col("_best.score") / 100.0
     accepted = score >= cut

@@ -19,7 +19,7 @@ def prepared(spark, sf):
 
 
 def profile(spark, sf):
-    return D.ngram_profile(prepared(spark, sf), "model_text", train())
+    return D.stored_profile(prepared(spark, sf), "model_text", train())
 
 
 def _profile_sql(text: str) -> str:

@@ -75,12 +75,12 @@ def _shops(spark, sf):
 
 @query("best_merchant_of_parts", _SHOPS.format(alias="alias_norm", score="CAST(100 AS BIGINT)"))
 def best_merchant_of_parts(spark, sf):
-    return G.best_merchant(*_shops(spark, sf), threshold=86).drop("raw_label")
+    return G.best_merchant(*_shops(spark, sf), threshold=86, max_shipped=0).drop("raw_label")
 
 
 @query("best_merchant_of_parts_low", _SHOPS.format(alias="alias_norm", score="CAST(100 AS BIGINT)"))
 def best_merchant_of_parts_low(spark, sf):
-    return G.best_merchant(*_shops(spark, sf), threshold=70).drop("raw_label")
+    return G.best_merchant(*_shops(spark, sf), threshold=70, max_shipped=0).drop("raw_label")
 
 
 _RESOLVED_SHOPS = """
@@ -91,7 +91,7 @@ SELECT p_partkey AS tx_id, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS gaz_
 def _resolved_shops(spark, sf, cut):
     labels, gaz = _shops(spark, sf)
     text = F.when(F.col("raw_label").startswith("CB "), F.expr("lower(substring(raw_label, 4, length(raw_label) - 9))")).otherwise("zxq")
-    found = G.resolve_merchant(labels.withColumn("normalized", text), gaz, cut=cut)
+    found = G.resolve_merchant(labels.withColumn("normalized", text), gaz, cut=cut, max_shipped=0)
     return found.select("tx_id", "gaz_merchant_id", "gaz_score")
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from sparktally.functions import similarity as S
 from sparktally.operators import gazetteer as G
+from sparktally.operators import keyed_join as K
 
 GAZ = "alias_idx long, alias string, merchant_id string, display_name string"
 
@@ -63,13 +64,13 @@ def _random_texts(seed, n):
     return sorted({" ".join(word() for _ in range(r.randint(1, 4))) for _ in range(n)} - {""})
 
 
-@pytest.mark.parametrize("threshold,max_broadcast", [(80, 0), (86, 0), (86, 10**6), (95, 0)])
-def test_blocked_token_set_loses_nothing(spark, threshold, max_broadcast):
+@pytest.mark.parametrize("threshold", [70, 80, 86, 90, 95])
+def test_blocked_token_set_loses_nothing(spark, threshold):
     labels, aliases = _random_texts(1, 250), _random_texts(2, 120)
     rows = spark.createDataFrame([(x,) for x in labels], "label string")
     names = G.merchant_aliases(gaz(spark, aliases))
     got = {(r.label, r.alias_idx): r.score for r in G.blocked_scores(
-        rows, names, "token_set", float(threshold), max_broadcast).collect()}
+        rows, names, "token_set", float(threshold)).collect()}
     want = {}
     for r in names.collect():
         for label, score in zip(labels, S.token_set_ratio(labels, [r.alias] * len(labels))):
@@ -78,13 +79,12 @@ def test_blocked_token_set_loses_nothing(spark, threshold, max_broadcast):
     assert got == pytest.approx(want) and want
 
 
-@pytest.mark.parametrize("max_broadcast", [0, 10**6])
-def test_blocked_weighted_ratio_loses_nothing(spark, max_broadcast):
+def test_blocked_weighted_ratio_loses_nothing(spark):
     labels, aliases = _random_texts(3, 250), _random_texts(4, 120) + ["x", "bk", "a"]
     rows = spark.createDataFrame([(x,) for x in labels + ["b", "xy"]], "label string")
     names = G.plain_aliases(gaz(spark, aliases))
     got = {(r.label, r.alias_idx): r.score for r in G.blocked_scores(
-        rows, names, "weighted_ratio", 90.0, max_broadcast).collect()}
+        rows, names, "weighted_ratio", 90.0).collect()}
     want = {}
     for i, alias in enumerate(aliases):
         texts = labels + ["b", "xy"]
@@ -94,10 +94,33 @@ def test_blocked_weighted_ratio_loses_nothing(spark, max_broadcast):
     assert got == pytest.approx(want) and want
 
 
-def test_join_on_keys_rejects_floors_it_cannot_serve(spark):
-    df = spark.createDataFrame([("a",)], "label string")
-    with pytest.raises(ValueError):
-        G.blocked_scores(df, G.merchant_aliases(gaz(spark, ["edf"])), "token_set", 79.0)
+@pytest.mark.parametrize("floor", [85.0, 90.0, 95.0])
+def test_prefixes_meet_where_scores_reach_the_floor(floor):
+    """Whatever the order of the keys, also for texts of one letter or one trigram over and over."""
+    texts = _random_texts(31, 160) + ["a", "b", "ab", "aaaaaaaaaaaa", "aaaaaaaaaaaaa", "aaaa aaaa aaaaa", "x x x", "aa aa"]
+    rng = random.Random(7)
+    plain = K.Keys(floor, {"d": floor}, True)
+    counts = {k: rng.randint(1, 50) for t in texts for k in plain.every(t) if rng.random() < 0.5}
+    for scorer, grams in ((S.token_set_ratio, {"d": floor}), (S.ratio, {"r": floor}), (S.token_sort_ratio, {"o": floor})):
+        keys = K.Keys(floor, grams, True, counts)
+        full, prefix, edits = ({t: set(getattr(keys, what)(t)) for t in texts} for what in ("all", "prefix", "edits"))
+        for a in texts:
+            for b, score in zip(texts, scorer([a] * len(texts), texts)):
+                met = edits[a] & edits[b] or (scorer is S.token_set_ratio and (prefix[a] & full[b] or prefix[b] & full[a]))
+                assert score < floor or met, (a, b, score)
+                if a in b and len(b) <= 8 * len(a):
+                    assert prefix[a] & full[b]
+
+
+@pytest.mark.parametrize("floor", [70.0, 80.0, 86.0, 90.0])
+def test_one_token_in_all_texts(spark, floor):
+    """The most frequent token and its trigrams bring no pair together that others do not."""
+    names = [f"{x} shop" for x in _random_texts(21, 120)]
+    labels = [f"{x} shop paris" for x in _random_texts(22, 60)] + names[:40]
+    rows = spark.createDataFrame([(x,) for x in sorted(set(labels))], "raw_label string")
+    g = gaz(spark, names)
+    near = sorted(map(tuple, G.best_merchant(rows, g, threshold=floor).collect()), key=str)
+    assert near == sorted(map(tuple, G.best_merchant(rows, g, threshold=floor, max_shipped=0).collect()), key=str)
 
 
 @pytest.mark.parametrize("min_score", [0.0, 40.0, 70.0, 79.9, 80.0, 86.0])

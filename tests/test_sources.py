@@ -1,5 +1,6 @@
 import pytest
 
+from sparktally.operators.gazetteer import merchant_aliases
 from sparktally.sources import gazetteers as G
 from sparktally.sources import tables as R
 
@@ -21,7 +22,9 @@ def test_transactions_by_name(spark, tmp_path):
 def test_gazetteer_in_file_order(spark, tmp_path):
     path = write(tmp_path / "g.csv", "alias,merchant_id,display_name\nmcdo,a,A\n***,b,B\nEDF,c,C\n")
     rows = G.read_gazetteer(spark, path).orderBy("alias_idx").collect()
-    assert [r.merchant_id for r in rows] == ["a", "c"] and rows[0].alias_idx < rows[1].alias_idx
+    assert [r.merchant_id for r in rows] == ["a", "b", "c"] and rows[0].alias_idx < rows[1].alias_idx < rows[2].alias_idx
+    # aliases that come out empty are dropped where aliases are folded
+    assert [r.alias for r in merchant_aliases(G.read_gazetteer(spark, path)).orderBy("alias_idx").collect()] == ["mcdo", "edf"]
     bad = write(tmp_path / "b.csv", "alias,merchant_id\nx,y\n")
     with pytest.raises(ValueError):
         G.read_gazetteer(spark, bad)

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from sparktally.operators import drift as D
@@ -33,12 +32,17 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{reports}/batch=0").first().oov_rate == 0.0
 
 
-def test_streamed_router_names_its_bound(spark, tmp_path):
+def test_streamed_router_answers_alike_beyond_the_shipping_bound(spark, tmp_path):
     from sparktally.plans.fixtures import gazetteer
 
     schema = "tx_id string, raw_label string, channel string, mcc int"
-    spark.createDataFrame([("t", "CB EDF", "CB", None)], schema).write.parquet(str(tmp_path / "in"))
-    stream = ST.event_stream(spark, str(tmp_path / "in"), schema)
-    assert ST.classify_stream(stream, gazetteer(spark)).isStreaming
-    with pytest.raises(ValueError, match="bound"):
-        ST.classify_stream(stream, gazetteer(spark), max_shipped=3)
+    rows = [("t", "CB EDF", "CB", None), ("u", "CB CARREFOUR 75 PARIS", "CB", None), ("v", "zzz", None, 5411)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    found = []
+    for bound in (1000, 3):
+        routed = ST.classify_stream(ST.event_stream(spark, str(tmp_path / "in"), schema), gazetteer(spark), max_shipped=bound)
+        assert routed.isStreaming
+        out = str(tmp_path / f"out{bound}")
+        ST.run_available(routed, out, str(tmp_path / f"cp{bound}")).awaitTermination()
+        found.append(sorted(map(str, spark.read.schema(routed.schema).parquet(out).collect())))
+    assert found[0] == found[1] and len(found[0]) == 3
