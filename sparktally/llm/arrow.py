@@ -6,7 +6,7 @@ import gc
 import time
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -49,12 +49,10 @@ _collected = [0.0]
 def discard(*frames: DataFrame | None) -> None:
     """Delete what ``stored`` wrote for these frames, once all that reads them is stored itself.
 
-    Collecting garbage lets Spark delete the shuffle files of the jobs that are done, too.
+    Collecting garbage lets Spark delete the shuffle files of the jobs that are done, too; without frames that is all.
     """
     paths = [path for f in frames if f is not None for path in getattr(f, "scratch", ())]
-    if not paths:
-        return
-    spark = frames[0].sparkSession
+    spark = SparkSession.active()
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

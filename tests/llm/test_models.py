@@ -75,37 +75,24 @@ def test_language_odd_rows(odd, nothing):
 
 # ---------------------------------------------------------- language model
 
-def brute_lm(rows, folds=5, held_out=1, shares=lm.SHARES, discount=lm.DISCOUNT):
-    """Scores from the definition: interpolated absolute discounting over dictionaries."""
-    docs = {i: [*(t or "").lower().split(), None] for i, t in rows}
-    train = [w for i, w in docs.items() if remainder(i, folds) != held_out]
-    uni = Counter(x for w in train for x in w)
+def brute_lm(rows, folds=5, held_out=1, order=lm.ORDER, prior=lm.PRIOR):
+    """Scores from the definition: Dirichlet priors over dictionaries of all n-grams."""
+    docs = [(i, [*(t or "").lower().split(), None]) for i, t in rows]
+    train = [w for i, w in docs if remainder("" if i is None else i, folds) != held_out]
+    counts = {k: Counter(tuple(w[i:i + k]) for w in train for i in range(len(w) - k + 1)) for k in range(1, order + 1)}
+    uni = Counter({k[0]: c for k, c in counts[1].items()})
     n, v = sum(uni.values()), len(uni)
-    counts = {1: Counter({(k,): c for k, c in uni.items()})}
-    for order, share in shares.items():
-        frequent = {k for k, c in uni.items() if c >= max(share * n, lm.LEAST_COUNT)}
-        c = Counter(tuple(w[i:i + order]) for w in train for i in range(len(w) - order + 1))
-        counts[order] = Counter({k: x for k, x in c.items() if x >= lm.LEAST_COUNT and all(y in frequent for y in k)})
-    seen = Counter()
-    for order in shares:
-        for k, c in counts[order].items():
-            seen[k[:-1]] += c - discount
 
     def prob(history, word):
         if not history:
             return (uni[word] + 0.5) / (n + 0.5 * (v + 1))
-        size = counts[len(history)][history]
-        if not seen[history] or not size:
-            return prob(history[1:], word)
-        own = counts[len(history) + 1][(*history, word)]
-        return max(own - discount, 0) / size + (1 - seen[history] / size) * prob(history[1:], word)
-
-    out = {}
-    most = max(shares) - 1
-    for i, w in docs.items():
+        return (counts[len(history) + 1][(*history, word)] + prior * prob(history[1:], word)) / (counts[len(history)][history] + prior)
+
+    out = []
+    for i, w in docs:
         base = sum(math.log10(prob((), x)) for x in w)
-        full = sum(math.log10(prob(tuple(w[max(0, k - most):k]), x)) for k, x in enumerate(w))
-        out[i] = (len(w), sum(uni[x] > 0 for x in w), n, base, full)
+        full = sum(math.log10(prob(tuple(w[max(0, k - order + 1):k]), x)) for k, x in enumerate(w))
+        out.append((i, len(w), sum(uni[x] > 0 for x in w), n, base, full))
     return out, prob, uni
 
 
@@ -118,26 +105,36 @@ def language(seed, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("block_bytes", [1, 400, 1 << 20])
-def test_scores_equal_the_definition(spark, block_bytes):
-    rows = [(i, language(i, 5 + i % 37)) for i in range(60)] + [(70, ""), (71, None)]
-    want, prob, uni = brute_lm(rows)
-    got = lm.score_texts(frame(spark, rows), block_bytes=block_bytes).collect()
+@pytest.mark.parametrize("block_bytes, range_bytes, order", [(1, 1 << 20, 2), (400, 50, 3), (1 << 20, 1 << 20, 2), (1 << 20, 300, 4), (300, 300, 1)])
+def test_scores_equal_the_definition(spark, block_bytes, range_bytes, order):
+    rows = [(i, language(i, 5 + i % 37)) for i in range(60)] + [(70, ""), (71, None), (10**15, language(99, 50)), (3, language(3, 8)), (None, "a b c"), (None, "a b c")]
+    want, prob, uni = brute_lm(rows, order=order)
+    got = lm.score_texts(frame(spark, rows), order=order, block_bytes=block_bytes, range_bytes=range_bytes).collect()
     assert len(got) == len(rows)
-    for r in got:
-        n_tokens, n_known, total, base, full = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, total)
-        assert r.base_score == pytest.approx(base, abs=1e-9) and r.score == pytest.approx(full, abs=1e-9)
+    key = lambda r: (str(r[0]), *r[1:4], round(r[4], 6))
+    found = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
+    for a, b in zip(found, sorted(want, key=key)):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-9)
     for history in [(), ("a",), ("a", "b"), ("zz", "b"), ("d", "d")]:  # probabilities sum to one
-        assert sum(prob(history, x) for x in uni) + prob((), "unknown") * 0 == pytest.approx(
-            1 - prob(history, "unknown"), abs=1e-9)
-    held = [r for r in got if remainder(r.doc_id, 5) == 1]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+        assert sum(prob(history[-order + 1:] if order > 1 else (), x) for x in uni) == pytest.approx(
+            1 - prob(history[-order + 1:] if order > 1 else (), "unknown"), abs=1e-9)
+    if order > 1:
+        held = [r for r in got if remainder("" if r.doc_id is None else r.doc_id, 5) == 1]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_texts_that_occur_twice_stand_out(spark):
+    rows = [(i, words(i, 60)) for i in range(200)] + [(1000 + i, words(i, 60)) for i in range(20)]
+    got = {r.doc_id: r.score - r.base_score for r in lm.score_texts(frame(spark, rows)).collect()}
+    learnt = [i for i in range(20) if remainder(i, 5) != 1 and remainder(1000 + i, 5) != 1]
+    others = [v for i, v in got.items() if 20 <= i < 1000]
+    assert len(learnt) > 5 and min(got[i] for i in learnt) > max(others)
 
 
 def test_language_model_odd_rows(odd, nothing):
     got = lm.score_texts(odd).collect()
     assert len(got) == 17 and all(r.score <= 0 and r.n_tokens >= 1 for r in got)
+    assert sum(r.doc_id is None for r in got) == 2 and {r.n_tokens for r in got if r.doc_id == 4} == {40_001}
     assert lm.score_texts(nothing).collect() == []
 
 
