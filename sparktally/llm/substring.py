@@ -267,47 +267,74 @@ def _equal_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return out
 
 
-def _set_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of the distinct shingles of two runs of words."""
-    one, two = (set(shingles(x, np.array([0, len(x)]), SHINGLE)[0].tolist()) for x in (a, b))
-    return len(one & two) / len(one | two) if one or two else 1.0
+class Text:
+    """Words of a text with the hashes of the SHINGLE words from each."""
 
+    __slots__ = ("words", "grams")
 
-def _regions(a: np.ndarray, b: np.ndarray, seed: int, shift: int, similarity: float) -> list[tuple[int, int]]:
-    """Words of a around ``seed`` that are alike to b's at the same distance from ``seed - shift``.
+    def __init__(self, words: np.ndarray, grams: np.ndarray | None = None):
+        self.words = words
+        self.grams = _run_hashes(words, SHINGLE) if grams is None and len(words) >= SHINGLE else words[:0] if grams is None else grams
 
-    Equal runs of SHINGLE words and more, put together over changed words as long as the whole is alike
-    enough; where it is not, it is parted at its widest gap.
-    """
+    def back(self) -> "Text":
+        """Backwards; the hashes are of the same words, found from their last."""
+        return Text(self.words[::-1], self.grams[::-1])
+
+
+def _in_common(a: Text, b: Text, span: tuple[int, int, int, int]) -> tuple[int, int]:
+    """Distinct shingles that a's and b's part of the span share, and that either has."""
+    s, e, t, f = span
+    one, two = np.unique(a.grams[s:e - SHINGLE + 1]), np.unique(b.grams[t:f - SHINGLE + 1])
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both, len(one) + len(two) - both
+
+
+def _alike(a: Text, b: Text, span: tuple[int, int, int, int], similarity: float) -> bool:
+    """Whether the exact Jaccard similarity of the span's shingles is high enough."""
+    both, either = _in_common(a, b, span)
+    return both >= similarity * either
+
+
+def _runs_around(a: np.ndarray, b: np.ndarray, seed: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beginnings and ends in a of the equal runs of SHINGLE words and more around ``seed``, no two further apart than GAP."""
     low, high = max(0, shift), min(len(a), len(b) + shift)
-    reach = 64
+    reach = 256
     while True:
         lo, hi = max(low, seed - reach), min(high, seed + PARAGRAPH + reach)
-        same = np.concatenate([[False], a[lo:hi] == b[lo - shift:hi - shift], [False]])
-        edge = np.flatnonzero(same[1:] != same[:-1])
+        same = np.zeros(hi - lo + 2, np.int8)
+        same[1:-1] = a[lo:hi] == b[lo - shift:hi - shift]
+        edge = np.flatnonzero(np.diff(same))
         begins, ends = edge[::2] + lo, edge[1::2] + lo
         wide = ends - begins >= SHINGLE
         begins, ends = begins[wide], ends[wide]
         if not len(begins):
-            return []
+            return begins, ends
         part = np.concatenate([[0], np.cumsum(begins[1:] - ends[:-1] > GAP)])
         at = int(np.searchsorted(begins, seed, "right")) - 1
         if at < 0 or ends[at] <= seed:  # no equal run where the pair met
             at = min(at + 1, len(begins) - 1)
-        mine = np.flatnonzero(part == part[at])
-        first, last = int(begins[mine[0]]), int(ends[mine[-1]])
-        # more may follow where the region comes close to the edge of what was looked at
-        if (lo == low or first - lo > GAP + SHINGLE) and (hi == high or hi - last > GAP + SHINGLE):
-            break
+        mine = part == part[at]
+        begins, ends = begins[mine], ends[mine]
+        # more may follow where the runs come close to the edge of what was looked at
+        if (lo == low or begins[0] - lo > GAP + SHINGLE) and (hi == high or hi - ends[-1] > GAP + SHINGLE):
+            return begins, ends
         reach *= 4
-    out = []
-    todo = [(int(mine[0]), int(mine[-1]) + 1)]
+
+
+def _regions(a: Text, b: Text, seed: int, shift: int, similarity: float) -> list[tuple[int, int]]:
+    """Words of a around ``seed`` that are alike to b's at the same distance from ``seed - shift``.
+
+    Equal runs are put together over changed words as long as the whole is alike enough; where it is not, it is
+    parted at its widest gap.
+    """
+    begins, ends = _runs_around(a.words, b.words, seed, shift)
+    shared = np.concatenate([[0], np.cumsum(ends - begins - SHINGLE + 1)])
+    out, todo = [], [(0, len(begins))] if len(begins) else []
     while todo:
         x, y = todo.pop()
         s, e = int(begins[x]), int(ends[y - 1])
-        shared, whole = int((ends[x:y] - begins[x:y] - SHINGLE + 1).sum()), e - s - SHINGLE + 1
-        if y - x == 1 or (shared >= similarity * (2 * whole - shared)
-                          and _set_jaccard(a[s:e], b[s - shift:e - shift]) >= similarity):
+        both, whole = int(shared[y] - shared[x]), e - s - SHINGLE + 1
+        if y - x == 1 or (both >= similarity * (2 * whole - both) and _alike(a, b, (s, e, s - shift, e - shift), similarity)):
             out.append((s, e))
         else:
             cut = x + 1 + int(np.argmax(begins[x + 1:y] - ends[x:y - 1]))
@@ -316,45 +343,59 @@ def _regions(a: np.ndarray, b: np.ndarray, seed: int, shift: int, similarity: fl
 
 
 def _behind(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
-    """Where two texts run together again: the nearest words of each that begin SHINGLE equal ones."""
-    one, two = a[:GAP + SHINGLE].tolist(), b[:GAP + SHINGLE].tolist()
-    at: dict[tuple, int] = {}
-    for j in range(len(two) - SHINGLE, -1, -1):
-        at[tuple(two[j:j + SHINGLE])] = j
-    found = [(i + at[key], i, at[key]) for i in range(len(one) - SHINGLE + 1) if (key := tuple(one[i:i + SHINGLE])) in at]
-    return min(found)[1:] if found else None
+    """Where two texts run together again: the nearest words of each that begin SHINGLE equal ones; from their shingles' hashes."""
+    one, two = a[:GAP + 1], b[:GAP + 1]
+    if not len(one) or not len(two):
+        return None
+    same = np.argwhere(one[:, None] == two[None, :])
+    return tuple(same[same.sum(axis=1).argmin()].tolist()) if len(same) else None
 
 
-def _carried_on(a: np.ndarray, b: np.ndarray, span: tuple[int, int, int, int], similarity: float) -> tuple[int, int, int, int]:
+def _carried_on(a: Text, b: Text, span: tuple[int, int, int, int], similarity: float) -> tuple[int, int, int, int]:
     """``span`` (start and end in a, start and end in b) carried on at its end over added or missing words."""
     s, e, t, f = span
-    while (place := _behind(a[e:], b[f:])) is not None:
+    both = None
+    while (place := _behind(a.grams[e:], b.grams[f:])) is not None:
         i, j = e + place[0], f + place[1]
-        on = [(x, y) for x, y in _regions(a, b, i, i - j, similarity) if x <= i < y]
-        if not on or on[0][1] <= e or _set_jaccard(a[s:on[0][1]], b[t:on[0][1] - i + j]) < similarity:
+        if i - j == e - f:  # changed words, which ``_regions`` has judged
             break
-        e, f = on[0][1], on[0][1] - i + j
-    return s, e, t, f
+        begins, ends = _runs_around(a.words, b.words, i, i - j)
+        end = int(ends[int(np.searchsorted(begins, i, "right")) - 1])  # of the equal run; the next round goes on behind it
+        if both is None:
+            both = _in_common(a, b, span)[0]
+        more = both + end - i - SHINGLE + 1
+        if more < similarity * (end - s + end - i + j - t - 2 * SHINGLE + 2 - more):
+            break
+        both, e, f = more, end, end - i + j
+    # the count above takes repeated shingles for different ones
+    return (s, e, t, f) if both is None or _alike(a, b, (s, e, t, f), similarity) else span
 
 
-def align(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]], similarity: float) -> list[tuple[int, int, int, int]]:
+def align(a: Text, b: Text, pairs: list[tuple[int, int]], similarity: float) -> list[tuple[int, int, int, int]]:
     """(start, end, word, other word) of a's spans of PARAGRAPH words and more that are alike to b's.
 
     ``pairs`` are words of both where paragraphs met, the last two of the result the first such pair of the span.
     Words may be changed inside a span (``_regions``), added or missing, as long as the whole is alike enough.
     """
-    out: list[tuple[int, int, int, int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
+    reach: dict[int, int] = {}  # end of what was looked at, by the distance of the two places
+    done = 0  # end of the words that long spans cover from the last seed's on
     for i, j in sorted(pairs):
-        if i >= len(a) or j >= len(b) or any(s <= i < e and t <= j < f for s, e, t, f, _, _ in out[-8:]):
-            continue
         shift = i - j
+        if i + PARAGRAPH <= done or i >= len(a.words) or j >= len(b.words) or i < reach.get(shift, 0):
+            continue  # the words have an equal or alike place already
         for s, e in _regions(a, b, i, shift, similarity):
-            if e - s < PARAGRAPH or any(s >= s0 and e <= e0 and t0 <= s - shift < f0 for s0, e0, t0, f0, _, _ in out[-8:]):
+            reach[shift] = max(reach.get(shift, 0), e)
+            if e - s < PARAGRAPH:
                 continue
             s, e, t, f = _carried_on(a, b, (s, e, s - shift, e - shift), similarity)
-            back = _carried_on(a[::-1], b[::-1], (len(a) - e, len(a) - s, len(b) - f, len(b) - t), similarity)
-            out.append((len(a) - back[1], e, len(b) - back[3], f, i, j))
-    return [(s, e, i, j) for s, e, _, _, i, j in out]
+            n, m = len(a.words), len(b.words)
+            back = _carried_on(a.back(), b.back(), (n - e, n - s, m - f, m - t), similarity)
+            s = n - back[1]
+            out.append((s, e, i, j))
+            if s <= max(done, i) and e - s >= RUN:
+                done = max(done, e)
+    return out
 
 
 def _spans(pairs: DataFrame, id_type: T.DataType, similarity: float) -> DataFrame:
@@ -370,6 +411,7 @@ def _spans(pairs: DataFrame, id_type: T.DataType, similarity: float) -> DataFram
             for part in slices(batch, "text", 1 << 20):
                 cols = {name: part.column(i) for i, name in enumerate(part.schema.names)}
                 mine, its = words_of(cols["text"]), words_of(cols["head_text"])
+                grams, head_grams = (_run_hashes(w.hashes, SHINGLE) if len(w.hashes) >= SHINGLE else w.hashes[:0] for w in (mine, its))
                 chars = np.concatenate([[0], np.cumsum((mine.data & 0xC0) != 0x80)])
                 _, offsets = text_bytes(cols["text"])
                 counts = pc.list_value_length(cols["places"]).to_numpy(zero_copy_only=False)
@@ -379,8 +421,10 @@ def _spans(pairs: DataFrame, id_type: T.DataType, similarity: float) -> DataFram
                 for r in range(part.num_rows):
                     met = np.unique(both[at[r]:at[r + 1]])
                     base, stop = mine.first[r], mine.first[r + 1]
-                    for a, b, i, j in align(mine.hashes[base:stop], its.hashes[its.first[r]:its.first[r + 1]],
-                                            list(zip((met >> 32).tolist(), (met & 0xFFFFFFFF).tolist())), similarity):
+                    first, last = its.first[r], its.first[r + 1]
+                    one = Text(mine.hashes[base:stop], grams[base:max(base, stop - SHINGLE + 1)])
+                    two = Text(its.hashes[first:last], head_grams[first:max(first, last - SHINGLE + 1)])
+                    for a, b, i, j in align(one, two, list(zip((met >> 32).tolist(), (met & 0xFFFFFFFF).tolist())), similarity):
                         end = mine.starts[base + b] if base + b < stop else offsets[r + 1]
                         found.append((r, a, b, chars[mine.starts[base + a]] - chars[offsets[r]], chars[end] - chars[offsets[r]], i, j))
                 r, a, b, start, end, i, j = (pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * 7))
