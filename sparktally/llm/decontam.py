@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktally.llm.arrow import plain, schema_of
+from sparktally.llm.arrow import discard, plain, schema_of, stored
 from sparktally.llm.fmindex import FMIndex
 from sparktally.llm.words import NON_WORD, Words, slices, words_of
 
@@ -75,14 +75,12 @@ class Block:
         return back[index.locate(rows)], np.repeat(np.arange(len(hits)), hits)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list]:
+def _items(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """(item, text) with a text, and the number of blocks they make."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where(
         "item IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_bytes)
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        yield [tuple(r) for r in part.collect()]
+    return items, max(1, -(-size // block_bytes))
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
@@ -95,7 +93,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     and empty texts have no words; a null or empty item has no window and an item without
     an id is left out; repeated items count once. Repeated rows get a row each, a null
     doc_id stays null. Empty tables give no rows, or no hits. Extra columns are ignored.
-    Reads the benchmark while it is being planned.
+    Very long texts are searched whole. Reads the benchmark while it is being planned; each block but the last is a pass whose result is
+    written to the shared folder.
     """
     src = plain(docs, doc_id, text, *carry)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -106,9 +105,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         doc_id, text, *carry, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
         F.array().cast(T.ArrayType(span)).alias("spans"), F.array().cast("array<string>").alias("items"))
     spark = docs.sparkSession
-    for items in [*_blocks(benchmark, item_id, item_text, block_bytes)] or [[]]:
-        block = spark.sparkContext.broadcast(Block(items, window))
-        out = out.mapInArrow(_scan(block, text, arrow, window), schema)
+    items, blocks = _items(benchmark, item_id, item_text, block_bytes)
+    for number in range(blocks):  # one block at a time on the driver, and in the tasks
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number)
+        block = spark.sparkContext.broadcast(Block([tuple(r) for r in part.collect()], window))
+        before, out = out, out.mapInArrow(_scan(block, text, arrow, window), schema)
+        if number + 1 < blocks:
+            out = stored(out, "hits")
+            discard(before)
+            block.unpersist()
     return out.drop(text)
 
 

@@ -33,8 +33,6 @@ PERCENT = 85
 BANDS, ROWS = 32, 8  # a link at 0.85 shares no band with probability 3.8e-5
 #: Bits of the parity sketch.
 PARITY = 1024
-#: Of one bit per place, those that may differ: at 0.85 a link exceeds it with probability below 1e-6 (five deviations).
-MOST_BITS = 40
 _STEP = np.uint64(0xD1342543DE82EF95)
 _LOW = np.uint64(0xFFFFFFFF)
 _NONE = np.uint64(2**64 - 1)
@@ -92,11 +90,6 @@ def band_keys(table: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return folded
 
 
-def place_bits(table: np.ndarray) -> np.ndarray:
-    """(documents, 4) words of 64 bits, one for each place: equal at places that agree, else by chance."""
-    return np.packbits((mix(table) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
-
-
 def parity_bits(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, PARITY / 64) words: for each bit whether an odd number of elements hashes to it.
 
@@ -112,7 +105,7 @@ def _sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, text_hash, n_shingles, two order-free sums that identify the set, band keys."""
     schema, arrow = schema_of(
         docs, doc_id, "text_hash", n_shingles=T.LongType(), set_a=T.LongType(), set_b=T.LongType(), bands=T.ArrayType(T.LongType()),
-        bits=T.ArrayType(T.LongType()), parity=T.ArrayType(T.LongType()))
+        parity=T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,12 +119,12 @@ def _sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                                            return_index=True, return_inverse=True)
                 chosen = [sets[i] for i in filled[first]]
                 table, back = signatures(chosen), back.reshape(-1)
-                keys, bits, parity = (x[back].view(np.int64) for x in (band_keys(table), place_bits(table), parity_bits(chosen)))
+                keys, parity = (x[back].view(np.int64) for x in (band_keys(table), parity_bits(chosen)))
                 ends = np.concatenate([[0], np.cumsum(n > 0)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(2), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
                     *[pa.ListArray.from_arrays(pa.array(ends * x.shape[1]), pa.array(x.reshape(-1)))
-                      for x in (keys, bits, parity)],
+                      for x in (keys, parity)],
                 ], schema=arrow)
 
     return docs.mapInArrow(run, schema)
@@ -180,13 +173,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     key = ["n_shingles", "set_a", "set_b"]
     classes = stored(
         sketch.where("n_shingles > 0").groupBy(key).agg(
-            F.min(doc_id).alias("least"), *[F.first(c).alias(c) for c in ("bands", "bits", "parity")]), "classes")
+            F.min(doc_id).alias("least"), *[F.first(c).alias(c) for c in ("bands", "parity")]), "classes")
     numbered = _numbered(classes)
     entries = numbered.where("id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
     shared = stored(
         entries.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head != tail"), "buckets")
     found = stored(entries.join(shared.select("bucket", "head"), "bucket"), "entries")
-    members = stored(found.join(numbered.select("id", "n_shingles", "bits", "parity"), "id"), "members")
+    members = stored(found.join(numbered.select("id", "n_shingles", "parity"), "id"), "members")
     wanted = stored(found.select("id").distinct(), "candidates")
     sets = stored(_class_sets(src, sketch, numbered, wanted, doc_id, text, key), "sets")
     discard(shared, found, wanted)
@@ -232,7 +225,7 @@ def _class_sets(src: DataFrame, sketch: DataFrame, numbered: DataFrame, wanted:
         F.first("shingles").alias("shingles"))
 
 
-_TRAITS = ("n_shingles", "bits", "parity")
+_TRAITS = ("n_shingles", "parity")
 
 
 def _differing(name: str, words: int):
@@ -242,7 +235,7 @@ def _differing(name: str, words: int):
 
 
 def _may_link(percent: int):
-    """False for pairs that cannot be linked: by sizes and parity for certain, by places but for one in a million.
+    """False for pairs that, by their sizes and parities, cannot be linked.
 
     Linked sets differ in at most (100 - percent) / (100 + percent) of their summed sizes.
     """
@@ -250,7 +243,6 @@ def _may_link(percent: int):
     return (
         (100 * F.least(a, b) >= percent * F.greatest(a, b))
         & (_differing("parity", PARITY // 64) * (100 + percent) <= (100 - percent) * (a + b))
-        & (_differing("bits", BANDS * ROWS // 64) <= MOST_BITS)
     )
 
 

@@ -82,3 +82,12 @@ def test_odd_rows(spark, odd, nothing):
     assert by[1].n_words == by[2].n_words == by[12].n_words == 0 and by[11].n_words == 1
     assert decontam.benchmark_hits(nothing, bench).collect() == []
     assert all(r.n_hit == 0 for r in decontam.benchmark_hits(odd, bench.limit(0)).collect())
+
+
+def test_blocks_of_the_benchmark_give_the_same(spark):
+    rows = [(i, " ".join(f"w{(7 * i + 3 * k) % 50}" for k in range(60))) for i in range(40)]
+    items = [(i, " ".join(f"w{(5 * i + 3 * k) % 50}" for k in range(9 + i))) for i in range(20)] + [(30, None), (None, "w1 w2"), (31, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = ([tuple(r) for r in decontam.benchmark_hits(frame(spark, rows), bench, block_bytes=size).orderBy("doc_id").collect()]
+                    for size in (1 << 20, 150))
+    assert whole == parts and any(r[2] for r in whole)

@@ -82,3 +82,10 @@ def test_components_of_paths_and_stars(spark, n):
     got = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, **{1000 + i: 1000 for i in range(n)}}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
+def test_rows_of_one_id_with_different_texts_are_judged_each_by_its_own(spark):
+    one, other = words(1, 60), words(2, 60)
+    rows = [(2, one), (3, one + " more"), (3, other), (-7, other + " end"), (3, words(4, 50)), (9, words(4, 50))]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(2, 56, 2, True), (3, 57, 2, False), (3, 56, -7, False), (-7, 57, -7, True), (3, 46, 3, True), (9, 46, 3, False)}
