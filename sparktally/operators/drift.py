@@ -36,15 +36,15 @@ def ngram_counts(df: DataFrame, text: str, weights: dict[str, Column] | None = N
     return counts.join(vocabulary.select("gram"), "gram", "left_semi")
 
 
-def ngram_profile(df: DataFrame, text: str, is_train: Column) -> DataFrame:
+def ngram_profile(df: DataFrame, text: str, is_train: Column, low: int = 1, high: int = 5) -> DataFrame:
     """gram, n_train, n_prod for both populations in one pass."""
     train = F.coalesce(is_train, F.lit(False))
-    return ngram_counts(df, text, {"n_train": train.cast("int"), "n_prod": (~train).cast("int")})
+    return ngram_counts(df, text, {"n_train": train.cast("int"), "n_prod": (~train).cast("int")}, low=low, high=high)
 
 
-def stored_profile(df: DataFrame, text: str, is_train: Column) -> DataFrame:
+def stored_profile(df: DataFrame, text: str, is_train: Column, low: int = 1, high: int = 5) -> DataFrame:
     """``ngram_profile``, written once for all that reads it."""
-    return cut_lineage(ngram_profile(df, text, is_train), "profile")
+    return cut_lineage(ngram_profile(df, text, is_train, low, high), "profile")
 
 
 def vocabulary(profile: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -106,16 +106,18 @@ def ks_two_sample(df: DataFrame, value: str, is_first: Column) -> DataFrame:
     stat = totals.agg(
         F.max(gap).alias("ks_stat"), F.max("all_a").alias("n_first"), F.max("all_b").alias("n_second")
     )
-    scale = F.col("n_first") * F.col("n_second") / (F.col("n_first") + F.col("n_second"))
-    lam = F.sqrt(scale) * F.col("ks_stat")
+    return stat.withColumn("ks_pvalue", _ks_pvalue(F.col("ks_stat"), F.col("n_first"), F.col("n_second")))
+
+
+def _ks_pvalue(stat: Column, n: Column, m: Column) -> Column:
+    lam = F.sqrt(n * m / (n + m)) * stat
 
     def term(total: Column, j: Column) -> Column:
         sign = F.when(j % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0))
         return total + sign * F.exp(F.lit(-2.0) * j * j * lam * lam)
 
     tail = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), term)
-    p_value = F.when(lam < 0.04, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
-    return stat.withColumn("ks_pvalue", p_value)
+    return F.when(lam < 0.04, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 
 def histogram(df: DataFrame, value: str, is_train: Column, bins: int = 30) -> DataFrame:
@@ -159,60 +161,88 @@ def largest_shift(train_mix: DataFrame, prod_mix: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- summary
 
-def profile_summary(profile: DataFrame, k: int = TOP_K, max_features: int = MAX_FEATURES) -> DataFrame:
-    """One row: psi_topk, oov_rate of a stored profile (gram, n_train, n_prod)."""
-    grams = profile.where("n_train > 0")
+def profile_summary(profile: DataFrame, k: int = TOP_K, max_features: int = MAX_FEATURES,
+                    vocabulary: DataFrame | None = None) -> DataFrame:
+    """One row: psi_topk, oov_rate of a stored profile (gram, n_train, n_prod).
 
-    def marked(n: int) -> Column:
-        return (F.col("n_train") > 0) & F.coalesce(among_most_frequent(grams, "n_train", "gram", n), F.lit(False))
-
-    marks = profile.select("n_train", "n_prod", marked(k).alias("_top"), marked(max_features).alias("_in"))
+    The vocabulary is that of the training counts, or the grams of ``vocabulary``, to which the top grams are then confined.
+    """
+    if vocabulary is None:
+        known = profile
+        inside = (F.col("n_train") > 0) & F.coalesce(
+            among_most_frequent(profile.where("n_train > 0"), "n_train", "gram", max_features), F.lit(False))
+    else:
+        listed = vocabulary.select("gram", F.lit(True).alias("_known"))
+        profile = cut_lineage(profile.join(listed, "gram", "left"), "profile")
+        inside = F.coalesce("_known", F.lit(False))
+        known = profile.where(inside)
+    best = (F.col("n_train") > 0) & F.coalesce(
+        among_most_frequent(known.where("n_train > 0"), "n_train", "gram", k), F.lit(False))
+    marks = profile.select("n_train", "n_prod", (inside & best).alias("_top"), inside.alias("_in"))
     totals = marks.agg(
         F.sum(F.when(F.col("_top"), F.col("n_train"))).cast("double").alias("p"),
         F.sum(F.when(F.col("_top"), F.col("n_prod"))).cast("double").alias("q"),
         F.sum(F.when(F.col("_in"), F.col("n_prod"))).alias("known"), F.sum("n_prod").alias("prod")).first()
     term = _psi_term(F.col("n_train"), F.col("n_prod"), F.lit(totals["p"]).cast("double"), F.lit(totals["q"]).cast("double"))
-    known, prod = F.lit(totals["known"]).cast("bigint"), F.lit(totals["prod"]).cast("bigint")
+    held = totals["known"] if vocabulary is None else totals["known"] or 0
+    found, prod = F.lit(held).cast("bigint"), F.lit(totals["prod"]).cast("bigint")
     return marks.agg(
         F.coalesce(F.sum(F.when(F.col("_top"), term)), F.lit(0.0)).alias("psi_topk"),
-    ).select("psi_topk", F.coalesce(1.0 - known / F.nullif(prod, F.lit(0)), F.lit(0.0)).alias("oov_rate"))
+    ).select("psi_topk", F.coalesce(1.0 - found / F.nullif(prod, F.lit(0)), F.lit(0.0)).alias("oov_rate"))
+
+
+_SHIFT = "struct<class:string,train:double,prod:double,abs_delta:double>"
 
 
 def drift_summary(df: DataFrame, is_train: Column, text: str = "model_text", label: str | None = "category_label",
                   conf: str | None = None, k: int = TOP_K, max_features: int = MAX_FEATURES,
-                  psi_alert: float = 0.20, shift_alert: float = 0.15, digits: int | None = 4) -> DataFrame:
+                  psi_alert: float = 0.20, shift_alert: float = 0.15, digits: int | None = 4, model=None) -> DataFrame:
     """One row: psi_topk, oov_rate, KS of the confidence, largest shift, alerts, thresholds.
 
     The n-gram profile is counted and written once. Thresholds on its counts mark the vocabulary and the
     top grams, and all figures are sums over the profile, so no task holds or orders a vocabulary.
+
+    With a ``model`` (``models.TextModel``) the vocabulary and the sizes of the grams are the model's own, and unless ``conf`` names a
+    column, one prediction of all rows gives the confidences and, where there is no ``label``, the categories.
     """
     train = F.coalesce(is_train, F.lit(False))
-    out = profile_summary(stored_profile(df, text, train), k, max_features)
+    if model is None:
+        out = profile_summary(stored_profile(df, text, train), k, max_features)
+    else:
+        low, high = model.metadata.get("ngram_range", (1, 5))
+        out = profile_summary(stored_profile(df, text, train, low, high), k, vocabulary=model.vocabulary(df.sparkSession))
+        if conf is None:
+            conf = "model_pmax"
+            wanted = list(dict.fromkeys([conf, label or "model_category"]))
+            df = cut_lineage(model.predict(df.withColumn("_train", train)).select("_train", *wanted), "predicted")
+            train, label = F.col("_train"), label or "model_category"
 
     if conf is not None:
         ks = ks_two_sample(df, conf, train)
         ks = ks.select(F.struct("ks_stat", "ks_pvalue")).scalar()
         out = out.withColumn("_ks", ks)
-        ks_stat, ks_p = F.col("_ks.ks_stat"), F.col("_ks.ks_pvalue")
     else:
-        ks_stat, ks_p = F.lit(None).cast("double"), F.lit(None).cast("double")
-
-    shift_type = "struct<class:string,train:double,prod:double,abs_delta:double>"
+        out = out.withColumn("_ks", F.lit(None).cast("struct<ks_stat:double,ks_pvalue:double>"))
     if label is not None:
         shift = _shift_between(df, label, train).select(F.struct("class", "train", "prod", "abs_delta")).scalar()
         out = out.withColumn("_shift", shift)
     else:
-        out = out.withColumn("_shift", F.lit(None).cast(shift_type))
+        out = out.withColumn("_shift", F.lit(None).cast(_SHIFT))
+    return out.select(*report_columns(psi_alert, shift_alert, digits))
+
+
+def report_columns(psi_alert: float = 0.20, shift_alert: float = 0.15, digits: int | None = 4) -> list[Column]:
+    """The report from psi_topk, oov_rate, ``_ks`` (ks_stat, ks_pvalue) and ``_shift`` (class, train, prod, abs_delta)."""
 
     def rounded(c: Column) -> Column:
         return c if digits is None else F.round(c, digits)
 
     moved = F.coalesce(F.col("_shift.abs_delta"), F.lit(0.0))
-    return out.select(
+    return [
         rounded(F.col("psi_topk")).alias("psi_topk"),
         rounded(F.col("oov_rate")).alias("oov_rate"),
-        rounded(ks_stat).alias("ks_confidence_stat"),
-        ks_p.alias("ks_confidence_pvalue"),
+        rounded(F.col("_ks.ks_stat")).alias("ks_confidence_stat"),
+        F.col("_ks.ks_pvalue").alias("ks_confidence_pvalue"),
         F.when(moved > 0, F.struct(
             F.col("_shift.class").alias("class"), rounded(F.col("_shift.train")).alias("train"),
             rounded(F.col("_shift.prod")).alias("prod"), rounded(moved).alias("abs_delta"),
@@ -222,7 +252,7 @@ def drift_summary(df: DataFrame, is_train: Column, text: str = "model_text", lab
             (moved > shift_alert).alias("label_shift_gt_threshold"),
         ).alias("alerts"),
         F.struct(F.lit(psi_alert).alias("psi_alert"), F.lit(shift_alert).alias("shift_alert")).alias("thresholds"),
-    )
+    ]
 
 
 def _shift_between(df: DataFrame, label: str, train: Column) -> DataFrame:

@@ -48,7 +48,12 @@ def image_stats(df: DataFrame, image: str = "image") -> DataFrame:
 
 
 def dataset_mean_std(df: DataFrame, k: int = 64, image: str = "image") -> DataFrame:
-    """Mean of the per-image channel means and deviations over at most ``k`` drawn images."""
-    drawn = df.orderBy(F.md5(F.col(f"{image}.origin")), f"{image}.origin").limit(k)
-    return image_stats(drawn, image).agg(
+    """Mean of the per-image channel means and deviations over at most ``k`` drawn images.
+
+    Origins alone are drawn (an origin names one image); the images themselves are picked where they are.
+    """
+    origin = F.col(f"{image}.origin")
+    drawn = df.select(origin.alias("_drawn")).orderBy(F.md5("_drawn"), "_drawn").limit(k)
+    picked = df.join(F.broadcast(drawn), origin.eqNullSafe(F.col("_drawn")), "left_semi")  # k short names
+    return image_stats(picked, image).agg(
         F.count(F.lit(1)).alias("images"), *[F.avg(s).alias(s) for s in STATS if "_" in s])

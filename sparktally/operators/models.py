@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import (
     IDF, PCA, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer,
-    StandardScaler, StringIndexer, Word2Vec,
+    StandardScaler, StringIndexer, VectorSlicer, Word2Vec,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -22,11 +22,17 @@ from pyspark.sql import functions as F
 from sparktally.functions.text import BLANKS_TO_ONE, char_ngrams
 from sparktally.functions.vectors import as_doubles
 from sparktally.operators.features import MAX_FEATURES, stratified_split
+from sparktally.operators.frequent import most_frequent
+from sparktally.session import cut_lineage
 
 #: The blank pattern with its backslashes doubled for SQL text.
 BLANKS_TO_ONE_SQL = BLANKS_TO_ONE.replace("\\", "\\\\")
 
 TEXT, LABEL, FEATURES = "model_text", "category_label", "features"
+#: Features that trees are grown on, picked by chi-square.
+TREE_FEATURES = 2_000
+#: Bins of a score for isotonic calibration.
+SCORE_BINS = 4_096
 
 
 def _gram_stage(text: str, low: int, high: int) -> SQLTransformer:
@@ -55,6 +61,36 @@ def fit_text_features(df: DataFrame, text: str = TEXT, low: int = 1, high: int =
     return PipelineModel([grams, counter, weights, Normalizer(p=2.0, inputCol="weighted", outputCol=FEATURES)])
 
 
+def linear(strength: float = 1e-4, rounds: int = 100) -> LogisticRegression:
+    """Multinomial logistic regression on all features, which stay sparse."""
+    return LogisticRegression(featuresCol=FEATURES, labelCol="label", family="multinomial", regParam=strength, maxIter=rounds)
+
+
+def chi_square(df: DataFrame, features: str = FEATURES, label: str = "label") -> DataFrame:
+    """feature, chi2: how unevenly the weight of each feature falls on the classes.
+
+    Observed are the sums of a feature's values by class, expected its whole sum times the class's share of rows.
+    All sums are of entries that are there, combined before they travel; a feature without any has no row.
+    """
+    entries = df.select(label, F.explode(F.arrays_zip(
+        F.unwrap_udt(features)["indices"].alias("i"), F.unwrap_udt(features)["values"].alias("v"))).alias("e"))
+    observed = entries.groupBy(F.col("e.i").alias("feature"), label).agg(F.sum("e.v").alias("o"))
+    shares = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    total = shares.agg(F.sum("n")).scalar()
+    share = shares.select(label, (F.col("n") / total).alias("share"))  # one row per class
+    # sum over classes of (o - e)^2 / e, e = share * whole: sum of o^2 / (share * whole), less whole
+    parts = observed.join(share, label).groupBy("feature").agg(
+        F.sum("o").alias("whole"), F.sum(F.col("o") * F.col("o") / F.col("share")).alias("squares"))
+    return parts.select("feature", (F.col("squares") / F.col("whole") - F.col("whole")).alias("chi2"))
+
+
+def best_features(df: DataFrame, k: int = TREE_FEATURES, features: str = FEATURES, label: str = "label") -> list[int]:
+    """The ``k`` features of largest chi-square, in order of their numbers; equal ones go by number."""
+    scored = cut_lineage(chi_square(df, features, label).select(
+        F.round(F.greatest(F.col("chi2"), F.lit(0.0)) * 1e6).cast("bigint").alias("score"), F.lpad(F.col("feature").cast("string"), 12, "0").alias("name")), "chi2")
+    return sorted(int(r["name"]) for r in most_frequent(scored, "score", "name", k).select("name").collect())
+
+
 def forest(trees: int = 400, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
     """Random forest; 30 is the deepest tree that Spark grows."""
     return RandomForestClassifier(featuresCol=FEATURES, labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
@@ -111,6 +147,11 @@ class TextModel:
         rate = F.coalesce(1.0 - seen / F.nullif(F.size("_grams"), F.lit(0)), F.lit(1.0))
         return copy.transform(split).withColumn("model_oov", rate).drop("_grams", "_seen")
 
+    def vocabulary(self, spark: SparkSession) -> DataFrame:
+        """gram: the n-grams that the model knows, as many as it was fitted with at most."""
+        counter = next(s for s in self.features.stages if isinstance(s, CountVectorizerModel))
+        return spark.createDataFrame([(g,) for g in counter.vocabulary], "gram string")
+
     def router_model(self) -> Callable[[DataFrame], DataFrame]:
         """The form that the router expects."""
         return lambda df: self.predict(self.with_oov(df)).drop("proba")
@@ -151,15 +192,26 @@ def _normalized(values: Column) -> Column:
 
 def train(df: DataFrame, classifier=None, text: str = TEXT, label: str = LABEL, low: int = 1, high: int = 5,
           max_features: int = MAX_FEATURES, calibrate: str = "none", key: str = "tx_id",
-          metadata: dict | None = None) -> TextModel:
-    """Fit features, classifier and, if asked for, calibrators on labelled rows."""
+          metadata: dict | None = None, tree_features: int = TREE_FEATURES) -> TextModel:
+    """Fit features, classifier and, if asked for, calibrators on labelled rows.
+
+    Without a ``classifier`` it is ``linear()``, which takes all features. Any other gets the ``tree_features`` that tell the
+    classes apart best, as trees look at every feature for every node.
+    """
     if calibrate not in ("none", "sigmoid", "isotonic"):
         raise ValueError("calibrate is 'none', 'sigmoid' or 'isotonic'")
-    classifier = classifier or forest()
+    classifier = classifier or linear()
     features = fit_text_features(df.select(text), text, low, high, max_features)
     indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(df)
     labels = list(indexer.labels)
     ready = indexer.transform(features.transform(df)).select(key, "label", FEATURES).persist()
+    if not isinstance(classifier, LogisticRegression) and len(features.stages[1].vocabulary) > tree_features:
+        chosen = best_features(ready, tree_features)
+        slicer = VectorSlicer(inputCol="_all", outputCol=FEATURES, indices=chosen)
+        features.stages[-1].setOutputCol("_all")
+        features = PipelineModel([*features.stages, slicer])
+        whole, ready = ready, slicer.transform(ready.withColumnRenamed(FEATURES, "_all")).select(key, "label", FEATURES).persist()
+        whole.unpersist()
     try:
         calibrators = _fit_calibrators(ready, classifier, labels, calibrate, key) if calibrate != "none" else []
         fitted = classifier.fit(ready)
@@ -201,7 +253,10 @@ def _fit_one(scored: DataFrame, index: int, method: str):
         array_to_vector(F.array(score)).alias("score_vector"))
     if method == "sigmoid":
         return LogisticRegression(featuresCol="score_vector", labelCol="target").fit(rows)
-    return IsotonicRegression(featuresCol="score_vector", labelCol="target").fit(rows)
+    # neighbouring violators are pooled over bins, so however many rows there are, a bounded number is put in order
+    bins = rows.groupBy(F.least(F.floor(F.col("score") * SCORE_BINS), F.lit(SCORE_BINS - 1)).alias("bin")).agg(
+        F.avg("target").alias("target"), F.avg("score").alias("score"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="score", labelCol="target", weightCol="weight").fit(bins)
 
 
 def _calibrated(df: DataFrame, calibrators: list) -> DataFrame:

@@ -6,7 +6,7 @@ from sparktally.functions import text as T
 from sparktally.operators import rules as R
 from sparktally.plans import sqltext as S
 from sparktally.plans.catalogue.text import PREPARED
-from sparktally.plans.fixtures import WITH_TX, transactions
+from sparktally.plans.fixtures import WITH_TX, table, transactions
 from sparktally.plans.registry import query
 
 #: Rule outcome of every prepared transaction, as SQL.
@@ -27,11 +27,11 @@ def category_from_mcc(spark, sf):
 
 
 @query("keyword_category", f"""{RULED}
-SELECT tx_id, {S.keyword_category("kw")} AS category, concat('keyword:', kw) AS reason
-FROM ruled WHERE kw IS NOT NULL""")
+SELECT tx_id, {S.keyword_category("kw")} AS category, CASE WHEN kw IS NOT NULL THEN concat('keyword:', kw) END AS reason
+FROM ruled""")
 def keyword_category(spark, sf):
     tx = transactions(spark, sf).select("tx_id", T.normalize_label("raw_label").alias("normalized"))
-    hits = tx.select("tx_id", R.keyword_category("normalized").alias("v")).where("v IS NOT NULL")
+    hits = tx.select("tx_id", R.keyword_category("normalized").alias("v"))
     return hits.select("tx_id", "v.category", "v.reason")
 
 
@@ -65,3 +65,22 @@ def rule_category_totals(spark, sf):
         F.count("*").alias("n"),
         F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount"),
     )
+
+
+#: One keyword per part, a piece of its number; texts that hold several of them.
+_LARGE_RULES = """
+WITH rules AS (SELECT p_partkey AS priority, CAST(p_partkey * 7 % 100003 AS VARCHAR) AS keyword, p_brand AS category FROM part),
+texts AS (SELECT o_orderkey AS tx_id, concat('n', CAST(o_orderkey * 13 % 1000003 AS VARCHAR), ' c', CAST(o_custkey AS VARCHAR)) AS t FROM orders)"""
+
+
+@query("keyword_category_large", f"""{_LARGE_RULES}
+SELECT tx_id, r.category AS kw_category, CASE WHEN r.keyword IS NOT NULL THEN concat('keyword:', r.keyword) END AS kw_reason
+FROM texts LEFT JOIN (SELECT t, min(priority) AS priority FROM (SELECT DISTINCT t FROM texts) JOIN rules ON contains(t, keyword) GROUP BY t) b USING (t)
+LEFT JOIN rules r ON r.priority = b.priority""")
+def keyword_category_large(spark, sf):
+    """As many keywords as there are parts, which no list of literals could hold."""
+    rules = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("priority"), (F.col("p_partkey") * 7 % 100003).cast("string").alias("keyword"), F.col("p_brand").alias("category"))
+    texts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("tx_id"), F.concat(
+        F.lit("n"), (F.col("o_orderkey") * 13 % 1000003).cast("string"), F.lit(" c"), F.col("o_custkey").cast("string")).alias("t"))
+    return R.keyword_category_table(texts, rules, "t").drop("t")

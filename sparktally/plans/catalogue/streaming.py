@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from sparktally import constants as K
 from sparktally.operators import drift as D
+from sparktally.plans import sqltext as S
 from sparktally.plans.catalogue.drift import PROFILE, prepared, train
 from sparktally.plans.catalogue.routing import _CLASSIFY, _CLASSIFY_LABELS
+from sparktally.plans.catalogue.text import PREPARED
 from sparktally.plans.fixtures import LABEL_SEED_SQL, TX_SQL, gazetteer, table
 from sparktally.plans.registry import query
-from sparktally.session import scratch_path
+from sparktally.session import cut_lineage, scratch_path
 from sparktally.streaming import router as ST
 
 
@@ -90,3 +92,75 @@ def drift_stream(spark, sf):
     report = spark.read.parquet(f"{reports}/batch=1")
     return report.select("batch_id", "n_grams", F.round("psi_topk", 6).alias("psi_topk"),
                          F.round("oov_rate", 6).alias("oov_rate"), "alert")
+
+
+@query("metrics_stream_late_rows", """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, COUNT(*) AS predict_requests_total,
+  COUNT(*) FILTER (WHERE event_type = 'error') AS fallback_total,
+  COUNT(*) FILTER (WHERE value >= 0.6) / CAST(COUNT(*) AS DOUBLE) AS coverage FROM events GROUP BY 1""")
+def metrics_stream_late_rows(spark, sf):
+    """Append mode: the third file repeats rows of the first days, whose windows the watermark has closed, so they change nothing.
+
+    Spark drops late rows by the watermark of the batch before the last. A row far ahead in the fourth file closes
+    all windows but its own.
+    """
+    events = table(spark, sf, "events").select(
+        "ts", F.col("value").alias("confidence"),
+        F.when(F.col("event_type") == "error", "model>llm").otherwise("rules").alias("router"))
+    last = events.agg(F.max("ts")).first()[0]
+    cut = F.date_trunc("day", F.lit(last)) - F.expr("INTERVAL 1 DAY")
+    early, rest = events.where(F.col("ts") < cut), events.where(F.col("ts") >= cut)
+    late = early.where(F.col("ts") < F.lit(last) - F.expr("INTERVAL 5 DAYS")).sample(0.2, seed=1)
+    marker = events.limit(1).select((F.lit(last) + F.expr("INTERVAL 3 DAYS")).alias("ts"), "confidence", "router")
+    landing, path = scratch_path(spark, "landing"), scratch_path(spark, "metrics")
+    for part in (early, rest, late, marker):  # one file each, read in this order
+        part.coalesce(1).write.mode("append").parquet(landing)
+    stream = ST.event_stream(spark, landing, events.schema, max_files=1)
+    windows = ST.metrics_stream(stream, "ts", "1 hour", "10 minutes")
+    ST.run_available(windows, path, scratch_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.schema(windows.schema).parquet(path).select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+        "predict_requests_total", "fallback_total", "coverage")
+
+
+@query("drift_stream_windows", f"""{PREPARED},
+p AS (SELECT *, CAST(floor(date_diff('day', DATE '1970-01-01', tx_date) / 365) AS BIGINT) AS w FROM prepared WHERE split = 'prod'),
+tg AS (SELECT gram, COUNT(*) AS n_train FROM (SELECT unnest({S.ngrams("model_text")}) AS gram FROM prepared WHERE split = 'train') GROUP BY 1),
+vocab AS (SELECT * FROM tg ORDER BY n_train DESC, gram LIMIT 200000),
+top AS (SELECT * FROM tg ORDER BY n_train DESC, gram LIMIT 500),
+wg AS (SELECT w, gram, COUNT(*) AS n FROM (SELECT w, unnest({S.ngrams("model_text")}) AS gram FROM p) GROUP BY 1, 2),
+ws AS (SELECT DISTINCT w FROM p),
+tw AS (SELECT w, gram, n_train, coalesce(n, 0) AS n FROM ws CROSS JOIN top LEFT JOIN wg USING (w, gram)),
+sh AS (SELECT w, n_train / (SUM(n_train) OVER (PARTITION BY w) + 1e-12) AS a, n / (SUM(n) OVER (PARTITION BY w) + 1e-12) AS b FROM tw),
+psi AS (SELECT w, SUM((b - a) * ln((b + 1e-12) / (a + 1e-12))) AS psi FROM sh GROUP BY w),
+oov AS (SELECT w, SUM(CASE WHEN v.gram IS NULL THEN n ELSE 0 END) / CAST(SUM(n) AS DOUBLE) AS oov FROM wg LEFT JOIN vocab v USING (gram) GROUP BY w),
+tm AS (SELECT category_label AS class, COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS train FROM prepared WHERE split = 'train' GROUP BY 1),
+wm AS (SELECT w, category_label AS class, COUNT(*) / CAST(SUM(COUNT(*)) OVER (PARTITION BY w) AS DOUBLE) AS prod FROM p GROUP BY 1, 2),
+mv AS (SELECT w, class, abs(coalesce(prod, 0) - coalesce(train, 0)) AS d FROM (SELECT w, class, train FROM ws CROSS JOIN tm) FULL OUTER JOIN wm USING (w, class)),
+sf AS (SELECT w, class, d FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY d DESC, class) AS r FROM mv) WHERE r = 1),
+vs AS (SELECT DISTINCT conf AS v FROM prepared),
+tc AS (SELECT v, (SELECT COUNT(*) FROM prepared WHERE split = 'train' AND conf <= v) / (SELECT CAST(COUNT(*) AS DOUBLE) FROM prepared WHERE split = 'train') AS f FROM vs),
+wc AS (SELECT w, v, COUNT(*) FILTER (WHERE conf <= v) / CAST(COUNT(*) AS DOUBLE) AS g FROM p CROSS JOIN vs GROUP BY 1, 2),
+ks AS (SELECT w, MAX(abs(f - g)) AS ks FROM wc JOIN tc USING (v) GROUP BY w)
+SELECT strftime(DATE '1970-01-01' + CAST(w * 365 AS INTEGER), '%Y-%m-%d') AS window_start, ROUND(psi, 4) AS psi_topk, ROUND(oov, 4) AS oov_rate,
+  ROUND(ks, 4) AS ks_confidence_stat, class AS shift_class, ROUND(d, 4) AS shift_abs_delta, psi > 0.2 OR d > 0.15 AS alert
+FROM psi JOIN oov USING (w) JOIN ks USING (w) JOIN sf USING (w)""")
+def drift_stream_windows(spark, sf):
+    """A drift report per 365 days of the production rows, in order of time from four files; a row far ahead closes the last window."""
+    rows = prepared(spark, sf).select("tx_date", "model_text", "category_label", "conf", "split")
+    known = ST.training_side(rows.where(train()), "model_text", "category_label", "conf")
+    prod = cut_lineage(rows.where(~train()).select(F.col("tx_date").cast("timestamp").alias("ts"), "model_text", "category_label", "conf"), "prod")
+    first, last = prod.agg(F.min("ts"), F.max("ts")).first()
+    landing, reports = scratch_path(spark, "landing"), scratch_path(spark, "reports")
+    step = (last - first) / 4
+    for i in range(4):
+        part = prod.where(F.col("ts") >= F.lit(first + i * step))
+        (part if i == 3 else part.where(F.col("ts") < F.lit(first + (i + 1) * step))).coalesce(1).write.mode("append").parquet(landing)
+    prod.limit(1).withColumn("ts", F.lit(last) + F.expr("INTERVAL 800 DAYS")).coalesce(1).write.mode("append").parquet(landing)
+    stream = ST.event_stream(spark, landing, prod.schema, max_files=1)
+    ST.drift_windows(stream, known, reports, scratch_path(spark, "checkpoint"), "ts", width="365 days", delay="1 day").awaitTermination()
+    found = spark.read.parquet(reports)
+    return found.select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "psi_topk", "oov_rate", "ks_confidence_stat",
+        F.col("largest_label_shift.class").alias("shift_class"), F.col("largest_label_shift.abs_delta").alias("shift_abs_delta"),
+        D.any_alert().alias("alert"))

@@ -46,3 +46,33 @@ def test_streamed_router_answers_alike_beyond_the_shipping_bound(spark, tmp_path
         ST.run_available(routed, out, str(tmp_path / f"cp{bound}")).awaitTermination()
         found.append(sorted(map(str, spark.read.schema(routed.schema).parquet(out).collect())))
     assert found[0] == found[1] and len(found[0]) == 3
+
+
+def test_windowed_drift_keeps_open_windows_only(spark, tmp_path):
+    """One file per day: reports are those of the batch operator, and the state does not grow with the days."""
+    import datetime
+    import random
+
+    rng = random.Random(3)
+    schema = "ts timestamp, model_text string, category_label string, conf double"
+    train = spark.createDataFrame([("abc abd", "x", 0.5), ("abc", "y", 0.25), ("bcd", "x", 0.75)], "model_text string, category_label string, conf double")
+    side = ST.training_side(train, "model_text", "category_label", "conf", k=8)
+    start, rows = datetime.datetime(2024, 1, 1), []
+    for day in range(9):
+        part = [(start + datetime.timedelta(days=day, hours=rng.randint(0, 23)), rng.choice(["abc", "abd x", "zzz", None]), rng.choice(["x", "y", "z", None]),
+                 rng.choice([0.1, 0.5, 0.9, None, float("nan")])) for _ in range(12)]
+        rows += part
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ST.event_stream(spark, str(tmp_path / "in"), schema, max_files=1)
+    query = ST.drift_windows(stream, side, str(tmp_path / "out"), str(tmp_path / "cp"), "ts", width="1 day", delay="1 hour")
+    query.awaitTermination()
+    got = {r.window_start.day: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert sorted(got) == list(range(1, 9))  # the last day is open
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(sizes) < 3 * 60  # grams, labels and confidences of two or three open days
+    for day, r in got.items():
+        mine = spark.createDataFrame([(t, c, v, False) for ts, t, c, v in rows if ts.day == day], "model_text string, category_label string, conf double, tr boolean")
+        both = train.withColumn("tr", F.lit(True)).union(mine)
+        want = D.drift_summary(both, F.col("tr"), conf="conf", k=8).first()
+        for name in ("psi_topk", "oov_rate", "ks_confidence_stat", "largest_label_shift", "alerts"):
+            assert r[name] == want[name], (day, name)
