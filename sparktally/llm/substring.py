@@ -40,7 +40,7 @@ PARAGRAPH = 20
 WINDOW = 31
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 4, 3  # equal paragraphs share all; with one changed word (0.52) one with probability 0.45, and a passage has several
+BANDS, ROWS = 3, 2  # equal paragraphs share all; with one changed word (0.52) one with probability 0.61, and a passage has several
 MIN_WORDS = 50
 #: Words between two equal runs that may be one passage.
 GAP = 12
