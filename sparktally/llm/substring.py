@@ -451,8 +451,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     met = _met(_entries(src, _paragraphs), "met")
     banded = stored(_links(met), "banded")
     named = few(stored(banded.select("doc_id").union(banded.select("head_id")).distinct(), "named"))
-    texts = stored(
-        src.join(named, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text")).distinct(), "texts")
+    texts = stored(src.join(named, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text")), "texts")
+    counts = texts.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if counts[0] > counts[1]:  # whole texts move to find equal rows only where an id repeats
+        rows, texts = texts, stored(texts.distinct(), "texts")
+        discard(rows)
     # equal paragraphs share all bands, so the first band shows all that equal others
     wanted = stored(met.where("shared").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("wanted")), "wanted")
     discard(met, named)
