@@ -173,24 +173,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     key = ["n_shingles", "set_a", "set_b"]
     classes = stored(
         sketch.where("n_shingles > 0").groupBy(key).agg(
-            F.min(doc_id).alias("least"), *[F.first(c).alias(c) for c in ("bands", "parity")]), "classes")
-    numbered = _numbered(classes)
+            F.min(F.when(F.col(doc_id).isNotNull(), F.struct(F.col(doc_id).alias("id"), "text_hash"))).alias("head"),
+            *[F.first(c).alias(c) for c in ("bands", "parity")]).select("*", F.col("head.id").alias("least")), "classes")
+    numbered, clash = _numbered(classes)
     entries = numbered.where("id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
     shared = stored(
         entries.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head != tail"), "buckets")
     found = stored(entries.join(shared.select("bucket", "head"), "bucket"), "entries")
     members = stored(found.join(numbered.select("id", "n_shingles", "parity"), "id"), "members")
     wanted = stored(found.select("id").distinct(), "candidates")
-    sets = stored(_class_sets(src, sketch, numbered, wanted, doc_id, text, key), "sets")
+    sets = _class_sets(src, numbered, wanted, doc_id, text)
     discard(shared, found, wanted)
     links = _search(members, sets, percent)
     discard(members, sets)
 
     group = components(links, "a", "b")
     named = numbered.join(group, numbered["id"] == group["node"], "left").select(*key, "least", "component")
-    named = stored(named, "named")
-    smallest = stored(named.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
-    out = named.join(smallest, "component", "left").select(*key, F.coalesce("component_id", "least").alias("component_id"))
+    smallest = None
+    if clash:  # components are named by numbers that no document has
+        named = stored(named, "named")
+        smallest = stored(named.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+        out = named.join(smallest, "component", "left").select(*key, F.coalesce("component_id", "least").alias("component_id"))
+    else:
+        out = named.select(*key, F.coalesce("component", "least").alias("component_id"))
     result = stored(sketch.select(doc_id, "text_hash", *key).join(out, key, "left").select(
         doc_id, "text_hash", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"),
@@ -199,30 +204,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     return result
 
 
-def _numbered(classes: DataFrame) -> DataFrame:
-    """``classes`` with ``id``: the smallest doc_id, or a number below all of them where that is the smallest of several classes."""
+def _numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """``classes`` with ``id``, and whether ids differ from ``least``, their smallest doc_id.
+
+    Where that is the smallest of several classes, as rows of one doc_id may have several texts, id is a number below all of them.
+    """
     clashing = stored(classes.where("least IS NOT NULL").groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("least"), "clashing")
     if clashing.isEmpty():
         discard(clashing)
-        return classes.withColumn("id", F.col("least"))
+        return classes.withColumn("id", F.col("least")), False
     lowest = classes.agg(F.min("least")).first()[0]
     marked = classes.join(few(clashing.withColumnRenamed("least", "clash")), F.col("least") == F.col("clash"), "left")
     out = stored(marked.withColumn("id", F.when(F.col("clash").isNull(), F.col("least").cast("long")).otherwise(
         F.lit(min(lowest, 0) - 1).cast("long") - F.monotonically_increasing_id())).drop("clash"), "numbered")
     discard(clashing)
-    return out
-
-
-def _class_sets(src: DataFrame, sketch: DataFrame, numbered: DataFrame, wanted: DataFrame, doc_id: str, text: str, key: list[str]) -> DataFrame:
-    """(id, shingles) of the wanted classes, from the text of the row with the smallest doc_id."""
-    asked = few(wanted).join(numbered.select("id", "least", *key), "id").join(
-        sketch.select(F.col(doc_id).alias("least"), F.col("text_hash").alias("of"), *key), ["least", *key]).select(
-        "id", "least", "of").groupBy("id", "least").agg(F.min("of").alias("of"))
-    asked = few(stored(asked.withColumnsRenamed({"id": "_class", "least": "_least", "of": "_of"}), "asked"))
-    chosen = src.join(asked, (F.col(doc_id) == F.col("_least")) & (F.xxhash64(text) == F.col("_of")))
-    # a row may be repeated
-    return _full_sets(chosen.select(F.col("_class").alias("id"), F.col(text).alias("text")), "id", "text").groupBy("id").agg(
-        F.first("shingles").alias("shingles"))
+    return out, True
+
+
+def _class_sets(src: DataFrame, numbered: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, shingles) of the wanted classes, each from the text of its smallest doc_id; a stored table."""
+    asked = stored(few(wanted).join(numbered.select("id", "head"), "id").select(
+        F.col("id").alias("_class"), F.col("head.id").alias("_least"), F.col("head.text_hash").alias("_of")), "asked")
+    chosen = src.join(few(asked), (F.col(doc_id) == F.col("_least")) & (F.xxhash64(text) == F.col("_of")))
+    sets = stored(_full_sets(chosen.select(F.col("_class").alias("id"), F.col(text).alias("text")), "id", "text"), "sets")
+    if sets.count() > asked.count():  # a row is repeated
+        again, sets = sets, stored(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+        discard(again)
+    discard(asked)
+    return sets
 
 
 _TRAITS = ("n_shingles", "parity")
