@@ -41,7 +41,7 @@ def char_tfidf_vectors(spark, sf):
 
 @query("train_forest")
 def train_forest(spark, sf):
-    _, preds = M.train_and_validate(prepared(spark, sf), classifier=M.forest())
+    _, preds = M.train_and_validate(prepared(spark, sf), classifier=M.forest(trees=60))
     return _scores(preds)
 
 
