@@ -389,12 +389,12 @@ def _joined_top(labels: DataFrame, aliases: DataFrame, k: int, name: str, scorer
     shared = cut_lineage(_token_join(texts.where("label <> ''"), aliases, name, low, keys), "shared")
     perfect = shared.where("score >= 100").groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("label")
     done = cut_lineage(perfect, "done")
-    left = cut_lineage(texts.join(done, "label", "left_anti"), "left")
+    left = cut_lineage(keyed_join.by_shuffle(texts, done, "label", "left_anti"), "left")
     if floor is not None and floor >= max(EDIT_FLOOR, low if name == "weighted_ratio" else 0.0):
         more = _edit_join(left.where("label <> ''"), aliases, name, floor, keys)
         return _top_of(shared.union(more).distinct(), k)
     rest = _grid(left, aliases, k, scorer, floor, name == "weighted_ratio")
-    return _top_of(shared.join(done, "label", "left_semi").union(rest), k)
+    return _top_of(keyed_join.by_shuffle(shared, done, "label", "left_semi").union(rest), k)
 
 
 def _attach(df: DataFrame, best: DataFrame, text: str) -> DataFrame:

@@ -7,7 +7,8 @@ prefix: just so many of its rarest keys that a partner that is alike enough must
   so the rarest tokens beyond that length are a prefix, which meets all tokens of the other side;
 * trigrams: an Indel score s leaves a share of both lengths to edits, a missing letter breaks three trigrams and an
   added one two; of two sets that have to share that much, the prefixes meet;
-* containment: the rarest trigram of the shorter text is among all of the longer one's.
+* containment: the rarest piece of the shorter text is among all of the longer one's. Pieces have 16 letters, in short texts
+  fewer, as a trigram would be in a fixed share of all texts and its pairs grow with their square.
 
 Keys are 64-bit hashes; two keys of one hash only add a pair, which is scored like all others.
 """
@@ -21,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktally.session import cut_lineage
+
 #: A key in more texts than this has its count looked up; all others count as equally rare.
 FREQUENT = 20
 #: Frequent keys that travel with the functions: the most frequent ones.
@@ -28,6 +31,8 @@ MOST_FREQUENT = 50_000
 #: Floor from which trigram prefixes leave out a good part of the trigrams.
 EDIT_FLOOR = 85.0
 _DEGENERATE = "x"
+#: Lengths of the pieces by which a text is found inside longer ones.
+PIECES = (3, 8, 16)
 
 
 def _hash(key: str) -> int:
@@ -51,14 +56,18 @@ def grams_of(text: str, kind: str) -> tuple[list[str], int]:
 
 
 def pieces_of(text: str) -> tuple[list[str], list[str]]:
-    """(own keys as the shorter text, of which the rarest will do; keys of all shorter texts that may lie in it)."""
-    if len(text) < 3:
-        own = ["s" + text]
-    else:
-        own = [text[i:i + 3] for i in range(len(text) - 2)]
-    held = [text[i:i + 3] for i in range(len(text) - 2)]
-    if len(text) <= 16:  # of pieces at most eight times shorter
-        held += ["s" + text[i:i + n] for n in (1, 2) for i in range(len(text) - n + 1)]
+    """(own keys as the shorter text, of which the rarest will do; keys of all texts up to 8 times shorter that may lie in it).
+
+    A text goes by pieces of one length, the longest of ``PIECES`` that it holds: the longer a piece, the fewer texts share it.
+    """
+    size, n = max((s for s in PIECES if s <= len(text)), default=0), len(text)
+    own = [text[i:i + size] for i in range(n - size + 1)] if size else ["s" + text]
+    held = []
+    for s, longest in zip(PIECES, [*(x - 1 for x in PIECES[1:]), n]):  # of texts of s to ``longest`` letters
+        if s <= n <= 8 * longest:
+            held += [text[i:i + s] for i in range(n - s + 1)]
+    if n <= 8 * (PIECES[0] - 1):
+        held += ["s" + text[i:i + k] for k in range(1, PIECES[0]) for i in range(n - k + 1)]
     return own, held
 
 
@@ -136,7 +145,8 @@ def with_counts(keys: Keys, sides: list[DataFrame], text: str = "text") -> Keys:
         found = _listed(side.select(text), text, keys, "every", "_k").select(F.explode("_k").alias("key"))
         each = found if each is None else each.union(found)
     frequent = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FREQUENT)
-    rows = frequent.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).collect()
+    # written first: collected as it is, every task would send its own MOST_FREQUENT rows to the driver
+    rows = cut_lineage(frequent.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT), "frequent").collect()
     return Keys(100.0 - 100.0 * (keys.share - 1e-9), keys.grams, keys.contained, {r["key"]: r["n"] for r in rows})
 
 
@@ -144,6 +154,15 @@ def _exploded(df: DataFrame, text: str, keys: Keys, what: str) -> DataFrame:
     return _listed(df, text, keys, what, "_keys").withColumn("key", F.explode("_keys")).drop("_keys")
 
 
+def by_shuffle(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the input.
+
+    Spark takes a side's size from its file, which knows neither of its compression nor of rows exploded since, so a
+    whole side could be broadcast through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def token_pairs(left: DataFrame, right: DataFrame, left_text: str, right_text: str, keys: Keys) -> DataFrame:
     """All columns of both sides for pairs that a prefix of one and the keys of the other bring together; may repeat pairs.
 
@@ -162,8 +181,8 @@ def token_pairs(left: DataFrame, right: DataFrame, left_text: str, right_text: s
 
     met = {r["key"] for r in frequent.where(is_frequent.asNondeterministic()(F.col("key"))).collect()}  # at most MOST_FREQUENT
     full = Keys(100.0 - 100.0 * (keys.share - 1e-9), keys.grams, keys.contained, keys.counts, met)
-    one = prefixes[0].join(_exploded(right, right_text, full, "all"), "key")
-    two = _exploded(left, left_text, full, "all").join(prefixes[1], "key")
+    one = by_shuffle(prefixes[0], _exploded(right, right_text, full, "all"), "key")
+    two = by_shuffle(_exploded(left, left_text, full, "all"), prefixes[1], "key")
     columns = [c for c in one.columns if c != "key"]
     return one.select(columns).union(two.select(columns))
 
@@ -175,5 +194,5 @@ def edit_pairs(left: DataFrame, right: DataFrame, left_text: str, right_text: st
     """
     a = _listed(left, left_text, keys, "edits", "_a").withColumn("key", F.explode("_a"))
     b = _listed(right, right_text, keys, "edits", "_b").withColumn("key", F.explode("_b"))
-    joined = a.join(b, "key").where(F.col("key") == F.array_min(F.array_intersect("_a", "_b")))
+    joined = by_shuffle(a, b, "key").where(F.col("key") == F.array_min(F.array_intersect("_a", "_b")))
     return joined.drop("key", "_a", "_b")

@@ -184,3 +184,25 @@ def test_candidates_same_both_ways(spark):
     near = sorted(map(tuple, G.merchant_candidates(df, g, k=3, min_score=85.0).collect()))
     far = sorted(map(tuple, G.merchant_candidates(df, g, k=3, min_score=85.0, max_shipped=0).collect()))
     assert near == far and near
+
+
+def test_pairs_meet_by_shuffle(spark):
+    """Small files say nothing of their rows: no side of the join on keys or of the join back is broadcast whole."""
+    labels = spark.createDataFrame([(f"shop {i} lyon",) for i in range(50)], "label string")
+    left, right = G._with_tokens(labels, gaz(spark, [f"shop {i}" for i in range(50)]))
+    keys = G._keys("weighted_ratio", 90.0)
+    for pairs in (K.token_pairs, K.edit_pairs):
+        joined = pairs(left, right, "label", "alias", keys)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() >= 0
+
+
+def test_pieces_of_long_texts_are_long():
+    r = random.Random(5)
+    assert {len(p) for p in K.pieces_of("a" * 10 + "b" * 20)[0]} == {16}
+    assert K.pieces_of("")[0] == ["s"]
+    for _ in range(3000):
+        whole = "".join(r.choice("ab c") for _ in range(r.randint(1, 140)))
+        size = r.randint(-(-len(whole) // 8), len(whole))
+        at = r.randint(0, len(whole) - size)
+        assert set(K.pieces_of(whole[at:at + size])[0]) <= set(K.pieces_of(whole)[1])
