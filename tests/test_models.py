@@ -118,3 +118,34 @@ def test_preprocessed_text_feeds_the_model(spark, model):
     df = spark.createDataFrame([("CB Carrefour", "CB", None)], "raw_label string, channel string, mcc int")
     row = model.predict(T.preprocess(df).withColumn("model_text", T.model_text())).first()
     assert row.model_category in model.labels
+
+
+def test_equal_rows_are_trained_on_once(spark, monkeypatch):
+    """The linear model sees each text and label once, and is the one that the single rows give."""
+    texts = [("cb shop a", "x"), ("prlv b b", "y"), ("cb shop", "x"), ("a b", "y"), ("cb shop a", "y")]
+    copies = [40, 3, 7, 1, 9]
+    data = [(i * 100 + k, t, label) for i, ((t, label), n) in enumerate(zip(texts, copies)) for k in range(n)]
+    df = spark.createDataFrame(data, "tx_id long, model_text string, category_label string")
+    seen = []
+    fit = M.LogisticRegression._fit
+    monkeypatch.setattr(M.LogisticRegression, "_fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    model = M.train(df, M.linear(strength=0.1), high=2)
+    assert seen == [5]
+    single = model.features.transform(df).withColumn("label", (F.col("category_label") == "y").cast("double"))
+    want = M.linear(strength=0.1).fit(single).transform(single).select("tx_id", M.vector_to_array("probability").alias("p"))
+    got = {r.tx_id: r.proba for r in model.predict(df).collect()}
+    for r in want.collect():
+        assert got[r.tx_id] == pytest.approx(r.p, abs=2e-4)
+
+
+def test_counts_of_repeated_texts(spark):
+    """Weights from counts of distinct texts are those of Spark's own IDF on all rows."""
+    from pyspark.ml.feature import IDF
+
+    df = spark.createDataFrame([("aab a",)] * 5 + [("ab",)] * 2 + [("",), ("cé c",)], "model_text string")
+    features = M.fit_text_features(df, high=3, max_features=6)
+    counter, weights = features.stages[1], features.stages[2]
+    assert counter.vocabulary[0] == "a" and len(counter.vocabulary) == 6
+    counted = counter.transform(features.stages[0].transform(df))
+    idf = IDF(inputCol="counts", outputCol="w").fit(counted).idf.toArray() + 1.0
+    assert list(weights.getScalingVec()) == pytest.approx(list(idf))
