@@ -149,3 +149,14 @@ def test_counts_of_repeated_texts(spark):
     counted = counter.transform(features.stages[0].transform(df))
     idf = IDF(inputCol="counts", outputCol="w").fit(counted).idf.toArray() + 1.0
     assert list(weights.getScalingVec()) == pytest.approx(list(idf))
+
+
+def test_a_limited_vocabulary_moves_no_terms(spark, rows):
+    """However large Spark takes the term table to be, terms of documents are not shuffled to it and back."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = X.char_tfidf(rows, "model_text", 1, 2, max_features=50)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(term" not in plan
