@@ -160,3 +160,28 @@ def test_a_limited_vocabulary_moves_no_terms(spark, rows):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(term" not in plan
+
+
+def test_trees_get_equal_rows_in_portions(spark, monkeypatch):
+    """Few copies stay single; many are PORTIONS rows whose weights are their number, dealt out over the cores."""
+    df = spark.createDataFrame([(i, "cb often", "x") for i in range(1000)] + [(2000 + i, "prlv seldom", "y") for i in range(30)],
+                               "tx_id long, model_text string, category_label string").coalesce(1)
+    seen = []
+
+    def fit(self, rows, real=M.RandomForestClassifier._fit):
+        seen.append(({r.label: (r.n, r.w) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(M.WEIGHT).alias("w")).collect()},
+                     rows.rdd.getNumPartitions(), self.getWeightCol()))
+        return real(self, rows)
+
+    monkeypatch.setattr(M.RandomForestClassifier, "_fit", fit)
+    fitted = M.train(df, M.forest(trees=3, depth=3), high=2, tree_features=5)
+    assert seen == [({0.0: (M.PORTIONS, pytest.approx(1000.0)), 1.0: (30, 30.0)}, 8, M.WEIGHT)]
+    assert all(r.model_category == r.category_label for r in fitted.predict(df).distinct().collect())
+
+
+def test_chi_square_of_weighted_rows(spark):
+    single = spark.createDataFrame([(0.0, "ab")] * 6 + [(1.0, "a")] * 3 + [(1.0, "b")], "label double, model_text string")
+    ready = M.fit_text_features(single, high=1).transform(single)
+    weighted = ready.groupBy("label", "model_text", "features").agg(F.count("*").alias("w"))
+    want = {r.feature: r.chi2 for r in M.chi_square(ready).collect()}
+    assert {r.feature: r.chi2 for r in M.chi_square(weighted, weight="w").collect()} == pytest.approx(want)
