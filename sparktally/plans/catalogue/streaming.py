@@ -146,19 +146,25 @@ SELECT strftime(DATE '1970-01-01' + CAST(w * 365 AS INTEGER), '%Y-%m-%d') AS win
   ROUND(ks, 4) AS ks_confidence_stat, class AS shift_class, ROUND(d, 4) AS shift_abs_delta, psi > 0.2 OR d > 0.15 AS alert
 FROM psi JOIN oov USING (w) JOIN ks USING (w) JOIN sf USING (w)""")
 def drift_stream_windows(spark, sf):
-    """A drift report per 365 days of the production rows, in order of time from four files; a row far ahead closes the last window."""
+    """A drift report per 365 days of the production rows, which come in order of time in four parts; a row far ahead closes the last window.
+
+    The stream runs again from its checkpoint for each part, so a part may be any number of files.
+    """
     rows = prepared(spark, sf).select("tx_date", "model_text", "category_label", "conf", "split")
     known = ST.training_side(rows.where(train()), "model_text", "category_label", "conf")
     prod = cut_lineage(rows.where(~train()).select(F.col("tx_date").cast("timestamp").alias("ts"), "model_text", "category_label", "conf"), "prod")
     first, last = prod.agg(F.min("ts"), F.max("ts")).first()
-    landing, reports = scratch_path(spark, "landing"), scratch_path(spark, "reports")
+    landing, reports, checkpoint = (scratch_path(spark, n) for n in ("landing", "reports", "checkpoint"))
     step = (last - first) / 4
+
+    def arrive(part):
+        part.write.mode("append").parquet(landing)
+        ST.drift_windows(ST.event_stream(spark, landing, prod.schema), known, reports, checkpoint, "ts", width="365 days", delay="1 day").awaitTermination()
+
     for i in range(4):
         part = prod.where(F.col("ts") >= F.lit(first + i * step))
-        (part if i == 3 else part.where(F.col("ts") < F.lit(first + (i + 1) * step))).coalesce(1).write.mode("append").parquet(landing)
-    prod.limit(1).withColumn("ts", F.lit(last) + F.expr("INTERVAL 800 DAYS")).coalesce(1).write.mode("append").parquet(landing)
-    stream = ST.event_stream(spark, landing, prod.schema, max_files=1)
-    ST.drift_windows(stream, known, reports, scratch_path(spark, "checkpoint"), "ts", width="365 days", delay="1 day").awaitTermination()
+        arrive(part if i == 3 else part.where(F.col("ts") < F.lit(first + (i + 1) * step)))
+    arrive(prod.limit(1).withColumn("ts", F.lit(last) + F.expr("INTERVAL 800 DAYS")))
     found = spark.read.parquet(reports)
     return found.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "psi_topk", "oov_rate", "ks_confidence_stat",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparktally.functions.text import char_ngrams
+from sparktally.functions.text import ngram_rows
 from sparktally.operators import drift as D
 from sparktally.operators.classify import _fell_back, classify
 from sparktally.operators.cumulative import is_number, weighted_count
@@ -165,25 +165,32 @@ def _part(conf: str) -> Column:
 
 
 def window_counts(stream: DataFrame, train: Training, ts: str, text: str, label: str, conf: str, width: str, delay: str) -> DataFrame:
-    """window_start, kind (gram, label, conf), key, n of every window that the watermark has closed.
+    """window_start, kind (text, label, conf), key, n of every window that the watermark has closed.
 
     Spark's state store keeps the counts of open windows only; a window's leave it when it closes, and rows that come
-    later than ``delay`` are dropped. So the state is bounded by the open windows, however long the stream runs.
+    later than ``delay`` are dropped. So the state is bounded by the open windows, however long the stream runs. Texts are
+    counted whole: a row puts three entries at most into it, and ``window_grams`` cuts each distinct text of a closed window once.
     """
     event_time = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
-    def keys(kind: str, values: Column) -> Column:
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("key")))
+    def entry(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("key"))
 
-    one = F.array(F.struct(F.lit("label").alias("kind"), _class(label).alias("key")))
-    sure = F.when(is_number(conf), F.array(F.struct(F.lit("conf").alias("kind"), _part(conf).cast("string").alias("key"))))
-    grams = keys("gram", char_ngrams(F.coalesce(F.col(text), F.lit("")), train.low, train.high))
-    none = F.array().cast("array<struct<kind:string,key:string>>")
-    each = event_time.select(ts, F.explode(F.concat(one, F.coalesce(sure, none), grams)).alias("e"))
+    entries = F.array(
+        entry("label", _class(label)), F.when(is_number(conf), entry("conf", _part(conf).cast("string"))),
+        F.when(F.col(text).isNotNull(), entry("text", F.col(text))))
+    each = event_time.select(ts, F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
     return each.groupBy(F.window(ts, width), F.col("e.kind").alias("kind"), F.col("e.key").alias("key")).agg(
         F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "kind", "key", "n")
 
 
+def window_grams(closed: DataFrame, train: Training) -> DataFrame:
+    """The counts of closed windows with the n-grams of their texts (kind gram) in place of the texts."""
+    texts = closed.where("kind = 'text'").select("window_start", "n", F.col("key").alias("_text"))
+    grams = ngram_rows(texts, ["window_start", "n"], "_text", train.low, train.high).groupBy("window_start", "gram").agg(F.sum("n").alias("n"))
+    return closed.where("kind <> 'text'").unionByName(grams.select("window_start", F.lit("gram").alias("kind"), F.col("gram").alias("key"), "n"))
+
+
 def window_reports(counts: DataFrame, train: Training, psi_alert: float = 0.20, shift_alert: float = 0.15,
                    digits: int | None = 4) -> DataFrame:
     """window_start and the drift report of each window from its counts, which should be a stored table."""
@@ -240,10 +247,16 @@ def window_reports(counts: DataFrame, train: Training, psi_alert: float = 0.20,
 def drift_windows(stream: DataFrame, train: Training, report_path: str, checkpoint: str, ts: str, text: str = "model_text",
                   label: str = "category_label", conf: str = "conf", width: str = "1 day", delay: str = "1 hour",
                   trigger: dict = ONCE, **options) -> StreamingQuery:
-    """A drift report per event-time window, written when the watermark closes it; every batch has its own folder, overwritten if replayed."""
+    """A drift report per event-time window, written when the watermark closes it; every batch has its own folder, overwritten if replayed.
+
+    A batch that closes no window writes nothing, but for the first, so that there always is a table.
+    """
 
     def report(closed: DataFrame, batch_id: int) -> None:
-        counts = cut_lineage(closed, "closed")
+        closed = cut_lineage(closed, "closed")
+        if batch_id > 0 and closed.isEmpty():
+            return
+        counts = cut_lineage(window_grams(closed, train), "window-counts")
         window_reports(counts, train, **options).write.mode("overwrite").parquet(f"{report_path}/batch={batch_id}")
 
     counts = window_counts(stream, train, ts, text, label, conf, width, delay)

@@ -76,3 +76,23 @@ def test_windowed_drift_keeps_open_windows_only(spark, tmp_path):
         want = D.drift_summary(both, F.col("tr"), conf="conf", k=8).first()
         for name in ("psi_topk", "oov_rate", "ks_confidence_stat", "largest_label_shift", "alerts"):
             assert r[name] == want[name], (day, name)
+
+
+def test_windowed_drift_keeps_texts_and_not_their_grams(spark, tmp_path):
+    """A row puts three entries into the state, however long its text, and a stream that runs again goes on where it was."""
+    import datetime
+
+    schema = "ts timestamp, model_text string, category_label string, conf double"
+    train = spark.createDataFrame([("abc", "x", 0.5)], "model_text string, category_label string, conf double")
+    side = ST.training_side(train, "model_text", "category_label", "conf", k=8)
+    days, sizes = [datetime.datetime(2024, 1, d) for d in (1, 2, 3)], []
+    for day in days:
+        rows = [(day, " ".join(f"word{day.day}{i}{j}" for j in range(40)), "x", 0.5) for i in range(5)]
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ST.event_stream(spark, str(tmp_path / "in"), schema)
+        query = ST.drift_windows(stream, side, str(tmp_path / "out"), str(tmp_path / "cp"), "ts", width="1 day", delay="1 hour")
+        query.awaitTermination()
+        sizes += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(sizes) <= 3 * (5 + 1 + 1)  # three open days
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.window_start.day for r in found.collect()) == [1, 2]
