@@ -39,6 +39,8 @@ from sparktally.session import cut_lineage
 MAX_SHIPPED = 2_000
 #: Labels of a slice that meets a block of aliases in one cell of the grid.
 SLICE = 50_000
+#: Labels that one task scores against a shipped gazetteer.
+TASK_LABELS = 20_000
 #: Aliases per pass where the whole gazetteer has to be looked through.
 BLOCK = 20_000
 #: Aliases of highest best case that are scored first for every label.
@@ -490,7 +492,14 @@ def resolve_merchant(df: DataFrame, gaz: DataFrame, cut: float = 0.90, text: str
     labels = query.select(F.col("_query").alias("label")).where("label IS NOT NULL").distinct()
     if listed is not None:
         top = _top_in_task(listed, 1, scorer, floor, weighted=True)
-        found = query.withColumn("_best", F.get(top(F.col("_query")), F.lit(0)))
+        if only_accepted or df.isStreaming:
+            found = query.withColumn("_best", F.get(top(F.col("_query")), F.lit(0)))
+        else:  # without a high cut a label costs much more to score than to move: each distinct one is scored once
+            counts = cut_lineage(text_counts(query, "_query"), "texts")
+            tasks = max(query.sparkSession.sparkContext.defaultParallelism, -(-counts.count() // TASK_LABELS))
+            texts = counts.where("_text IS NOT NULL").select(F.col("_text").alias("_query")).repartition(tasks)
+            best = cut_lineage(texts.select("_query", F.get(top(F.col("_query")), F.lit(0)).alias("_best")), "best")
+            found = attach(query, best, "_query", counts)
     elif df.isStreaming:
         blocks = _best_of_blocks(query, "_query", aliases, 1, scorer, floor, True, BLOCK)
         found = blocks.withColumn("_best", F.get("_top", F.lit(0)))

@@ -206,3 +206,21 @@ def test_pieces_of_long_texts_are_long():
         size = r.randint(-(-len(whole) // 8), len(whole))
         at = r.randint(0, len(whole) - size)
         assert set(K.pieces_of(whole[at:at + size])[0]) <= set(K.pieces_of(whole)[1])
+
+
+def test_explained_labels_are_scored_once(spark, monkeypatch):
+    """Without a high cut the shipped gazetteer meets each distinct label in one task, with the answers of the row by row form."""
+    from sparktally.plans.fixtures import gazetteer
+
+    labels = ["cb carrefour 75 paris", "", None, "zzz", "uber trip"]
+    df = spark.createDataFrame([(i, labels[i % 5]) for i in range(200)], "tx_id long, normalized string").repartition(6)
+    seen = []
+
+    attach = G.attach
+    monkeypatch.setattr(G, "attach", lambda rows, best, text, counts: seen.append(best.count()) or attach(rows, best, text, counts))
+    got = {(r.normalized, r.gaz_score, r.gaz_reason) for r in G.resolve_merchant(df, gazetteer(spark), explain_weak=True).collect()}
+    assert seen == [4] and len(got) == 5
+    by_label = {t: (s, why) for t, s, why in got}
+    assert by_label[None] == (None, None) and by_label[""][0] == 0.0 and by_label["cb carrefour 75 paris"][1].startswith("alias:carrefour|")
+    joined = G.resolve_merchant(df, gazetteer(spark), explain_weak=True, max_shipped=0).collect()
+    assert got == {(r.normalized, r.gaz_score, r.gaz_reason) for r in joined}
