@@ -185,3 +185,19 @@ def test_chi_square_of_weighted_rows(spark):
     weighted = ready.groupBy("label", "model_text", "features").agg(F.count("*").alias("w"))
     want = {r.feature: r.chi2 for r in M.chi_square(ready).collect()}
     assert {r.feature: r.chi2 for r in M.chi_square(weighted, weight="w").collect()} == pytest.approx(want)
+
+
+def test_texts_of_single_keys_move_once(spark, monkeypatch):
+    """Where no key repeats the term table needs no shuffle by document; repeated keys are counted together."""
+    plans = []
+    cut = X.cut_lineage
+    monkeypatch.setattr(X, "cut_lineage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, name))
+    terms = [["a", "b", "a"], ["b", None], [], ["c", "a"]]
+    single = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "doc long, t array<string>")
+    repeated = spark.createDataFrame([(0, ["a"]), (0, ["b", "a"]), (1, ["b"]), (3, ["c"]), (3, ["a"]), (2, [])], "doc long, t array<string>")
+    got, want = ({(r.doc, r.term): (r.tf, r.tfidf) for r in X.tfidf(df, "doc", "t").collect()} for df in (single, repeated))
+    assert "hashpartitioning(doc" not in plans[0] and "hashpartitioning(doc" in plans[1]
+    n, df = 4, {"a": 2, "b": 2, "c": 1}
+    idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
+    assert {k: v[0] for k, v in got.items()} == {(0, "a"): 2, (0, "b"): 1, (1, "b"): 1, (3, "a"): 1, (3, "c"): 1} == {k: v[0] for k, v in want.items()}
+    assert got[3, "c"][1] == pytest.approx(idf["c"] / math.hypot(idf["c"], idf["a"]))
