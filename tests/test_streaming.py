@@ -95,4 +95,4 @@ def test_windowed_drift_keeps_texts_and_not_their_grams(spark, tmp_path):
         sizes += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(sizes) <= 3 * (5 + 1 + 1)  # three open days
     found = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.window_start.day for r in found.collect()) == [1, 2]
+    assert [r.window_start.day for r in found.collect()] == [1]  # the watermark is an hour before the second ends
