@@ -8,11 +8,11 @@ decision on groups: they pass stages two and three as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparktally.llm import decontam, neardup, packing, queries, substring, toxicity
-from sparktally.llm.arrow import discard, few, stored
+from sparktally.llm.arrow import batches, discard, few, stored
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -20,6 +20,18 @@ def _carried(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def _parted(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """doc_id, text and all other columns as ``rest``, with the names to carry: a text goes to the Python workers once."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.struct(*others).alias("rest")] if others else []
+    return docs.select("doc_id", "text", *rest), ("text", "rest") if others else ("text",)
+
+
+def _whole(docs: DataFrame) -> list[Column]:
+    """The columns of documents from those of ``_parted``."""
+    return [F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; the model is fitted on labelled documents.
 
@@ -27,7 +39,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a doc_id are scored but not learnt from, very long texts are read whole, an empty table gives no rows.
     """
     model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"))
-    return toxicity.toxicity(_carried(docs), model, carry=("row",)).where("predicted = 0").select("row.*")
+    rows, carry = _parted(docs)
+    return toxicity.toxicity(rows, model, carry=carry).where("predicted = 0").select(*_whole(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +82,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts have no words and stay, repeated rows and rows without a doc_id are judged each, very long
     texts are searched whole, an empty table gives no rows and an empty benchmark removes none.
     """
-    hits = decontam.benchmark_hits(_carried(docs), queries.table(spark, sf_dir, "benchmark"), carry=("row",))
-    return hits.where("NOT (n_hit > 0 AND 20 * n_hit >= n_words)").select("row.*")
+    rows, carry = _parted(docs)
+    hits = decontam.benchmark_hits(rows, queries.table(spark, sf_dir, "benchmark"), carry=carry)
+    return hits.where("NOT (n_hit > 0 AND 20 * n_hit >= n_words)").select(*_whole(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,10 +109,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch in the stages, some 7 MB of text; Spark's 10 000 take several times that on both sides of each task.
+BATCH_ROWS = 2_000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        with batches(spark, BATCH_ROWS):
+            before, docs = docs, stored(stage(spark, docs, sf_dir), name)
         discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -96,13 +96,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Very long texts are searched whole. Reads the benchmark while it is being planned; each block but the last is a pass whose result is
     written to the shared folder.
     """
-    src = plain(docs, doc_id, text, *carry)
+    others = [c for c in carry if c != text]
+    src = plain(docs, doc_id, text, *others)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema, arrow = schema_of(
-        src, doc_id, text, *carry, n_words=T.LongType(), n_hit=T.LongType(), spans=T.ArrayType(span),
+        src, doc_id, text, *others, n_words=T.LongType(), n_hit=T.LongType(), spans=T.ArrayType(span),
         items=T.ArrayType(T.StringType()))
     out = src.select(
-        doc_id, text, *carry, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+        doc_id, text, *others, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
         F.array().cast(T.ArrayType(span)).alias("spans"), F.array().cast("array<string>").alias("items"))
     spark = docs.sparkSession
     items, blocks = _items(benchmark, item_id, item_text, block_bytes)
@@ -114,7 +115,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             out = stored(out, "hits")
             discard(before)
             block.unpersist()
-    return out.drop(text)
+    return out if text in carry else out.drop(text)
 
 
 def _scan(block, text: str, arrow: pa.Schema, window: int):

@@ -31,6 +31,8 @@ PER_CLASS = 4000
 FEATURES = 20_000
 PREFIXES = (4, 5)
 THRESHOLD = 0.7
+#: Text bytes that are scored at once; a worker holds some twenty times as much.
+SLICE = 1 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord("."), ord("!"), ord("?"), ord("\n")]] = True
 
@@ -213,9 +215,9 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id
 
     ``sentences`` are those that alone reach one half. Null, empty and wordless texts have no sentence
     and score 0. Repeated rows get the same values, a null doc_id stays null, an empty table gives
-    no rows, extra columns are ignored, long texts are read whole.
+    no rows, extra columns are ignored, long texts are read whole. A carried text is not sent twice.
     """
-    src = plain(docs, doc_id, text, *carry)
+    src = plain(docs, doc_id, text, *[c for c in carry if c != text])
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                          T.StructField("score", T.DoubleType())])
     schema, arrow = schema_of(src, doc_id, *carry, score=T.DoubleType(), predicted=T.IntegerType(), sentences=T.ArrayType(span))
@@ -224,10 +226,10 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 score, spans = _score(part.column(1), part.num_rows, model)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), *part.columns[2:], pa.array(score), pa.array((score >= threshold).astype(np.int32)),
+                    part.column(0), *[part.column(c) for c in carry], pa.array(score), pa.array((score >= threshold).astype(np.int32)),
                     pa.array(spans, arrow.field("sentences").type)], schema=arrow)
 
     return src.mapInArrow(run, schema)
