@@ -146,14 +146,17 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are alike enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
+    """Stored ``pairs`` (a, b) whose full sets are alike enough; a stored table."""
+    # sets go only to the sides of the pairs that name them
+    ids = [few(stored(pairs.select(F.col(c).alias("id")).distinct(), "asked")) for c in ("a", "b")]
+    left, right = (sets.join(i, "id", "left_semi").select(F.col("id").alias(c), F.col("shingles").alias(name))
+                   for i, c, name in zip(ids, ("a", "b"), ("left", "right")))
     both = F.size(F.array_intersect("left", "right"))
-    return (
+    out = stored(
         pairs.join(right, "b").join(left, "a")
-        .where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b")
-    )
+        .where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b"), "links")
+    discard(*ids)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     entries = numbered.where("id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
     shared = stored(
         entries.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head != tail"), "buckets")
-    found = stored(entries.join(shared.select("bucket", "head"), "bucket"), "entries")
+    found = stored(entries.join(few(shared).select("bucket", "head"), "bucket"), "entries")
     members = stored(found.join(numbered.select("id", "n_shingles", "parity"), "id"), "members")
     wanted = stored(found.select("id").distinct(), "candidates")
     sets = _class_sets(src, numbered, wanted, doc_id, text)
@@ -269,7 +272,7 @@ def _search(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     )
     tried = stored(pairs, "pairs")
-    links = stored(_confirmed(tried, sets, percent), "links")
+    links = _confirmed(tried, sets, percent)
     kept = [*tried.scratch, *links.scratch]
     group = components(links, "a", "b")
     rest, done = members.where("id != head").drop("head").dropDuplicates(["bucket", "id"]), 0
@@ -300,7 +303,7 @@ def _search(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         )
         fresh = stored(found, "pairs")
-        more = stored(_confirmed(fresh, sets, percent), "links")
+        more = _confirmed(fresh, sets, percent)
         kept += [*fresh.scratch, *more.scratch]
         if more.isEmpty():
             group = None

@@ -44,6 +44,8 @@ BANDS, ROWS = 3, 2  # equal paragraphs share all; with one changed word (0.52) o
 MIN_WORDS = 50
 #: Words between two equal runs that may be one passage.
 GAP = 12
+#: Rows of lists (places or spans of a document) that may be broadcast.
+MOST_LISTS = 500_000
 RUN = WINDOW - 1 + PARAGRAPH  # words of a run that holds the anchor it chooses and all of its paragraph
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -249,7 +251,7 @@ def _equal_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     paragraph's. This is all where a paragraph has two classes; of three or more, the first places'
     runs meet by the hash of all their words.
     """
-    places = stored(_classes(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted")), "places")
+    places = stored(_classes(texts.join(few(wanted, MOST_LISTS), "doc_id").select("doc_id", "text", "wanted")), "places")
     place = F.struct("doc_id", "word")
     classes = stored(places.groupBy("paragraph", "context").agg(F.min(place).alias("rep")), "classes")
     firsts = stored(classes.groupBy("paragraph").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
@@ -260,7 +262,7 @@ def _equal_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     several = stored(classes.join(firsts.where("n > 2"), "paragraph", "left_semi").groupBy(F.col("rep.doc_id").alias("doc_id")).agg(
         F.collect_set("rep.word").alias("wanted")), "several")
     discard(places, classes, firsts)
-    around = texts.join(several, "doc_id").select("doc_id", "text", "wanted")
+    around = texts.join(few(several, MOST_LISTS), "doc_id").select("doc_id", "text", "wanted")
     runs = _met(_entries(around, _runs), "runs")
     out = links.union(_links(runs))
     out.scratch = [*links.scratch, *several.scratch, *runs.scratch]
@@ -462,11 +464,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     equal = _equal_runs(texts, wanted)
     pairs = stored(_pairs(banded.union(equal)), "pairs")
     discard(banded, wanted, equal)
-    head_texts = texts.select(F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"))
-    joined = pairs.join(texts, "doc_id").join(head_texts, "head_id")
+    # texts go only to the sides of the pairs that name them
+    ids, head_ids = (stored(pairs.select(F.col(c).alias("doc_id")).distinct(), c) for c in ("doc_id", "head_id"))
+    head_texts = texts.join(few(head_ids), "doc_id", "left_semi").select(F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"))
+    joined = pairs.join(texts.join(few(ids), "doc_id", "left_semi"), "doc_id").join(head_texts, "head_id")
     spans = stored(_spans(joined, id_type, similarity).withColumns({
         "a": F.xxhash64("doc_id", "word"), "b": F.xxhash64("head_id", "head_word")}), "spans")
-    discard(pairs, texts)
+    discard(pairs, texts, ids, head_ids)
 
     # places are linked by their hashes; the first place of a cluster is the other end of one of its links
     clusters = components(spans, "a", "b")
@@ -506,7 +510,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: s
         spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut")), "cuts")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"),
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = rows.join(lists, ["doc_id", "text_hash"], "left")
+    joined = rows.join(few(lists, MOST_LISTS), ["doc_id", "text_hash"], "left")
     # what stays: from each cut's end (or 0) to the next cut's start (or the end)
     kept = F.expr(
         "array_join(transform(sequence(0, size(cut)), i -> substring(text, IF(i = 0, 0, cut[i - 1].end) + 1, "

@@ -89,3 +89,21 @@ def test_rows_of_one_id_with_different_texts_are_judged_each_by_its_own(spark):
     rows = [(2, one), (3, one + " more"), (3, other), (-7, other + " end"), (3, words(4, 50)), (9, words(4, 50))]
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
     assert got == {(2, 56, 2, True), (3, 57, 2, False), (3, 56, -7, False), (-7, 57, -7, True), (3, 46, 3, True), (9, 46, 3, False)}
+
+
+def test_rounds_of_components_move_only_what_is_not_one_star_yet(spark, monkeypatch):
+    from sparktally.llm import components as module
+
+    rows, plain_stored = [], module.stored
+
+    def counted(df, name):
+        out = plain_stored(df, name)
+        if name in ("large", "least"):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "stored", counted)
+    edges = [(10 * i, 10 * i + k) for i in range(200) for k in range(1, 5)] + [(5000 + i, 5001 + i) for i in range(12)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {**{10 * i + k: 10 * i for i in range(200) for k in range(5)}, **{5000 + i: 5000 for i in range(13)}}
+    assert rows and max(rows) < 40

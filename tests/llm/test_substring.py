@@ -159,3 +159,22 @@ def test_anchors_behind_16_million_words():
     whole, part = substring.anchors(Found()), substring.anchors(tail) + len(Found.hashes) - 5000
     near = whole[whole >= len(Found.hashes) - 4900]
     assert len(near) > 200 and near.tolist() == part[part >= len(Found.hashes) - 4900].tolist()
+
+
+def test_whole_texts_move_only_where_a_side_of_a_pair_or_a_cut_names_them(spark, monkeypatch):
+    passage = words(100, 60)
+    docs = frame(spark, [(i, f"{words(i, 40)} {passage} {words(50 + i, 30)}") for i in range(6)] + [(9, words(9, 200))])
+    seen, plain_spans = [], substring._spans
+    monkeypatch.setattr(substring, "_spans", lambda pairs, *more: seen.append(pairs) or plain_spans(pairs, *more))
+    monkeypatch.setattr(substring, "discard", lambda *frames: None)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = substring.repeated_passages(docs)
+        plan = substring.cut_spans(docs, found)._jdf.queryExecution().executedPlan().toString()
+        aligned = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert aligned.count("LeftSemi") == 2
+    assert {r.doc_id for r in found.collect()} == set(range(1, 6))
