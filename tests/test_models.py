@@ -201,3 +201,22 @@ def test_texts_of_single_keys_move_once(spark, monkeypatch):
     idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
     assert {k: v[0] for k, v in got.items()} == {(0, "a"): 2, (0, "b"): 1, (1, "b"): 1, (3, "a"): 1, (3, "c"): 1} == {k: v[0] for k, v in want.items()}
     assert got[3, "c"][1] == pytest.approx(idf["c"] / math.hypot(idf["c"], idf["a"]))
+
+
+def _trained_with(monkeypatch, name):
+    """What the query ``name`` asks to be trained with."""
+    from sparktally.plans.catalogue import models as Q
+
+    asked = []
+    monkeypatch.setattr(Q, "prepared", lambda *_: None)
+    monkeypatch.setattr(Q, "_scores", lambda _: None)
+    monkeypatch.setattr(Q.M, "train_and_validate", lambda _, **options: asked.append(options) or (None, None))
+    getattr(Q, name)(None, None)
+    return asked[0]
+
+
+def test_the_forest_is_whole(monkeypatch):
+    """All 400 trees, as deep as Spark grows them, on the library's features."""
+    options = _trained_with(monkeypatch, "train_forest")
+    classifier = options.pop("classifier")
+    assert (classifier.getNumTrees(), classifier.getMaxDepth()) == (400, 30) and not options
