@@ -220,3 +220,10 @@ def test_the_forest_is_whole(monkeypatch):
     options = _trained_with(monkeypatch, "train_forest")
     classifier = options.pop("classifier")
     assert (classifier.getNumTrees(), classifier.getMaxDepth()) == (400, 30) and not options
+
+
+def test_boosting_is_whole(monkeypatch):
+    """300 rounds of depth 6 on the library's features."""
+    options = _trained_with(monkeypatch, "train_boosted")
+    binary = options.pop("classifier").getClassifier()
+    assert (binary.getMaxIter(), binary.getMaxDepth()) == (300, 6) and not options
