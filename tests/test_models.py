@@ -227,3 +227,48 @@ def test_boosting_is_whole(monkeypatch):
     options = _trained_with(monkeypatch, "train_boosted")
     binary = options.pop("classifier").getClassifier()
     assert (binary.getMaxIter(), binary.getMaxDepth()) == (300, 6) and not options
+
+
+@pytest.mark.parametrize("low, high, features", [(1, 5, 10_000), (2, 3, 40)])
+def test_linear_scores_are_those_of_the_stages(spark, low, high, features):
+    """Scores of the linear model without Spark's stages equal theirs, on letters of any range, unknown, empty and missing texts."""
+    texts = [("cb shop a", "x"), ("prlv b  b", "y"), ("é𝄞 shop 漢字", "z"), ("a", "y"), ("shop shop shop", "x")]
+    df = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(texts * 4)], "tx_id long, model_text string, category_label string")
+    model = M.train(df, low=low, high=high, max_features=features)
+    others = ["", None, "\t b \n\nshop", "ÿÿ", "\U0010ffff", "cb shop a", "漢字é", "x\x00y"] + [f"shop {i}" for i in range(50)]
+    rows = spark.createDataFrame([(t,) for t in others * 3], "model_text string").coalesce(2)
+    stages = model.classifier.transform(model.features.transform(rows)).select("model_text", M.vector_to_array("probability").alias("p"))
+    want = {r.model_text: r.p for r in stages.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        scored = model.probabilities(rows)
+        got = [(r.model_text, r.proba) for r in scored.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == rows.count() and all(p == pytest.approx(want[t], abs=1e-12) for t, p in got)
+    assert "UDF(counts" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_linear_scores_once_and_in_parts(monkeypatch):
+    """Texts are cut into portions of CHARACTERS, each scored by itself."""
+    import numpy as np
+
+    from sparktally.functions import gram_scores as S
+
+    model = S.GramModel(["a", "ab", "c"], np.array([1.0, 2.0, 3.0]), np.array([[1.0, 0.0, 2.0], [0.0, 1.0, 0.0]]), np.zeros(2))
+    texts = ["ab", "", "c" * 9, "abab", "zz"]
+    whole = model.probabilities(texts)
+    monkeypatch.setattr(S, "CHARACTERS", 3)
+    assert model.probabilities(texts).tolist() == whole.tolist() and model.probabilities([]).shape == (0, 2)
+    a, ab = 1 / math.hypot(1, 2), 2 / math.hypot(1, 2)
+    assert whole[0, 0] == pytest.approx(1 / (1 + math.exp(ab - a))) and whole[1].tolist() == [0.5, 0.5]
+
+
+def test_the_drift_of_a_model_scores_each_row_once(spark, sf_dir, monkeypatch):
+    """The scores are written, so that the summary, which reads them several times, does not score again."""
+    from sparktally.plans.catalogue import models as Q
+
+    made = []
+    monkeypatch.setattr(Q, "cut_lineage", lambda df, name, cut=Q.cut_lineage: made.append((name, df.columns)) or cut(df, name))
+    out = Q.drift_summary_with_model(spark, sf_dir)
+    assert made[-1] == ("scored", ["split", "model_text", "model_category", "model_pmax"]) and "PythonUDF" not in out._jdf.queryExecution().optimizedPlan().toString()
