@@ -272,3 +272,15 @@ def test_the_drift_of_a_model_scores_each_row_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Q, "cut_lineage", lambda df, name, cut=Q.cut_lineage: made.append((name, df.columns)) or cut(df, name))
     out = Q.drift_summary_with_model(spark, sf_dir)
     assert made[-1] == ("scored", ["split", "model_text", "model_category", "model_pmax"]) and "PythonUDF" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_a_model_are_prepared_once(spark, sf_dir, monkeypatch):
+    """Training and every prediction read written rows, which no longer cut and mask labels."""
+    from sparktally.plans.catalogue import models as Q
+
+    trained = []
+    monkeypatch.setattr(Q.M, "train", lambda df, **_: trained.append(df))
+    _, rows = Q._trained(spark, sf_dir)
+    for df in (rows, *trained):
+        assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert rows.count() == Q.prepared(spark, sf_dir).count()
